@@ -113,12 +113,13 @@ def first_line(c: str | Column) -> Column:
     return F.split_part(col_(c), F.lit("\n"), F.lit(1))
 
 
-def hash_key(ident: str | Column, seed: int | str) -> Column:
+def hash_key(ident: str | Column, seed: int | str | Column) -> Column:
     """Repeatable pseudo-random order key for sampling and shuffling.
 
     The first 13 hex digits of ``md5(id || ':' || seed)`` as a bigint: it
     depends on the row only (not on partitioning), fits a double exactly, and
     the same number can be computed by any SQL engine with ``md5``.
     """
-    s = F.concat(col_(ident).cast("string"), F.lit(f":{seed}"))
+    sd = seed if isinstance(seed, Column) else F.lit(str(seed))
+    s = F.concat(col_(ident).cast("string"), F.lit(":"), sd)
     return F.conv(F.substring(F.md5(s), 1, 13), 16, 10).cast("long")

@@ -122,12 +122,18 @@ def recall_threshold(curve: DataFrame, targets: list[float] = (95.0, 100.0)) ->
 def slice_max(df: DataFrame, by: str, n: int = 1, partition: list[str] | None = None) -> DataFrame:
     """F7 general form: rows with the ``n`` largest values of ``by``, ties kept.
 
-    ``rank() <= n`` per partition; with no partition the top ranks are
-    first reduced per task by Spark's window group limit before one small
-    final window.
+    Same rows as ``rank() <= n``. With groups: a window per group (Spark
+    inserts a per-partition WindowGroupLimit before the shuffle). Without
+    groups no global window is used: the n-th largest value is found by a
+    top-n (``orderBy().limit(n)``, n rows per task) and every row at or
+    above it is kept by a broadcast 1-row comparison.
     """
-    w = Window.partitionBy(*(partition or [])).orderBy(F.col(by).desc())
-    return df.filter(F.col(by).isNotNull()).withColumn("__rk", F.rank().over(w)).filter(F.col("__rk") <= n).drop("__rk")
+    base = df.filter(F.col(by).isNotNull())
+    if partition:
+        w = Window.partitionBy(*partition).orderBy(F.col(by).desc())
+        return base.withColumn("__rk", F.rank().over(w)).filter(F.col("__rk") <= n).drop("__rk")
+    cut = base.select(F.col(by).alias("__v")).orderBy(F.col("__v").desc()).limit(n).agg(F.min("__v").alias("__cut"))
+    return base.crossJoin(F.broadcast(cut)).filter(F.col(by) >= F.col("__cut")).drop("__cut")
 
 
 def cut_count(n: Column, share: float) -> Column:

@@ -108,3 +108,293 @@ def _runs_query(flag: str):
 
 for _k, _flag in (("final", "included_full"), ("model", "decision_binary")):
     register(f"stopping_runs_{_k}", _runs_sql(_flag))(_runs_query(_flag))
+
+
+# ---------------------------------------------------------------- shared SQL bits
+RANK_SQL = "row_number() OVER (ORDER BY score DESC NULLS LAST, ordinal)"
+
+
+def _hash_sql(ident: str, seed: str) -> str:
+    """SQL twin of functions.scalars.hash_key."""
+    return f"('0x' || substr(md5(CAST({ident} AS VARCHAR) || ':' || {seed}), 1, 13))::BIGINT"
+
+
+def _norm_sql(x: str) -> str:
+    """SQL twin of functions.scalars.normalise_text."""
+    for ent, rep in (("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''")):
+        x = f"replace({x}, '{ent}', '{rep}')"
+    return f"lower(regexp_replace({x}, '[^A-Za-z0-9]', '', 'g'))"
+
+
+# ---------------------------------------------------------------- flagship (C2 + F6)
+@register("flagship_recall_human", with_r(f"""
+K AS (SELECT * FROM R WHERE NOT coalesce(nullif(abstract, '') IS NULL, false)),
+L AS (
+  SELECT eppi_id,
+         {RANK_SQL} AS position,
+         sum(CASE WHEN human_code = 1 THEN 1 ELSE 0 END) OVER (ORDER BY score DESC NULLS LAST, ordinal
+                        ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum,
+         count(*) OVER () AS n,
+         sum(CASE WHEN human_code = 1 THEN 1 ELSE 0 END) OVER () AS total
+  FROM K)
+SELECT eppi_id, CAST(position AS BIGINT) AS position, CAST(cum AS BIGINT) AS cumulative_relevant,
+       round(CASE WHEN total = 0 THEN NULL ELSE CAST(cum AS DOUBLE) / total * 100 END, 6) AS recall,
+       round(CAST(position AS DOUBLE) / n * 100, 6) AS perc_of_total
+FROM L"""))
+def q_flagship(spark, sf_dir):
+    from sievekit.functions.scalars import blank_to_null
+    from sievekit.operators.filters import filter_out
+
+    r = records(spark, sf_dir).withColumn("abstract", blank_to_null("abstract"))
+    kept = filter_out(r, F.col("abstract").isNull())
+    curve = order.recall_curve(kept, "human_code")
+    return tidy(curve.select("eppi_id", "position", "cumulative_relevant", "recall", "perc_of_total"))
+
+
+# ---------------------------------------------------------------- F7 F9 slice_max
+@register("last_relevant_fraction", with_r(f"""
+L AS (SELECT included_full, {RANK_SQL} AS position FROM R)
+SELECT CAST(max(CASE WHEN included_full = 1 THEN position END) AS BIGINT) AS last_position,
+       CAST(count(*) AS BIGINT) AS n_rows,
+       round(CAST(max(CASE WHEN included_full = 1 THEN position END) AS DOUBLE) / count(*), 6) AS fraction
+FROM L"""))
+def q_last_relevant(spark, sf_dir):
+    ranked = order.rank_list(records(spark, sf_dir))
+    return tidy(order.last_relevant_fraction(ranked, "included_full"))
+
+
+@register("recall_threshold", with_r(f"""
+L AS (
+  SELECT {RANK_SQL} AS position,
+         sum(CASE WHEN human_code = 1 THEN 1 ELSE 0 END) OVER (ORDER BY score DESC NULLS LAST, ordinal
+                        ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum,
+         sum(CASE WHEN human_code = 1 THEN 1 ELSE 0 END) OVER () AS total
+  FROM R),
+C AS (SELECT position, CASE WHEN total = 0 THEN NULL ELSE CAST(cum AS DOUBLE) / total * 100 END AS recall FROM L),
+T AS (SELECT * FROM (VALUES (95.0::DOUBLE), (100.0::DOUBLE)) v(target))
+SELECT round(T.target, 6) AS target, CAST(min(C.position) FILTER (WHERE C.recall >= T.target) AS BIGINT) AS position
+FROM T CROSS JOIN C GROUP BY T.target"""))
+def q_recall_threshold(spark, sf_dir):
+    curve = order.recall_curve(records(spark, sf_dir), "human_code")
+    return tidy(order.recall_threshold(curve, [95.0, 100.0]))
+
+
+@register("slice_max_ties", with_r("""
+P AS (SELECT * FROM R WHERE human_code = 1)
+SELECT eppi_id, score FROM P WHERE score = (SELECT max(score) FROM P)"""))
+def q_slice_max(spark, sf_dir):
+    r = records(spark, sf_dir)
+    return tidy(order.slice_max(r.filter(F.col("human_code") == 1), "score", 1).select("eppi_id", "score"))
+
+
+# ---------------------------------------------------------------- G5 B9
+@register("drop_top_12pct", with_r(f"""
+L AS (SELECT eppi_id, {RANK_SQL} AS position, count(*) OVER () AS n FROM R)
+SELECT eppi_id, CAST(position AS BIGINT) AS position FROM L WHERE position > round_even(0.12 * n, 0)"""))
+def q_drop_top(spark, sf_dir):
+    ranked = order.rank_list(records(spark, sf_dir))
+    return tidy(order.drop_top_share(ranked, 0.12).select("eppi_id", "position"))
+
+
+@register("head_slice", with_r(f"""
+L AS (SELECT eppi_id, {RANK_SQL} AS position FROM R)
+SELECT eppi_id, CAST(position AS BIGINT) AS position FROM L WHERE position <= 80"""))
+def q_head(spark, sf_dir):
+    return tidy(order.head_rows(order.rank_list(records(spark, sf_dir)), 80).select("eppi_id", "position"))
+
+
+@register("tail_slice", with_r(f"""
+L AS (SELECT eppi_id, {RANK_SQL} AS position FROM R)
+SELECT eppi_id, CAST(position AS BIGINT) AS position FROM L WHERE position > 80"""))
+def q_tail(spark, sf_dir):
+    return tidy(order.tail_rows(order.rank_list(records(spark, sf_dir)), 80).select("eppi_id", "position"))
+
+
+# ---------------------------------------------------------------- F2 first per key
+@register("first_per_key_events", """
+SELECT event_id, user_id, event_type, round(value, 6) AS value
+FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rn FROM events) WHERE rn = 1""")
+def q_first_events(spark, sf_dir):
+    from sievekit.operators.sampling import first_per_key
+    from sievekit.sources.tables import table
+
+    ev = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value")
+    return tidy(first_per_key(ev, "user_id", "event_id"))
+
+
+@register("first_per_key_conversations", """
+SELECT conv_id, turn, role, text
+FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS rn FROM conversations) WHERE rn = 1""")
+def q_first_conv(spark, sf_dir):
+    from sievekit.operators.sampling import first_per_key
+    from sievekit.sources.tables import table
+
+    cv = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return tidy(first_per_key(cv, "conv_id", "turn"))
+
+
+# ---------------------------------------------------------------- C1 C2 B3
+@register("filter_out_blank", with_r("""
+B AS (SELECT eppi_id, nullif(split_part(abstract, chr(10), 2), '') AS second_line FROM R)
+SELECT eppi_id, second_line FROM B WHERE NOT coalesce(second_line IS NULL, false)"""))
+def q_filter_out_blank(spark, sf_dir):
+    from sievekit.functions.scalars import blanks_to_null
+    from sievekit.operators.filters import filter_out
+
+    r = records(spark, sf_dir).select("eppi_id", F.split_part("abstract", F.lit("\n"), F.lit(2)).alias("second_line"))
+    return tidy(filter_out(blanks_to_null(r), F.col("second_line").isNull()))
+
+
+@register("filter_out_keeps_null", with_r("""
+SELECT eppi_id, included_full FROM R WHERE NOT coalesce(included_full = 0, false)"""))
+def q_filter_out_null(spark, sf_dir):
+    from sievekit.operators.filters import filter_out
+
+    r = records(spark, sf_dir).select("eppi_id", "included_full")
+    return tidy(filter_out(r, F.col("included_full") == 0))
+
+
+@register("filter_and_null", with_r("""
+SELECT eppi_id, human_code, decision_binary FROM R WHERE human_code = 1 AND decision_binary = 1"""))
+def q_filter_and(spark, sf_dir):
+    from sievekit.operators.filters import keep
+
+    r = records(spark, sf_dir).select("eppi_id", "human_code", "decision_binary")
+    return tidy(keep(r, (F.col("human_code") == 1) & (F.col("decision_binary") == 1)))
+
+
+# ---------------------------------------------------------------- G3 G4 G6
+@register("sample_n", with_r(f"""
+H AS (SELECT eppi_id, {_hash_sql('eppi_id', "'42'")} AS h FROM R WHERE human_code = 0),
+K AS (SELECT eppi_id, row_number() OVER (ORDER BY h, eppi_id) AS sample_rank FROM H)
+SELECT eppi_id, CAST(sample_rank AS BIGINT) AS sample_rank FROM K WHERE sample_rank <= 100"""))
+def q_sample_n(spark, sf_dir):
+    from sievekit.operators.sampling import sample_n
+
+    r = records(spark, sf_dir).filter(F.col("human_code") == 0)
+    return tidy(sample_n(r, 100, 42).select("eppi_id", "sample_rank"))
+
+
+_STRATA_SQL = f"""
+S AS (SELECT eppi_id, 0 AS stratum_index, 'included' AS stratum FROM R WHERE human_code = 1
+      UNION ALL SELECT eppi_id, 1, 'final' FROM R WHERE included_full = 1
+      UNION ALL SELECT eppi_id, 2, 'excluded' FROM R WHERE human_code = 0),
+H AS (SELECT *, {_hash_sql('eppi_id', "'42-' || CAST(stratum_index AS VARCHAR)")} AS h FROM S),
+D AS (SELECT *, row_number() OVER (PARTITION BY stratum_index ORDER BY h, eppi_id) AS sample_rank FROM H),
+K AS (SELECT * FROM D WHERE sample_rank <= CASE stratum_index WHEN 0 THEN 48 WHEN 1 THEN 5 ELSE 100 END),
+F1 AS (SELECT *, row_number() OVER (PARTITION BY eppi_id ORDER BY stratum_index, sample_rank) AS k FROM K),
+SAMPLE AS (SELECT eppi_id, stratum, stratum_index, sample_rank FROM F1 WHERE k = 1)"""
+
+
+def _strata():
+    return [("included", F.col("human_code") == 1, 48), ("final", F.col("included_full") == 1, 5),
+            ("excluded", F.col("human_code") == 0, 100)]
+
+
+@register("sample_strata", with_r(_STRATA_SQL + """
+SELECT eppi_id, stratum, CAST(stratum_index AS BIGINT) AS stratum_index,
+       CAST(sample_rank AS BIGINT) AS sample_rank FROM SAMPLE"""))
+def q_sample_strata(spark, sf_dir):
+    from sievekit.operators.sampling import sample_strata
+
+    s = sample_strata(records(spark, sf_dir), _strata(), 42)
+    return tidy(s.select("eppi_id", "stratum", "stratum_index", "sample_rank"))
+
+
+@register("shuffle_order", with_r(f"""
+H AS (SELECT eppi_id, {_hash_sql('eppi_id', "'42'")} AS h FROM R)
+SELECT eppi_id, CAST(row_number() OVER (ORDER BY h, eppi_id) AS BIGINT) AS position FROM H"""))
+def q_shuffle(spark, sf_dir):
+    from sievekit.operators.sampling import shuffle_rows
+
+    return tidy(shuffle_rows(records(spark, sf_dir).select("eppi_id"), 42).select("eppi_id", "position"))
+
+
+# ---------------------------------------------------------------- D1 D2 D3 D6 D7
+@register("semi_ids", with_r("""
+SELECT eppi_id, title FROM R
+WHERE EXISTS (SELECT 1 FROM labels l WHERE l.toxic = 1 AND l.doc_id IS NOT DISTINCT FROM R.eppi_id)"""))
+def q_semi(spark, sf_dir):
+    from sievekit.operators.joins import semi_ids
+    from sievekit.sources.tables import table
+
+    ids = table(spark, sf_dir, "labels").filter(F.col("toxic") == 1).select(F.col("doc_id").alias("eppi_id"))
+    return tidy(semi_ids(records(spark, sf_dir).select("eppi_id", "title"), ids))
+
+
+@register("anti_ids_null", with_r("""
+SELECT eppi_id, human_code FROM R
+WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.toxic = 1 AND l.toxic IS NOT DISTINCT FROM R.human_code)"""))
+def q_anti(spark, sf_dir):
+    from sievekit.operators.joins import anti_ids
+    from sievekit.sources.tables import table
+
+    codes = table(spark, sf_dir, "labels").filter(F.col("toxic") == 1).select(F.col("toxic").alias("human_code"))
+    return tidy(anti_ids(records(spark, sf_dir).select("eppi_id", "human_code"), codes, "human_code"))
+
+
+@register("flag_ids", with_r("""
+SELECT eppi_id, CAST(CASE WHEN EXISTS (SELECT 1 FROM labels l WHERE l.toxic = 1 AND l.doc_id = R.eppi_id)
+                     THEN 1 ELSE 0 END AS BIGINT) AS review_included FROM R"""))
+def q_flag(spark, sf_dir):
+    from sievekit.operators.joins import flag_ids
+    from sievekit.sources.tables import table
+
+    ids = table(spark, sf_dir, "labels").filter(F.col("toxic") == 1).select(F.col("doc_id").alias("eppi_id"))
+    return tidy(flag_ids(records(spark, sf_dir).select("eppi_id"), ids, "review_included"))
+
+
+_SPLIT_SQL = f"""
+HO AS (SELECT eppi_id FROM (SELECT eppi_id, row_number() OVER (ORDER BY {_hash_sql('eppi_id', "'7'")}, eppi_id) AS k
+                            FROM R) WHERE k <= 50),
+POOL AS (SELECT * FROM R WHERE NOT EXISTS (SELECT 1 FROM HO WHERE HO.eppi_id = R.eppi_id)),
+S AS (SELECT eppi_id, 0 AS si FROM POOL WHERE decision_binary = 1
+      UNION ALL SELECT eppi_id, 1 FROM POOL WHERE decision_binary = 0),
+D AS (SELECT *, row_number() OVER (PARTITION BY si ORDER BY
+        {_hash_sql('eppi_id', "'2026-' || CAST(si AS VARCHAR)")}, eppi_id) AS rk FROM S),
+TR AS (SELECT DISTINCT eppi_id FROM D WHERE rk <= 40),
+PARTS AS (SELECT R.*, CASE WHEN TR.eppi_id IS NULL THEN 'unseen' ELSE 'train' END AS part,
+                 EXISTS (SELECT 1 FROM HO WHERE HO.eppi_id = R.eppi_id) AS held
+          FROM R LEFT JOIN TR ON R.eppi_id = TR.eppi_id)"""
+
+
+@register("split_counts", with_r(_SPLIT_SQL + """
+SELECT part, CAST(count(*) AS BIGINT) AS n_rows,
+       CAST(count(*) FILTER (WHERE decision_binary = 1) AS BIGINT) AS n_included,
+       CAST(count(*) FILTER (WHERE held) AS BIGINT) AS n_holdout
+FROM PARTS GROUP BY part"""))
+def q_split_counts(spark, sf_dir):
+    from sievekit.operators.joins import split_train_unseen
+    from sievekit.operators.sampling import sample_n, sample_strata
+
+    r = records(spark, sf_dir)
+    holdout = sample_n(r.select("eppi_id"), 50, 7).select("eppi_id")
+    pool = r.join(holdout, "eppi_id", "left_anti")
+    train_ids = sample_strata(pool, [("inc", F.col("decision_binary") == 1, 40),
+                                     ("exc", F.col("decision_binary") == 0, 40)], 2026).select("eppi_id")
+    train, unseen = split_train_unseen(r, train_ids, holdout_ids=holdout)
+    held = holdout.withColumn("__held", F.lit(True))
+    parts = train.withColumn("part", F.lit("train")).unionByName(unseen.withColumn("part", F.lit("unseen")))
+    parts = parts.join(held, "eppi_id", "left")
+    return tidy(parts.groupBy("part").agg(
+        F.count(F.lit(1)).alias("n_rows"),
+        F.count_if(F.col("decision_binary") == 1).alias("n_included"),
+        F.count_if(F.col("__held").isNotNull()).alias("n_holdout"),
+    ))
+
+
+@register("title_link", with_r(f"""
+LST AS (SELECT DISTINCT split_part(d.text, chr(10), 1) AS list_title
+        FROM documents d JOIN labels l ON d.doc_id = l.doc_id WHERE l.toxic = 1),
+LK AS (SELECT list_title, {_norm_sql('list_title')} AS k FROM LST)
+SELECT R.eppi_id, LK.list_title FROM R JOIN LK ON {_norm_sql('R.title')} = LK.k WHERE LK.k <> ''"""))
+def q_title_link(spark, sf_dir):
+    from sievekit.operators.joins import title_link
+    from sievekit.sources.tables import table
+
+    lab = table(spark, sf_dir, "labels").filter(F.col("toxic") == 1)
+    lst = (table(spark, sf_dir, "documents").join(lab, "doc_id", "left_semi")
+           .select(F.split_part("text", F.lit("\n"), F.lit(1)).alias("list_title")).distinct())
+    lst = lst.withColumn("t", F.col("list_title"))
+    linked = title_link(records(spark, sf_dir).select("eppi_id", "title"), lst, "title", "t", ["list_title"])
+    return tidy(linked.select("eppi_id", "list_title"))
