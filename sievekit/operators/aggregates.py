@@ -78,23 +78,28 @@ def error_lists(decisions: DataFrame, decision: str = "decision_binary", truth:
 
 
 def label_conflicts(df: DataFrame, group: str, label: str, code: str, ordinal: str = "ordinal",
-                    included: str = "included", excluded: str = "excluded") -> DataFrame:
+                    id_col: str | None = None, included: str = "included", excluded: str = "excluded") -> DataFrame:
     """A merged record labelled both included and excluded gets code 1.
 
-    Per group: ``labels`` (sorted labels joined by ", ", null if none),
-    ``conflict``, and ``human_code`` resolved as 1 on conflict, else the
-    code of the first member. The test is on the label array, so every
-    order and multiplicity of the two labels is caught.
+    Per group: ``labels`` (sorted distinct labels joined by ", ", null if
+    none; bounded whatever the group size), ``conflict``, and ``human_code``
+    resolved as 1 on conflict, else the code of the first member that has
+    one. The test is on the label set, so every order and multiplicity of the
+    two labels is caught (the fixed list of three orders is not needed).
+    With ``id_col`` the group's least id is returned as ``cluster_id``.
     """
-    labs = F.array_sort(F.collect_list(label))
+    labs = F.array_sort(F.collect_set(label))
+    extra = [F.min(id_col).alias("cluster_id")] if id_col else []
     g = df.groupBy(group).agg(
+        *extra,
         F.count(F.lit(1)).cast("long").alias("n_members"),
         labs.alias("__labs"),
-        F.min_by(F.col(code), F.col(ordinal)).alias("__code"),
+        F.min_by(F.col(code), F.when(F.col(code).isNotNull(), F.col(ordinal))).alias("__code"),
     )
     conflict = F.array_contains("__labs", included) & F.array_contains("__labs", excluded)
     return g.select(
         group,
+        *(["cluster_id"] if id_col else []),
         "n_members",
         F.when(F.size("__labs") > 0, F.array_join("__labs", ", ")).alias("labels"),
         conflict.alias("conflict"),

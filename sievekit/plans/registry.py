@@ -398,3 +398,257 @@ def q_title_link(spark, sf_dir):
     lst = lst.withColumn("t", F.col("list_title"))
     linked = title_link(records(spark, sf_dir).select("eppi_id", "title"), lst, "title", "t", ["list_title"])
     return tidy(linked.select("eppi_id", "list_title"))
+
+
+# ---------------------------------------------------------------- H1 H2 A2 B2
+_BIND_SQL = """
+SRC AS (SELECT d.doc_id AS eppi_id, d.doc_id AS ordinal, split_part(d.text, chr(10), 1) AS title,
+               l.quality AS human_code, 'search' AS cite_source,
+               CASE l.quality WHEN 1 THEN 'included' WHEN 0 THEN 'excluded' END AS cite_label, 0 AS part
+        FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id),
+BEN AS (SELECT item_id AS other_id, item_id AS ordinal, split_part(text, chr(10), 1) AS title, 1 AS human_code,
+               'benchmark' AS cite_source, 'benchmark' AS cite_label, 1 AS part FROM benchmark),
+U AS (SELECT * FROM SRC UNION ALL BY NAME SELECT * FROM BEN)"""
+
+
+def _bound(spark, sf_dir):
+    from sievekit.operators.sets import bind_rows, with_constants
+    from sievekit.sources.tables import table
+
+    r = records(spark, sf_dir)
+    src = with_constants(
+        r.select("eppi_id", "ordinal", "title", "human_code",
+                 F.when(F.col("human_code") == 1, "included").when(F.col("human_code") == 0, "excluded").alias("cite_label")),
+        cite_source="search")
+    ben = with_constants(
+        table(spark, sf_dir, "benchmark").select(
+            F.col("item_id").alias("other_id"), F.col("item_id").alias("ordinal"),
+            F.split_part("text", F.lit("\n"), F.lit(1)).alias("title")),
+        human_code=1, cite_source="benchmark", cite_label="benchmark")
+    return bind_rows(src, ben.withColumn("human_code", F.col("human_code").cast("int")))
+
+
+@register("bind_rows_fill", "WITH " + _BIND_SQL + """
+SELECT CAST(eppi_id AS BIGINT) AS eppi_id, CAST(other_id AS BIGINT) AS other_id, CAST(ordinal AS BIGINT) AS ordinal,
+       title, CAST(human_code AS BIGINT) AS human_code, cite_source, cite_label, CAST(part AS BIGINT) AS part FROM U""")
+def q_bind(spark, sf_dir):
+    return tidy(_bound(spark, sf_dir).select("eppi_id", "other_id", "ordinal", "title", "human_code",
+                                             "cite_source", "cite_label", "part"))
+
+
+@register("unique_labels", "WITH " + _BIND_SQL + "\nSELECT DISTINCT cite_label FROM U")
+def q_unique(spark, sf_dir):
+    from sievekit.operators.sets import unique_values
+
+    return unique_values(_bound(spark, sf_dir), "cite_label")
+
+
+# ---------------------------------------------------------------- B1 B4 B5 B6
+@register("paste_na", with_r("""
+SELECT eppi_id, coalesce(title, 'NA') || ' ' || coalesce(nullif(split_part(abstract, chr(10), 2), ''), 'NA') AS text
+FROM R"""))
+def q_paste(spark, sf_dir):
+    from sievekit.functions.scalars import blank_to_null, paste
+
+    r = records(spark, sf_dir)
+    second = blank_to_null(F.split_part("abstract", F.lit("\n"), F.lit(2)))
+    return r.select("eppi_id", paste("title", second).alias("text"))
+
+
+@register("cast_codes", with_r("""
+SELECT eppi_id, CAST(TRY_CAST(substr(model, 4) AS INTEGER) AS BIGINT) AS model_num,
+       TRY_CAST(lang AS DOUBLE) AS lang_num, TRY_CAST(CAST(human_code AS VARCHAR) AS DOUBLE) AS code_num FROM R"""))
+def q_cast(spark, sf_dir):
+    from sievekit.functions.scalars import to_number
+
+    r = records(spark, sf_dir)
+    return tidy(r.select("eppi_id", to_number(F.substring("model", 4, 1 << 20), "int").alias("model_num"),
+                         to_number(F.col("lang"), "double").alias("lang_num"),
+                         to_number(F.col("human_code").cast("string"), "double").alias("code_num")))
+
+
+@register("if_else_null", with_r("""
+SELECT eppi_id, CASE WHEN included_full = 1 THEN 'include' WHEN NOT (included_full = 1) THEN 'exclude' END AS verdict
+FROM R"""))
+def q_if_else(spark, sf_dir):
+    from sievekit.functions.scalars import if_else
+
+    r = records(spark, sf_dir)
+    return r.select("eppi_id", if_else(F.col("included_full") == 1, "include", "exclude").alias("verdict"))
+
+
+@register("select_range", with_r("""
+SELECT eppi_id, CAST(human_code AS BIGINT) AS human_code, CAST(included_full AS BIGINT) AS included_full,
+       CAST(decision_binary AS BIGINT) AS decision_binary FROM R"""))
+def q_select_range(spark, sf_dir):
+    from sievekit.functions.scalars import select_range
+
+    return tidy(select_range(records(spark, sf_dir), "human_code", "decision_binary", keep=["eppi_id"]))
+
+
+# ---------------------------------------------------------------- E5 E6 J1
+def _ratio_sql(num: str, den: str) -> str:
+    return f"round(CASE WHEN ({den}) = 0 THEN NULL ELSE CAST({num} AS DOUBLE) / ({den}) END, 6)"
+
+
+@register("performance_by_model", with_r(f"""
+C AS (SELECT model, count(*) AS n,
+             count(*) FILTER (WHERE decision_binary = 1 AND human_code = 1) AS tp,
+             count(*) FILTER (WHERE decision_binary = 0 AND human_code = 1) AS fn,
+             count(*) FILTER (WHERE decision_binary = 1 AND human_code = 0) AS fp,
+             count(*) FILTER (WHERE decision_binary = 0 AND human_code = 0) AS tn
+      FROM R GROUP BY model)
+SELECT model, CAST(n AS BIGINT) AS n, CAST(tp AS BIGINT) AS tp, CAST(fn AS BIGINT) AS fn,
+       CAST(fp AS BIGINT) AS fp, CAST(tn AS BIGINT) AS tn,
+       {_ratio_sql('tp', 'tp + fn')} AS recall, {_ratio_sql('tn', 'tn + fp')} AS specificity,
+       {_ratio_sql('tp', 'tp + fp')} AS precision, {_ratio_sql('tn', 'tn + fn')} AS npv,
+       {_ratio_sql('tp + tn', 'tp + tn + fp + fn')} AS accuracy, {_ratio_sql('2 * tp', '2 * tp + fp + fn')} AS f1
+FROM C"""))
+def q_performance(spark, sf_dir):
+    from sievekit.operators.aggregates import performance
+
+    return tidy(performance(records(spark, sf_dir), ["model"]))
+
+
+@register("error_lists", with_r("""
+SELECT eppi_id, model,
+       CASE WHEN decision_binary = 0 AND human_code = 1 THEN 'false_negative' ELSE 'false_positive' END AS error_type,
+       CAST(decision_binary AS BIGINT) AS decision_binary, CAST(human_code AS BIGINT) AS human_code, abstract
+FROM R WHERE (decision_binary = 0 AND human_code = 1) OR (decision_binary = 1 AND human_code = 0)"""))
+def q_errors(spark, sf_dir):
+    from sievekit.operators.aggregates import error_lists
+
+    r = records(spark, sf_dir)
+    return tidy(error_lists(r, columns=["model", "decision_binary", "human_code", "abstract"]))
+
+
+@register("missed_final", with_r("""
+SELECT eppi_id, title, TRY_CAST(CAST(human_code AS VARCHAR) AS DOUBLE) AS human_code,
+       TRY_CAST(CAST(included_full AS VARCHAR) AS DOUBLE) AS included_full,
+       TRY_CAST(CAST(decision_binary AS VARCHAR) AS DOUBLE) AS decision_binary
+FROM R WHERE model = 'src1' AND included_full = 1 AND decision_binary = 0"""))
+def q_missed_final(spark, sf_dir):
+    from sievekit.operators.agreement import decisions_for_model
+
+    d = decisions_for_model(records(spark, sf_dir), "src1", "human_code", "decision_binary")
+    return tidy(d.filter((F.col("included_full") == 1) & (F.col("decision_binary") == 0))
+                .select("eppi_id", "title", "human_code", "included_full", "decision_binary"))
+
+
+# ---------------------------------------------------------------- J2
+_AGREE_SQL = """
+A AS (SELECT eppi_id, decision_binary AS decision_a FROM R),
+B AS (SELECT doc_id AS eppi_id, quality AS decision_b FROM labels),
+X AS (SELECT decision_a, decision_b, count(*) AS n FROM A JOIN B ON A.eppi_id = B.eppi_id GROUP BY ALL)"""
+
+
+def _runs_ab(spark, sf_dir):
+    from sievekit.sources.tables import table
+
+    a = records(spark, sf_dir).select("eppi_id", "decision_binary")
+    b = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("eppi_id"), F.col("quality").alias("decision_binary"))
+    return a, b
+
+
+@register("run_agreement", with_r(_AGREE_SQL + """
+SELECT CAST(decision_a AS BIGINT) AS decision_a, CAST(decision_b AS BIGINT) AS decision_b, CAST(n AS BIGINT) AS n FROM X"""))
+def q_agreement(spark, sf_dir):
+    from sievekit.operators.agreement import run_agreement
+
+    return tidy(run_agreement(*_runs_ab(spark, sf_dir)))
+
+
+@register("run_agreement_summary", with_r(_AGREE_SQL + """,
+S AS (SELECT sum(n) AS n, sum(n) FILTER (WHERE decision_a IS NOT DISTINCT FROM decision_b) AS agree,
+             sum(n) FILTER (WHERE decision_a = 1) AS a1, sum(n) FILTER (WHERE decision_a = 0) AS a0,
+             sum(n) FILTER (WHERE decision_b = 1) AS b1, sum(n) FILTER (WHERE decision_b = 0) AS b0 FROM X),
+P AS (SELECT *, CAST(agree AS DOUBLE) / n AS po, CAST(coalesce(a1,0) * coalesce(b1,0) + coalesce(a0,0) * coalesce(b0,0) AS DOUBLE) / (n * n) AS pe FROM S)
+SELECT CAST(n AS BIGINT) AS n, CAST(agree AS BIGINT) AS agree, CAST(n - agree AS BIGINT) AS flips,
+       round(po, 6) AS agreement_rate, round(CASE WHEN pe = 1 THEN NULL ELSE (po - pe) / (1 - pe) END, 6) AS kappa FROM P"""))
+def q_agreement_summary(spark, sf_dir):
+    from sievekit.operators.agreement import agreement_summary, run_agreement
+
+    return tidy(agreement_summary(run_agreement(*_runs_ab(spark, sf_dir))))
+
+
+# ---------------------------------------------------------------- E4 E7 D4 (exact)
+_GROUPS_SQL = f"""
+G AS (SELECT eppi_id, ordinal, human_code, {_norm_sql('abstract')} AS k,
+             CASE human_code WHEN 1 THEN 'included' WHEN 0 THEN 'excluded' END AS cite_label FROM R),
+LC AS (SELECT min(eppi_id) AS cluster_id, count(*) AS n_members,
+              list_sort(list(DISTINCT cite_label) FILTER (WHERE cite_label IS NOT NULL)) AS labs,
+              arg_min(human_code, ordinal) FILTER (WHERE human_code IS NOT NULL) AS code
+       FROM G GROUP BY k),
+LC2 AS (SELECT *, coalesce(list_contains(labs, 'included') AND list_contains(labs, 'excluded'), false) AS conflict FROM LC)"""
+
+
+def _conflicts(spark, sf_dir):
+    from sievekit.functions.scalars import normalise_text
+    from sievekit.operators.aggregates import label_conflicts
+
+    r = records(spark, sf_dir).withColumn("__k", normalise_text("abstract")).withColumn(
+        "cite_label", F.when(F.col("human_code") == 1, "included").when(F.col("human_code") == 0, "excluded"))
+    out = label_conflicts(r, "__k", "cite_label", "human_code", id_col="eppi_id")
+    return out
+
+
+@register("label_conflicts", with_r(_GROUPS_SQL + """
+SELECT cluster_id, CAST(n_members AS BIGINT) AS n_members,
+       CASE WHEN len(labs) > 0 THEN array_to_string(labs, ', ') END AS labels, conflict,
+       CAST(CASE WHEN conflict THEN 1 ELSE code END AS BIGINT) AS human_code FROM LC2"""))
+def q_label_conflicts(spark, sf_dir):
+    return tidy(_conflicts(spark, sf_dir).select("cluster_id", "n_members", "labels", "conflict", "human_code"))
+
+
+@register("label_conflict_any", with_r(_GROUPS_SQL + """
+SELECT coalesce(bool_or(conflict), false) AS any_conflict, CAST(count(*) FILTER (WHERE conflict) AS BIGINT) AS n_conflicts
+FROM LC2"""))
+def q_label_any(spark, sf_dir):
+    from sievekit.operators.aggregates import any_match
+
+    c = _conflicts(spark, sf_dir)
+    return tidy(any_match(c, F.col("conflict"), "any_conflict").crossJoin(
+        c.agg(F.count_if(F.col("conflict")).alias("n_conflicts"))))
+
+
+@register("dedup_exact", with_r(f"""
+G AS (SELECT eppi_id, {_norm_sql('abstract')} AS k FROM R)
+SELECT eppi_id, min(eppi_id) OVER (PARTITION BY k) AS cluster_id,
+       CAST(count(*) OVER (PARTITION BY k) AS BIGINT) AS n_members FROM G"""))
+def q_dedup_exact(spark, sf_dir):
+    from sievekit.operators.dedup import exact_clusters
+    from sievekit.functions.scalars import normalise_text
+
+    r = records(spark, sf_dir).select("eppi_id", normalise_text("abstract").alias("k"))
+    return tidy(exact_clusters(r, "eppi_id", "k").select("eppi_id", "cluster_id", "n_members"))
+
+
+# ---------------------------------------------------------------- C3
+@register("criteria_screen", with_r("""
+C AS (SELECT eppi_id,
+             coalesce(regexp_matches(abstract, '(?i)(^|[^a-z])the([^a-z]|$)'), false) AS a,
+             coalesce(lang = 'en', false) AS b, coalesce(n_chars >= 500, false) AS c FROM R)
+SELECT eppi_id, CAST(CASE WHEN a AND b AND c THEN 1 ELSE 0 END AS BIGINT) AS decision_binary,
+       concat_ws(',', CASE WHEN NOT a THEN 'A' END, CASE WHEN NOT b THEN 'B' END, CASE WHEN NOT c THEN 'C' END)
+         AS failed_criteria
+FROM C"""))
+def q_criteria(spark, sf_dir):
+    from sievekit.operators.filters import criteria_screen, regex_criterion
+
+    r = records(spark, sf_dir)
+    crit = {"A": regex_criterion("abstract", "(^|[^a-z])the([^a-z]|$)"), "B": F.col("lang") == "en",
+            "C": F.col("n_chars") >= 500}
+    s = criteria_screen(r, crit)
+    return tidy(s.select("eppi_id", "decision_binary", F.array_join("failed_criteria", ",").alias("failed_criteria")))
+
+
+# ---------------------------------------------------------------- D4 fuzzy (rows-only)
+@register("dedup_fuzzy")
+def q_dedup_fuzzy(spark, sf_dir):
+    """Cluster map of the records: exact copies + MinHash near copies."""
+    from sievekit.operators.dedup import dedup
+
+    r = records(spark, sf_dir).withColumn(
+        "cite_label", F.when(F.col("human_code") == 1, "included").when(F.col("human_code") == 0, "excluded"))
+    out = dedup(r.select("eppi_id", "ordinal", "abstract", "cite_label"), label="cite_label")
+    return tidy(out["clusters"])
