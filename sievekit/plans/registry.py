@@ -652,3 +652,52 @@ def q_dedup_fuzzy(spark, sf_dir):
         "cite_label", F.when(F.col("human_code") == 1, "included").when(F.col("human_code") == 0, "excluded"))
     out = dedup(r.select("eppi_id", "ordinal", "abstract", "cite_label"), label="cite_label")
     return tidy(out["clusters"])
+
+
+# ---------------------------------------------------------------- A1 A3 round trip
+def _ris_source(spark, sf_dir):
+    r = records(spark, sf_dir)
+    return r.select(
+        F.col("eppi_id").cast("string").alias("eppi_id"), "ordinal", F.lit("JOUR").alias("type"), "title",
+        "abstract", F.array("model").alias("author"), F.array("lang", "model").alias("keywords"),
+        (F.lit(1990) + F.col("n_chars") % 30).cast("int").alias("year"),
+    )
+
+
+@register("ris_round_trip", with_r("""
+SELECT CAST(eppi_id AS VARCHAR) AS eppi_id, 'JOUR' AS type, title,
+       regexp_replace(abstract, '[ \t\n]+$', '') AS abstract, model AS author, lang || '|' || model AS keywords,
+       CAST(1990 + n_chars % 30 AS BIGINT) AS year
+FROM R"""))
+def q_ris_round_trip(spark, sf_dir):
+    """Write the records as a citation file, read it back (A3 -> A1)."""
+    from sievekit.session import scratch_dir
+    from sievekit.sources.ris import read_ris, write_ris
+
+    path = scratch_dir(spark, "ris")
+    write_ris(_ris_source(spark, sf_dir), path)
+    back = read_ris(spark, path)
+    return tidy(back.select("eppi_id", "type", "title", "abstract", F.array_join("author", "|").alias("author"),
+                            F.array_join("keywords", "|").alias("keywords"), "year"))
+
+
+# ---------------------------------------------------------------- A5 A6 report
+@register("report_blocks", with_r("""
+SELECT CAST(eppi_id AS VARCHAR) AS study_id,
+       CASE WHEN human_code = 1 AND decision_binary = 0 THEN 'False exclusion'
+            WHEN human_code = 0 AND decision_binary = 1 THEN 'False inclusion' ELSE 'Agreements' END AS section,
+       title, CAST(decision_binary AS BIGINT) AS decision_binary, CAST(human_code AS BIGINT) AS human_code, model,
+       'criteria met: ' || CAST(decision_binary AS VARCHAR) AS answer
+FROM R WHERE human_code IS NOT NULL"""))
+def q_report_blocks(spark, sf_dir):
+    """Write the adjudication report for the coded records, read it back."""
+    from sievekit.session import scratch_dir
+    from sievekit.sources.report import read_report, write_report
+
+    r = records(spark, sf_dir).withColumn(
+        "answer", F.concat(F.lit("criteria met: "), F.col("decision_binary").cast("string"))
+    ).withColumn("run_date", F.lit("2026-06-04"))
+    path = scratch_dir(spark, "report")
+    write_report(r, path)
+    back = read_report(spark, path)
+    return tidy(back.select("study_id", "section", "title", "decision_binary", "human_code", "model", "answer"))
