@@ -53,35 +53,41 @@ def shuffle_rows(df: DataFrame, seed: int | str, key: str = "eppi_id", position:
     return rank_rows(keyed, "__hd", "__h", descending=False, position=position, totals=False).drop("__h", "__hd")
 
 
-def sample_strata(df: DataFrame, strata: list[tuple[str, Column, int]], seed: int | str,
+def sample_strata(df: DataFrame, strata: list[tuple[str, Column, int | None]], seed: int | str,
                   key: str = "eppi_id") -> DataFrame:
     """n_i rows from each stratum, stacked in stratum order, first per key.
 
-    ``strata`` = [(name, condition, n), ...]; a row may meet several
-    conditions and is then kept once, from the first stratum that drew it
-    (``bind_rows`` + ``slice(1, .by = key)``). Adds ``stratum``,
-    ``stratum_index`` and ``sample_rank`` (draw order within the stratum).
+    ``strata`` = [(name, condition, n), ...]; ``n = None`` takes the whole
+    stratum. A row may meet several conditions and is then kept once, from
+    the first stratum that drew it (``bind_rows`` + ``slice(1, .by = key)``).
+    Adds ``stratum``, ``stratum_index`` and ``sample_rank`` (draw order
+    within the stratum; null for whole strata).
 
     One pass: each row is expanded to the strata it meets, ranked by its
     hash within the stratum; ``row_number() <= n`` lets Spark cut every
     partition to n rows per stratum before the shuffle (WindowGroupLimit).
+    Whole strata are not ranked, so an unbounded stratum never goes through
+    one window task.
     """
     names = F.array(*[F.lit(s[0]) for s in strata])
-    sizes = F.array(*[F.lit(int(s[2])) for s in strata])
+    sizes = F.array(*[F.lit(int(s[2]) if s[2] is not None else -1) for s in strata])
     member = F.array_compact(F.array(*[F.when(F.coalesce(c, F.lit(False)), F.lit(i)) for i, (_, c, _) in enumerate(strata)]))
     exploded = df.withColumn("stratum_index", F.explode(member))
+    size = F.element_at(sizes, F.col("stratum_index") + 1)
+    whole = exploded.filter(size < 0).withColumn("sample_rank", F.lit(None).cast("int"))
+    limited = exploded.filter(size >= 0)
     # Each stratum draws with its own seed "<seed>-<index>".
     stratum_seed = F.concat(F.lit(f"{seed}-"), F.col("stratum_index").cast("string"))
-    exploded = exploded.withColumn("__h", hash_key(key, stratum_seed))
+    limited = limited.withColumn("__h", hash_key(key, stratum_seed))
     w = Window.partitionBy("stratum_index").orderBy("__h", key)
     # The literal bound lets Spark infer a per-partition WindowGroupLimit
     # (the per-stratum size alone is not foldable).
-    n_max = max(int(s[2]) for s in strata)
-    drawn = exploded.withColumn("sample_rank", F.row_number().over(w)).filter(
-        (F.col("sample_rank") <= F.lit(n_max))
-        & (F.col("sample_rank") <= F.element_at(sizes, F.col("stratum_index") + 1))
-    )
-    drawn = drawn.withColumn("stratum", F.element_at(names, F.col("stratum_index") + 1)).drop("__h")
+    n_max = max([int(s[2]) for s in strata if s[2] is not None] or [0])
+    drawn = limited.withColumn("sample_rank", F.row_number().over(w)).filter(
+        (F.col("sample_rank") <= F.lit(n_max)) & (F.col("sample_rank") <= size)
+    ).drop("__h")
+    drawn = drawn.unionByName(whole)
+    drawn = drawn.withColumn("stratum", F.element_at(names, F.col("stratum_index") + 1))
     firsts = first_per_key(drawn.withColumn("__o", F.struct("stratum_index", "sample_rank")), key, "__o")
     return firsts.drop("__o").withColumn("sample_rank", F.col("sample_rank").cast("long"))
 

@@ -701,3 +701,37 @@ def q_report_blocks(spark, sf_dir):
     write_report(r, path)
     back = read_report(spark, path)
     return tidy(back.select("study_id", "section", "title", "decision_binary", "human_code", "model", "answer"))
+
+
+# ---------------------------------------------------------------- I1-I4 model
+def _with_vectors(spark, sf_dir):
+    from sievekit.sources.tables import table
+
+    emb = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("eppi_id"), "embedding")
+    return records(spark, sf_dir).join(emb, "eppi_id")
+
+
+@register("priority_lambda_max", with_r("""
+E AS (SELECT R.eppi_id, CAST(R.decision_binary AS DOUBLE) AS y, e.embedding FROM R JOIN embeddings e ON e.vec_id = R.eppi_id),
+X AS (SELECT y, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS j FROM E),
+P AS (SELECT j, covar_pop(x, y) AS c, stddev_pop(x) AS s FROM X GROUP BY j)
+SELECT round(max(abs(c) / s), 6) AS lambda_max FROM P"""))
+def q_lambda_max(spark, sf_dir):
+    from sievekit.operators.model import lambda_max_df
+
+    return tidy(lambda_max_df(_with_vectors(spark, sf_dir), "embedding", "decision_binary"))
+
+
+@register("priority_list")
+def q_priority_list(spark, sf_dir):
+    """Train on all model-included + 100 excluded records (50 held out), rank the rest."""
+    from sievekit.operators.sampling import sample_n
+    from sievekit.plans.priority import priority_screening
+    from sievekit.sources.tables import table
+
+    data = _with_vectors(spark, sf_dir)
+    holdout = sample_n(data.select("eppi_id"), 50, 4062026).select("eppi_id")
+    finals = table(spark, sf_dir, "labels").filter(F.col("toxic") == 1).select(F.col("doc_id").alias("eppi_id"))
+    strata = [("included", F.col("decision_binary") == 1, None), ("excluded", F.col("decision_binary") == 0, 100)]
+    ranked, _ = priority_screening(data, strata, 4062026, holdout_ids=holdout, final_ids=finals, n_lambda=4, folds=3)
+    return tidy(ranked.select("eppi_id", "position", "priority_score", "review_included"))
