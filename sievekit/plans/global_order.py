@@ -35,6 +35,8 @@ from pyspark.sql import functions as F
 # can be cut into. 4096 cells of 10^6 rows cover 4 * 10^9 rows per list.
 MAX_BUCKETS = 4096
 ROWS_PER_BUCKET = 1_000_000
+# Probes taken with the row count in the first pass.
+FIRST_PROBES = 64
 # Largest cell table we broadcast (rows); above it Spark picks the join.
 BROADCAST_CELL_LIMIT = 2_000_000
 
@@ -49,32 +51,46 @@ class OrderStats:
     ordinal_cuts: list[float]
 
 
-def _pick(cuts: list, k: int) -> list[float]:
-    """Every (len/k)-th probe quantile (with multiplicity), then distinct.
+def _cuts(vals: list, k: int) -> list[float]:
+    """Probe quantiles ``i/k`` -> distinct sorted cuts.
 
-    A value holding more than 1/k of the rows fills several probe slots, so
-    it is always picked and gets a singleton bucket.
+    A value holding more than 1/k of the rows fills several probes, so it
+    always becomes a cut and gets a singleton bucket.
     """
-    vals = sorted(float(c) for c in cuts if c is not None and not math.isnan(float(c)))
-    if k <= 1 or not vals:
+    if k <= 1:
         return []
-    step = len(vals) / k
-    return sorted({vals[min(len(vals) - 1, int(step * i))] for i in range(1, k)})
+    return sorted({float(c) for c in vals if c is not None and not math.isnan(float(c))})
+
+
+def _probe_aggs(score: str, ordinal: str, k: int) -> list:
+    probes = [i / k for i in range(1, k)]
+    acc = max(10_000, 4 * k)
+    return [F.percentile_approx(F.col(score).cast("double"), probes, acc).alias("sc"),
+            F.percentile_approx(F.col(ordinal).cast("double"), probes, acc).alias("oc")]
 
 
 def order_stats(df: DataFrame, score: str, ordinal: str, rows_per_bucket: int = ROWS_PER_BUCKET,
                 max_buckets: int = MAX_BUCKETS) -> OrderStats:
-    """Count and quantile cuts in one aggregate (one action)."""
-    probes = [i / max_buckets for i in range(1, max_buckets)]
-    acc = max(10_000, 8 * max_buckets)
-    row = df.agg(
-        F.count(F.lit(1)).alias("n"),
-        F.percentile_approx(F.col(score).cast("double"), probes, acc).alias("sc"),
-        F.percentile_approx(F.col(ordinal).cast("double"), probes, acc).alias("oc"),
-    ).first()
+    """Row count and quantile cuts.
+
+    One aggregate gives the count and ``FIRST_PROBES`` probe quantiles, which
+    serve every list up to ``FIRST_PROBES * rows_per_bucket`` rows; longer
+    lists take a second aggregate with ``k - 1`` probes (k buckets).
+    """
+    row = df.agg(F.count(F.lit(1)).alias("n"), *_probe_aggs(score, ordinal, FIRST_PROBES)).first()
     n = int(row["n"])
     k = max(1, min(max_buckets, math.ceil(n / max(1, rows_per_bucket))))
-    return OrderStats(n=n, score_cuts=_pick(row["sc"] or [], k), ordinal_cuts=_pick(row["oc"] or [], k))
+    if k <= 1:
+        return OrderStats(n=n, score_cuts=[], ordinal_cuts=[])
+    if k <= FIRST_PROBES:
+        # every (FIRST_PROBES / k)-th probe: quantiles close to i/k
+        step = FIRST_PROBES / k
+        pick = [int(round(step * i)) - 1 for i in range(1, k)]
+        sc = [(row["sc"] or [None] * FIRST_PROBES)[j] for j in pick]
+        oc = [(row["oc"] or [None] * FIRST_PROBES)[j] for j in pick]
+        return OrderStats(n=n, score_cuts=_cuts(sc, k), ordinal_cuts=_cuts(oc, k))
+    row = df.agg(*_probe_aggs(score, ordinal, k)).first()
+    return OrderStats(n=n, score_cuts=_cuts(row["sc"] or [], k), ordinal_cuts=_cuts(row["oc"] or [], k))
 
 
 def _splits(cuts: list[float]) -> tuple[list[float], set[int]]:

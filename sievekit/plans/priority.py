@@ -10,6 +10,8 @@ and ranked by the partition-parallel global order (G1, F1).
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +21,12 @@ from sievekit.operators.sampling import sample_strata
 from sievekit.plans.global_order import rank_rows
 from sievekit.session import materialize
 
+TRAIN_ROWS_PER_PARTITION = 200_000
+
+
+def spark_parallelism(df: DataFrame) -> int:
+    return df.sparkSession.sparkContext.defaultParallelism
+
 
 def priority_screening(data: DataFrame, strata: list[tuple[str, Column, int | None]], seed: int | str,
                        key: str = "eppi_id", ordinal: str = "ordinal", label: str = "decision_binary",
@@ -34,6 +42,13 @@ def priority_screening(data: DataFrame, strata: list[tuple[str, Column, int | No
     train_ids = sample_strata(pool, strata, seed, key).select(key)
     train, unseen = split_train_unseen(data, train_ids, key, holdout_ids)
     train = M.embedding_features(train, vec)
+    if checkpoint:
+        # The optimiser runs one job per iteration for every fold and penalty:
+        # read a checkpointed training set in as few partitions as its size
+        # needs, not the sampling lineage in many small tasks.
+        train = materialize(train)
+        n_train = train.count()
+        train = train.coalesce(max(1, min(spark_parallelism(train), math.ceil(n_train / TRAIN_ROWS_PER_PARTITION))))
     lam_max = M.lambda_max(train, vec, label)
     model, lam = M.fit_priority(train, label=label, key=key, lam_max=lam_max * 1.0001 if lam_max > 0 else 1.0,
                                 n_lambda=n_lambda, folds=folds)

@@ -735,3 +735,22 @@ def q_priority_list(spark, sf_dir):
     strata = [("included", F.col("decision_binary") == 1, None), ("excluded", F.col("decision_binary") == 0, 100)]
     ranked, _ = priority_screening(data, strata, 4062026, holdout_ids=holdout, final_ids=finals, n_lambda=4, folds=3)
     return tidy(ranked.select("eppi_id", "position", "priority_score", "review_included"))
+
+
+# ---------------------------------------------------------------- streaming E5
+@register("streaming_performance", ORACLE["performance_by_model"])
+def q_streaming_performance(spark, sf_dir):
+    """Answers land as files (every answer twice); the streaming summary must
+    equal the batch one."""
+    from sievekit.session import scratch_dir
+    from sievekit.streaming.decisions import start_summary
+
+    r = records(spark, sf_dir)
+    answers = r.select("eppi_id", "model", "decision_binary")
+    base = scratch_dir(spark, "stream")
+    for part in ("a", "b"):
+        answers.repartition(4, "model").write.mode("overwrite").parquet(f"{base}/answers/{part}")
+    q = start_summary(f"{base}/answers/*", r.select("eppi_id", "human_code"), f"{base}/summary", f"{base}/ckpt")
+    q.awaitTermination()
+    return tidy(spark.read.parquet(f"{base}/summary").select(
+        "model", "n", "tp", "fn", "fp", "tn", "recall", "specificity", "precision", "npv", "accuracy", "f1"))
