@@ -754,3 +754,42 @@ def q_streaming_performance(spark, sf_dir):
     q.awaitTermination()
     return tidy(spark.read.parquet(f"{base}/summary").select(
         "model", "n", "tp", "fn", "fp", "tn", "recall", "specificity", "precision", "npv", "accuracy", "f1"))
+
+
+# ---------------------------------------------------------------- E1 E3 A4
+@register("included_totals", with_r("""
+SELECT model, CAST(count(*) FILTER (WHERE included_full = 1) AS BIGINT) AS n_final,
+       CAST(count(*) FILTER (WHERE human_code = 1) AS BIGINT) AS n_human,
+       CAST(sum(decision_binary) AS BIGINT) AS sum_decision, CAST(count(*) AS BIGINT) AS n
+FROM R GROUP BY model"""))
+def q_included_totals(spark, sf_dir):
+    from sievekit.operators.aggregates import count_equal
+
+    r = records(spark, sf_dir)
+    return tidy(r.groupBy("model").agg(
+        count_equal("included_full").alias("n_final"), count_equal("human_code").alias("n_human"),
+        F.sum("decision_binary").alias("sum_decision"), F.count(F.lit(1)).alias("n")))
+
+
+@register("group_summary", with_r("""
+SELECT model, CAST(arg_min(decision_binary, ordinal) AS BIGINT) AS first_decision_binary, CAST(count(*) AS BIGINT) AS n,
+       round(min(score), 6) AS min_score, round(max(score), 6) AS max_score
+FROM R GROUP BY model"""))
+def q_group_summary(spark, sf_dir):
+    from sievekit.operators.aggregates import group_summary
+
+    return tidy(group_summary(records(spark, sf_dir), ["model"], "decision_binary", "ordinal", "score"))
+
+
+@register("snapshot_round_trip", with_r("""
+SELECT eppi_id, title, CAST(human_code AS BIGINT) AS human_code, CAST(included_full AS BIGINT) AS included_full, model
+FROM R"""))
+def q_snapshot(spark, sf_dir):
+    """A4: save the record table as a Parquet snapshot (partitioned by model) and load it."""
+    from sievekit.session import scratch_dir
+    from sievekit.sources.tables import load_table, save_table
+
+    path = scratch_dir(spark, "snapshot")
+    save_table(records(spark, sf_dir).select("eppi_id", "title", "human_code", "included_full", "model"), path,
+               partition_by=["model"])
+    return tidy(load_table(spark, path).select("eppi_id", "title", "human_code", "included_full", "model"))
