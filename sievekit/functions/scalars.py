@@ -92,13 +92,14 @@ def select_range(df: DataFrame, first: str, last: str, keep: Iterable[str] = ())
 def normalise_text(c: str | Column) -> Column:
     """Comparison key for titles/texts: ASCII letters and digits, lower case.
 
-    HTML entities are decoded first for the common ones (``&amp;`` etc.), the
-    rest of the punctuation, spacing and accents are dropped.
+    The common HTML entities (``&amp;`` ``&lt;`` ``&gt;`` ``&quot;``
+    ``&#39;``) stand for punctuation, which the key drops, so they are
+    dropped whole (only texts that contain ``&`` are searched); then the
+    text is lower-cased and every character but a-z, 0-9 is dropped.
     """
     x = col_(c)
-    for ent, rep in (("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'")):
-        x = F.replace(x, F.lit(ent), F.lit(rep))
-    return F.lower(F.regexp_replace(x, r"[^A-Za-z0-9]", ""))
+    x = F.when(F.instr(x, "&") > 0, F.regexp_replace(x, r"&(?:amp|lt|gt|quot|#39);", "")).otherwise(x)
+    return F.regexp_replace(F.lower(x), r"[^a-z0-9]+", "")
 
 
 def normalise_doi(c: str | Column) -> Column:

@@ -121,9 +121,7 @@ def _hash_sql(ident: str, seed: str) -> str:
 
 def _norm_sql(x: str) -> str:
     """SQL twin of functions.scalars.normalise_text."""
-    for ent, rep in (("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''")):
-        x = f"replace({x}, '{ent}', '{rep}')"
-    return f"lower(regexp_replace({x}, '[^A-Za-z0-9]', '', 'g'))"
+    return f"regexp_replace(lower(regexp_replace({x}, '&(amp|lt|gt|quot|#39);', '', 'g')), '[^a-z0-9]+', '', 'g')"
 
 
 # ---------------------------------------------------------------- flagship (C2 + F6)

@@ -69,3 +69,17 @@ def materialize(df: DataFrame) -> DataFrame:
     """
     checkpoint_root(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Round-robin spread a scan that has fewer partitions than cores.
+
+    A small input (one Parquet row group, one text file) arrives as one
+    task; CPU-heavy per-row work (text normalisation, shingling) would then
+    run on one core. Large inputs have more splits than cores and are
+    returned unchanged (no shuffle). Projections and filters are still pushed
+    below the repartition to the scan.
+    """
+    want = df.sparkSession.sparkContext.defaultParallelism
+    have = df.rdd.getNumPartitions()
+    return df.repartition(want) if have < want else df

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievekit.functions.scalars import first_line
+from sievekit.session import spread
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents "
@@ -44,7 +45,7 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     valued double with many ties on purpose; ``decision_binary`` stands for a
     model's include/exclude answer.
     """
-    d = table(spark, sf_dir, "documents")
+    d = spread(table(spark, sf_dir, "documents"))
     lab = table(spark, sf_dir, "labels").select(
         "doc_id", F.col("quality").alias("human_code"), F.col("toxic").alias("included_full")
     )
