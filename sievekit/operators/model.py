@@ -16,7 +16,9 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
@@ -53,10 +55,8 @@ def encoder_features(make_encoder: Callable[[], Callable], dim: int) -> Callable
     ``make_encoder()`` runs once per Python worker and returns
     ``encode(list[str]) -> array (n, dim)``; batches arrive through Arrow.
     """
-    import pandas as pd
-
     @F.pandas_udf("array<float>")
-    def encode(batches):
+    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         enc = make_encoder()
         for s in batches:
             vecs = enc(s.fillna("").tolist())

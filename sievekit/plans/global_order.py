@@ -133,14 +133,16 @@ def assign_cells(df: DataFrame, score: str, ordinal: str, stats: OrderStats,
     ob = F.when(F.col(score).isNull(), F.lit(null_ob)).otherwise(ob)
     single_ob.append(null_ob)
 
-    out = bucketed.withColumn(_OB, ob).drop(tmp_s, tmp_b)
+    # Cell columns are made non-nullable so the join on them infers no
+    # IsNotNull filter (which would run the bucket search twice per row).
+    out = bucketed.withColumn(_OB, F.coalesce(ob, F.lit(-9))).drop(tmp_s, tmp_b)
     if stats.ordinal_cuts and stats.score_cuts:
         osplits = [-math.inf] + sorted(set(stats.ordinal_cuts)) + [math.inf]
         out = Bucketizer(splits=osplits, inputCol="__o_in", outputCol="__o_b", handleInvalid="keep").transform(
             out.withColumn("__o_in", F.col(ordinal).cast("double"))
         )
         sb = F.when(F.col(_OB).isin(single_ob), F.col("__o_b").cast("int")).otherwise(F.lit(0))
-        out = out.withColumn(_SB, sb).drop("__o_in", "__o_b")
+        out = out.withColumn(_SB, F.coalesce(sb, F.lit(0))).drop("__o_in", "__o_b")
     else:
         out = out.withColumn(_SB, F.lit(0))
     return out

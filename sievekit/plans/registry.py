@@ -584,7 +584,10 @@ def _conflicts(spark, sf_dir):
     from sievekit.functions.scalars import normalise_text
     from sievekit.operators.aggregates import label_conflicts
 
-    r = records(spark, sf_dir).withColumn("__k", normalise_text("abstract")).withColumn(
+    from sievekit.operators.dedup import key_hash
+
+    # group on a 128-bit hash of the normalised text, not the long text itself
+    r = records(spark, sf_dir).withColumn("__k", key_hash(normalise_text("abstract"))).withColumn(
         "cite_label", F.when(F.col("human_code") == 1, "included").when(F.col("human_code") == 0, "excluded"))
     out = label_conflicts(r, "__k", "cite_label", "human_code", id_col="eppi_id")
     return out
