@@ -40,8 +40,9 @@ def checkpoint_root(spark: SparkSession) -> str:
     """The shared checkpoint folder named by the cluster.
 
     Read from the session (``spark.checkpoint.dir`` or the context's
-    checkpoint dir). Only when neither is set (local tests) a fresh local
-    folder is created and registered.
+    checkpoint dir). Only when neither is set and the master is local (tests,
+    bench) a fresh local folder is created and registered; on a cluster an
+    unset folder is an error.
     """
     sc = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
@@ -49,6 +50,9 @@ def checkpoint_root(spark: SparkSession) -> str:
         if sc.getCheckpointDir() is None:
             sc.setCheckpointDir(configured)
         return sc.getCheckpointDir() or configured
+    if not sc.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a shared folder (a machine-local folder "
+                         "is lost with its executor)")
     local = tempfile.mkdtemp(prefix="sievekit-ckpt-")
     sc.setCheckpointDir(local)
     return sc.getCheckpointDir() or local
