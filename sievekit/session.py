@@ -84,6 +84,9 @@ def spread(df: DataFrame) -> DataFrame:
     returned unchanged (no shuffle). Projections and filters are still pushed
     below the repartition to the scan.
     """
-    want = df.sparkSession.sparkContext.defaultParallelism
-    have = df.rdd.getNumPartitions()
+    try:
+        want = df.sparkSession.sparkContext.defaultParallelism
+        have = df.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001 - no RDD view (e.g. a remote session): leave as is
+        return df
     return df.repartition(want) if have < want else df

@@ -126,3 +126,12 @@ def test_stopping_runs_match_dense_form(spark, seed):
 def test_slice_max_keeps_ties(recs):
     got = sorted(r["ordinal"] for r in O.slice_max(recs, "score", 2).collect())
     assert got == [1, 2, 3]  # 0.9 and the two tied 0.8
+
+
+def test_lag_first_default_is_first_value(spark):
+    rows = [("a", 1, 0), ("a", 2, None), ("a", 3, 1), ("b", 1, 1), ("b", 2, 1)]
+    df = spark.createDataFrame(rows, "g string, o long, x int")
+    out = {(r["g"], r["o"]): r["lx"] for r in df.select(
+        "g", "o", O.lag_first("x", [F.col("o")], ["g"]).alias("lx")).collect()}
+    # row 1 takes its own value; a null in mid-list is carried, not hidden
+    assert out == {("a", 1): 0, ("a", 2): 0, ("a", 3): None, ("b", 1): 1, ("b", 2): 1}
