@@ -31,9 +31,9 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Default number of probes for the quantile sketch: the most buckets a list
-# can be cut into. 4096 cells of 10^6 rows cover 4 * 10^9 rows per list.
-MAX_BUCKETS = 4096
+# The most buckets a list is cut into: 16384 cells of 10^6 rows cover
+# 1.6 * 10^10 rows per list (longer lists get proportionally larger cells).
+MAX_BUCKETS = 16384
 ROWS_PER_BUCKET = 1_000_000
 # Probes taken with the row count in the first pass.
 FIRST_PROBES = 64

@@ -794,3 +794,12 @@ def q_snapshot(spark, sf_dir):
     save_table(records(spark, sf_dir).select("eppi_id", "title", "human_code", "included_full", "model"), path,
                partition_by=["model"])
     return tidy(load_table(spark, path).select("eppi_id", "title", "human_code", "included_full", "model"))
+
+
+@register("dedup_manual_pairs")
+def q_dedup_manual(spark, sf_dir):
+    """D4 second output: near-copy candidates too doubtful to merge (for review)."""
+    from sievekit.operators.dedup import dedup
+
+    out = dedup(records(spark, sf_dir).select("eppi_id", "ordinal", "abstract"))
+    return tidy(out["manual_pairs"].select("src", "dst", "similarity"))

@@ -22,7 +22,7 @@ def test_entry_runs(spark):
 def test_oracle_keys_are_queries():
     assert set(E.oracle_sql()) <= set(E.queries())
     missing = set(E.queries()) - set(E.oracle_sql())
-    assert missing == {"dedup_fuzzy", "priority_list"}
+    assert missing == {"dedup_fuzzy", "dedup_manual_pairs", "priority_list"}
 
 
 FAST = ["recall_curve_model", "stopping_runs_final", "sample_strata", "shuffle_order", "first_per_key_events",
