@@ -24,7 +24,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     e = edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).filter(F.col("a") != F.col("b"))
     both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     both = both.checkpoint(eager=True)
-    labels = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("label")).withColumnRenamed("a", "node")
+    labels = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("label")).withColumnRenamed("a", "node")
     labels = labels.checkpoint(eager=True)
     for _ in range(max_rounds):
         # least label among neighbours
@@ -40,4 +40,6 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
         labels = new
         if changed == 0:
             break
+    else:
+        raise RuntimeError(f"connected components did not converge in {max_rounds} rounds")
     return labels.withColumnRenamed("label", "component")

@@ -63,12 +63,13 @@ def _values(entries: str, tags: list[str]) -> Column:
     return F.transform(keep, lambda e: e["value"])
 
 
-def _file_ranks(raw: DataFrame, paths: Sequence[str]) -> DataFrame:
+def _file_ranks(splits: DataFrame, paths: Sequence[str]) -> DataFrame:
     """(source_file -> file_rank): position of the matching input path, then file name.
 
-    One row per input file (small); ranked by a window over that table.
+    Built from the per-split table (one row per split, small), so the text is
+    not scanned again; ranked by a window over one row per file.
     """
-    files = raw.select("source_file").distinct()
+    files = splits.select("source_file").distinct()
     idx = F.lit(len(paths))
     for i in reversed(range(len(paths))):
         p = paths[i].rstrip("/")
@@ -96,7 +97,7 @@ def read_ris(spark: SparkSession, paths: str | Sequence[str], labels: dict[str,
     )
     # Record index within its split: offset from the split's first row id.
     firsts = raw.groupBy("source_file", "block_start").agg(F.min("mono").alias("mono0"))
-    ranks = _file_ranks(raw, paths)
+    ranks = _file_ranks(firsts, paths)
     recs = (
         raw.join(F.broadcast(firsts), ["source_file", "block_start"])
         .join(F.broadcast(ranks), "source_file")
