@@ -38,11 +38,18 @@ def sample_n(df: DataFrame, n: int, seed: int | str, key: str = "eppi_id", order
         top = keyed.orderBy("__h", key).limit(n)
         w = Window.orderBy("__h", key)  # over n rows only
         return top.withColumn(order_col, F.row_number().over(w).cast("long")).drop("__h")
-    ranked = rank_rows(keyed.withColumn("__hd", F.col("__h").cast("double")), "__hd", "__h",
+    ranked = rank_rows(keyed.withColumn("__hd", F.col("__h").cast("double")), "__hd", _tie_break(df, key),
                        descending=False, position=order_col, totals=False)
     return ranked.filter(F.col(order_col) <= n).drop("__h", "__hd")
 
 
+def _tie_break(df: DataFrame, key: str) -> str:
+    """Order ties of the hash by the key itself when it is numeric (as
+    ``ORDER BY h, id``); a text key falls back to the hash."""
+    numeric = dict(df.dtypes).get(key, "") in ("bigint", "int", "smallint", "tinyint")
+    return key if numeric else "__h"
+
+
 def shuffle_rows(df: DataFrame, seed: int | str, key: str = "eppi_id", position: str = "position") -> DataFrame:
     """G4 ``slice_sample(prop = 1)`` + ``row_number``: a full seeded permutation.
 
@@ -50,7 +57,8 @@ def shuffle_rows(df: DataFrame, seed: int | str, key: str = "eppi_id", position:
     position is a partition-parallel global rank of the hash key.
     """
     keyed = df.withColumn("__h", hash_key(key, seed)).withColumn("__hd", F.col("__h").cast("double"))
-    return rank_rows(keyed, "__hd", "__h", descending=False, position=position, totals=False).drop("__h", "__hd")
+    return rank_rows(keyed, "__hd", _tie_break(df, key), descending=False, position=position,
+                     totals=False).drop("__h", "__hd")
 
 
 def sample_strata(df: DataFrame, strata: list[tuple[str, Column, int | None]], seed: int | str,
