@@ -136,7 +136,9 @@ def assign_cells(df: DataFrame, score: str, ordinal: str, stats: OrderStats,
     # Cell columns are made non-nullable so the join on them infers no
     # IsNotNull filter (which would run the bucket search twice per row).
     out = bucketed.withColumn(_OB, F.coalesce(ob, F.lit(-9))).drop(tmp_s, tmp_b)
-    if stats.ordinal_cuts and stats.score_cuts:
+    # Null/NaN buckets are singletons even when there are no score cuts (an
+    # all-null list), so sub-splitting depends on the ordinal cuts only.
+    if stats.ordinal_cuts:
         osplits = [-math.inf] + sorted(set(stats.ordinal_cuts)) + [math.inf]
         out = Bucketizer(splits=osplits, inputCol="__o_in", outputCol="__o_b", handleInvalid="keep").transform(
             out.withColumn("__o_in", F.col(ordinal).cast("double"))

@@ -84,3 +84,17 @@ def test_plan_has_no_single_partition_over_list(spark):
     # The only single-partition exchange allowed is over the small cell table.
     assert "CartesianProduct" not in plan
     assert "hashpartitioning(__ob" in plan
+
+
+@pytest.mark.parametrize("score_expr", ["CAST(NULL AS DOUBLE)", "0.25"])
+def test_all_null_or_all_tied_scores_are_split(spark, score_expr):
+    from sievekit.plans.global_order import assign_cells
+
+    df = spark.range(0, 4000).selectExpr("id * 7 AS ordinal", f"{score_expr} AS score")
+    st = order_stats(df, "score", "ordinal", rows_per_bucket=100)
+    sizes = [r["c"] for r in assign_cells(df, "score", "ordinal", st).groupBy("__ob", "__sb")
+             .agg(F.count("*").alias("c")).collect()]
+    assert max(sizes) <= 4000 * 0.05
+    out = rank_rows(df, "score", "ordinal", rows_per_bucket=100)
+    got = [r["ordinal"] for r in out.orderBy("position").collect()]
+    assert got == sorted(got)
