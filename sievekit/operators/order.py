@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from sievekit.functions.scalars import col_, round_half_even
 from sievekit.plans.global_order import ROWS_PER_BUCKET, rank_rows
+from sievekit.session import materialize
 
 
 def rank_list(df: DataFrame, score: str = "score", ordinal: str = "ordinal", position: str = "position",
@@ -75,6 +76,9 @@ def stopping_runs(df: DataFrame, flag: str, irrelevant_value: int = 0, score: st
             F.max("n_rows").alias("n_rows"),
         )
     )
+    # The run table (one row per run) is read three times by the second rank;
+    # checkpoint it so the first rank over the whole list runs once.
+    runs = materialize(runs)
     numbered = rank_rows(runs.withColumn("__k", F.col("start_row").cast("double")), "__k", "start_row",
                          descending=False, position="__j", rows_per_bucket=rows_per_bucket, totals=False)
     # Row 1 is a break exactly when no irrelevant run starts at position 1.
