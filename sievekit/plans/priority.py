@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sievekit.operators import model as M
-from sievekit.operators.joins import flag_ids, split_train_unseen
+from sievekit.operators.joins import anti_ids, flag_ids, split_train_unseen
 from sievekit.operators.sampling import sample_strata
 from sievekit.plans.global_order import rank_rows
 from sievekit.session import materialize
@@ -48,6 +48,9 @@ def priority_screening(data: DataFrame, strata: list[tuple[str, Column, int | No
         # needs, not the sampling lineage in many small tasks.
         train = materialize(train)
         n_train = train.count()
+        # unseen = every row not trained on (held-out ids included), taken
+        # against the checkpoint so the sampling is not recomputed.
+        unseen = anti_ids(data, train.select(key), key)
         train = train.coalesce(max(1, min(spark_parallelism(train), math.ceil(n_train / TRAIN_ROWS_PER_PARTITION))))
     lam_max = M.lambda_max(train, vec, label)
     model, lam = M.fit_priority(train, label=label, key=key, lam_max=lam_max * 1.0001 if lam_max > 0 else 1.0,
