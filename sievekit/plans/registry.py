@@ -239,7 +239,7 @@ def q_filter_out_blank(spark, sf_dir):
     from sievekit.functions.scalars import blanks_to_null
     from sievekit.operators.filters import filter_out
 
-    r = records(spark, sf_dir).select("eppi_id", F.split_part("abstract", F.lit("\n"), F.lit(2)).alias("second_line"))
+    r = records(spark, sf_dir, labels=False).select("eppi_id", F.split_part("abstract", F.lit("\n"), F.lit(2)).alias("second_line"))
     return tidy(filter_out(blanks_to_null(r), F.col("second_line").isNull()))
 
 
@@ -394,7 +394,7 @@ def q_title_link(spark, sf_dir):
     lst = (table(spark, sf_dir, "documents").join(lab, "doc_id", "left_semi")
            .select(F.split_part("text", F.lit("\n"), F.lit(1)).alias("list_title")).distinct())
     lst = lst.withColumn("t", F.col("list_title"))
-    linked = title_link(records(spark, sf_dir).select("eppi_id", "title"), lst, "title", "t", ["list_title"])
+    linked = title_link(records(spark, sf_dir, labels=False).select("eppi_id", "title"), lst, "title", "t", ["list_title"])
     return tidy(linked.select("eppi_id", "list_title"))
 
 
@@ -448,7 +448,7 @@ FROM R"""))
 def q_paste(spark, sf_dir):
     from sievekit.functions.scalars import blank_to_null, paste
 
-    r = records(spark, sf_dir)
+    r = records(spark, sf_dir, labels=False)
     second = blank_to_null(F.split_part("abstract", F.lit("\n"), F.lit(2)))
     return r.select("eppi_id", paste("title", second).alias("text"))
 
@@ -620,7 +620,7 @@ def q_dedup_exact(spark, sf_dir):
     from sievekit.operators.dedup import exact_clusters
     from sievekit.functions.scalars import normalise_text
 
-    r = records(spark, sf_dir).select("eppi_id", normalise_text("abstract").alias("k"))
+    r = records(spark, sf_dir, labels=False).select("eppi_id", normalise_text("abstract").alias("k"))
     return tidy(exact_clusters(r, "eppi_id", "k").select("eppi_id", "cluster_id", "n_members"))
 
 
@@ -636,7 +636,7 @@ FROM C"""))
 def q_criteria(spark, sf_dir):
     from sievekit.operators.filters import criteria_screen, regex_criterion
 
-    r = records(spark, sf_dir)
+    r = records(spark, sf_dir, labels=False)
     crit = {"A": regex_criterion("abstract", "(^|[^a-z])the([^a-z]|$)"), "B": F.col("lang") == "en",
             "C": F.col("n_chars") >= 500}
     s = criteria_screen(r, crit)
@@ -657,7 +657,7 @@ def q_dedup_fuzzy(spark, sf_dir):
 
 # ---------------------------------------------------------------- A1 A3 round trip
 def _ris_source(spark, sf_dir):
-    r = records(spark, sf_dir)
+    r = records(spark, sf_dir, labels=False)
     return r.select(
         F.col("eppi_id").cast("string").alias("eppi_id"), "ordinal", F.lit("JOUR").alias("type"), "title",
         "abstract", F.array("model").alias("author"), F.array("lang", "model").alias("keywords"),
@@ -801,5 +801,5 @@ def q_dedup_manual(spark, sf_dir):
     """D4 second output: near-copy candidates too doubtful to merge (for review)."""
     from sievekit.operators.dedup import dedup
 
-    out = dedup(records(spark, sf_dir).select("eppi_id", "ordinal", "abstract"))
+    out = dedup(records(spark, sf_dir, labels=False).select("eppi_id", "ordinal", "abstract"))
     return tidy(out["manual_pairs"].select("src", "dst", "similarity"))

@@ -37,25 +37,31 @@ def load_table(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def records(spark: SparkSession, sf_dir: str) -> DataFrame:
+def records(spark: SparkSession, sf_dir: str, labels: bool = True) -> DataFrame:
     """The record view ``R``.
 
     Columns: eppi_id, ordinal, title, abstract, human_code, included_full,
     decision_binary, model, score, n_chars, lang. ``score`` is an integer
     valued double with many ties on purpose; ``decision_binary`` stands for a
     model's include/exclude answer.
+
+    ``labels=False`` leaves out the two code columns and the join that brings
+    them: Spark cannot drop an unused outer join, and on large tables that
+    join would shuffle the whole text just to discard the codes.
     """
     d = spread(table(spark, sf_dir, "documents"))
-    lab = table(spark, sf_dir, "labels").select(
-        "doc_id", F.col("quality").alias("human_code"), F.col("toxic").alias("included_full")
-    )
-    return d.join(lab, "doc_id", "left").select(
+    if labels:
+        lab = table(spark, sf_dir, "labels").select(
+            "doc_id", F.col("quality").alias("human_code"), F.col("toxic").alias("included_full")
+        )
+        d = d.join(lab, "doc_id", "left")
+    codes = ["human_code", "included_full"] if labels else []
+    return d.select(
         F.col("doc_id").alias("eppi_id"),
         F.col("doc_id").alias("ordinal"),
         first_line("text").alias("title"),
         F.col("text").alias("abstract"),
-        "human_code",
-        "included_full",
+        *codes,
         F.when(F.col("n_chars") % 3 == 0, 1).otherwise(0).alias("decision_binary"),
         F.col("source").alias("model"),
         (F.col("n_chars") % 997).cast("double").alias("score"),
