@@ -167,6 +167,9 @@ def rank_rows(df: DataFrame, score: str, ordinal: str, flags: dict[str, Column]
     ``totals``, ``total_<name>``; ``n_rows`` is the list length.
     """
     flags = flags or {}
+    # Re-ranking a ranked list replaces the earlier rank's columns.
+    df = df.drop(position, *(["n_rows"] if totals else []), *[f"cum_{k}" for k in flags],
+                 *([f"total_{k}" for k in flags] if totals else []))
     stats = stats or order_stats(df, score, ordinal, rows_per_bucket, max_buckets)
     fl = {f"__f_{k}": _flag_int(v) for k, v in flags.items()}
     cells_in = assign_cells(df, score, ordinal, stats, descending, nulls_last)

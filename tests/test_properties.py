@@ -33,3 +33,11 @@ def test_runs_and_breaks_cover_list(spark):
     lengths = [x["run_length"] for x in runs]
     assert lengths == sorted(lengths, reverse=True)
     assert len({x["run_id"] % 2 for x in runs}) == 1
+
+
+def test_rerank_a_ranked_list(spark):
+    ranked = O.rank_list(records(spark, SF_SMALL), rows_per_bucket=37)
+    curve = O.recall_curve(ranked, "human_code", rows_per_bucket=50)
+    a = {r["eppi_id"]: r["position"] for r in ranked.select("eppi_id", "position").collect()}
+    b = {r["eppi_id"]: r["position"] for r in curve.select("eppi_id", "position").collect()}
+    assert a == b and "n_rows" in curve.columns
