@@ -66,10 +66,11 @@ def with_measures(counts: DataFrame) -> DataFrame:
 
 
 def start_summary(answers_folder: str, codes: DataFrame, out_table: str, checkpoint: str,
-                  trigger_once: bool = True) -> StreamingQuery:
+                  trigger_once: bool = True, max_files_per_trigger: int | None = None) -> StreamingQuery:
     """Run the streaming summary; every batch overwrites ``out_table`` (parquet)."""
     spark = codes.sparkSession
-    counts = running_counts(first_answers(decision_stream(spark, answers_folder)), codes)
+    stream = decision_stream(spark, answers_folder, max_files_per_trigger=max_files_per_trigger)
+    counts = running_counts(first_answers(stream), codes)
 
     def sink(batch: DataFrame, _epoch: int) -> None:
         with_measures(batch).write.mode("overwrite").parquet(out_table)
