@@ -136,3 +136,18 @@ def test_blank_abstract_filter_out(spark):
     df = blanks_to_null(read_ris(spark, _write(d, "a.ris", EXPORT + OTHER)), ["abstract", "title"])
     kept = filter_out(df, F.col("abstract").isNull())
     assert kept.count() == 1
+
+
+def test_dedup_citation_keys(spark):
+    from sievekit.operators.dedup import dedup
+
+    d = tempfile.mkdtemp(prefix="ris-")
+    a = _write(d, "a.ris", EXPORT)
+    b = _write(d, "b.ris", OTHER + "\n" + EXPORT.replace("DO  - https://doi.org/10.1000/XYZ.1", "DO  - 10.1000/xyz.1")
+                                         .replace("Helping out", "Helping  out"))
+    recs = read_ris(spark, [a, b]).withColumn("abstract", F.nullif("abstract", F.lit("")))
+    out = dedup(recs, id_col="ordinal")
+    sizes = sorted((r["title"], r["n_members"]) for r in out["unique"].collect())
+    # same DOI (with/without resolver) and same title+year+first author (empty abstract) merge
+    assert ("An empty-abstract report", 2) in sizes
+    assert sum(n for _, n in sizes) == 6 and len(sizes) == 4
