@@ -98,3 +98,9 @@ def test_exact_clusters_null_key(spark):
     df = spark.createDataFrame([(1, "a"), (2, "a"), (3, None), (4, None)], "id long, k string")
     got = {r["id"]: (r["cluster_id"], r["n_members"]) for r in exact_clusters(df, "id", "k").collect()}
     assert got == {1: (1, 2), 2: (1, 2), 3: (3, 1), 4: (4, 1)}
+
+
+def test_components_refuse_unconverged(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(64)], "src long, dst long")
+    with pytest.raises(RuntimeError):
+        connected_components(edges, max_rounds=1)
