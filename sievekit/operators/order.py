@@ -12,12 +12,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sievekit.functions.scalars import col_, round_half_even
-from sievekit.plans.global_order import ROWS_PER_BUCKET, rank_rows
+from sievekit.plans.global_order import rank_rows
 from sievekit.session import materialize
 
 
 def rank_list(df: DataFrame, score: str = "score", ordinal: str = "ordinal", position: str = "position",
-              descending: bool = True, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+              descending: bool = True, rows_per_bucket: int | None = None) -> DataFrame:
     """G1 + F1: order by score (desc, missing last), ties in input order; number rows."""
     out = rank_rows(df, score, ordinal, position=position, descending=descending,
                     rows_per_bucket=rows_per_bucket, totals=True)
@@ -30,7 +30,7 @@ def is_relevant(flag: str | Column, value: int = 1) -> Column:
 
 
 def recall_curve(df: DataFrame, relevant: str | Column, score: str = "score", ordinal: str = "ordinal",
-                 rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+                 rows_per_bucket: int | None = None) -> DataFrame:
     """F6 (+F8): position, cumulative relevant, recall %, percent of list.
 
     ``relevant`` is a column name (tested ``== 1``) or a boolean Column; null
@@ -48,7 +48,7 @@ def recall_curve(df: DataFrame, relevant: str | Column, score: str = "score", or
 
 
 def stopping_runs(df: DataFrame, flag: str, irrelevant_value: int = 0, score: str = "score",
-                  ordinal: str = "ordinal", rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+                  ordinal: str = "ordinal", rows_per_bucket: int | None = None) -> DataFrame:
     """runs of consecutive irrelevant rows in the ranked list.
 
     Output ``run_id, run_length, start_row, end_row, pct_of_total`` sorted by

@@ -35,6 +35,10 @@ from pyspark.sql import functions as F
 # 1.6 * 10^10 rows per list (longer lists get proportionally larger cells).
 MAX_BUCKETS = 16384
 ROWS_PER_BUCKET = 1_000_000
+# Smallest cell when the size is chosen from the list length: a list is cut
+# into about 4 cells per core (so mid-size lists use every core), cells
+# between MIN_ROWS_PER_BUCKET and ROWS_PER_BUCKET rows.
+MIN_ROWS_PER_BUCKET = 50_000
 # Probes taken with the row count in the first pass.
 FIRST_PROBES = 64
 # Largest cell table we broadcast (rows); above it Spark picks the join.
@@ -69,7 +73,16 @@ def _probe_aggs(score: str, ordinal: str, k: int) -> list:
             F.percentile_approx(F.col(ordinal).cast("double"), probes, acc).alias("oc")]
 
 
-def order_stats(df: DataFrame, score: str, ordinal: str, rows_per_bucket: int = ROWS_PER_BUCKET,
+def adaptive_rows_per_bucket(df: DataFrame, n: int) -> int:
+    """About four cells per core, within [MIN_ROWS_PER_BUCKET, ROWS_PER_BUCKET]."""
+    try:
+        cores = df.sparkSession.sparkContext.defaultParallelism
+    except Exception:  # noqa: BLE001 - no context (remote session)
+        cores = 8
+    return min(ROWS_PER_BUCKET, max(MIN_ROWS_PER_BUCKET, math.ceil(n / (4 * max(1, cores)))))
+
+
+def order_stats(df: DataFrame, score: str, ordinal: str, rows_per_bucket: int | None = None,
                 max_buckets: int = MAX_BUCKETS) -> OrderStats:
     """Row count and quantile cuts.
 
@@ -79,6 +92,8 @@ def order_stats(df: DataFrame, score: str, ordinal: str, rows_per_bucket: int =
     """
     row = df.agg(F.count(F.lit(1)).alias("n"), *_probe_aggs(score, ordinal, FIRST_PROBES)).first()
     n = int(row["n"])
+    if rows_per_bucket is None:
+        rows_per_bucket = adaptive_rows_per_bucket(df, n)
     k = max(1, min(max_buckets, math.ceil(n / max(1, rows_per_bucket))))
     if k <= 1:
         return OrderStats(n=n, score_cuts=[], ordinal_cuts=[])
@@ -156,7 +171,7 @@ def _flag_int(c: Column) -> Column:
 
 def rank_rows(df: DataFrame, score: str, ordinal: str, flags: dict[str, Column] | None = None,
               descending: bool = True, nulls_last: bool = True, position: str = "position",
-              rows_per_bucket: int = ROWS_PER_BUCKET, max_buckets: int = MAX_BUCKETS,
+              rows_per_bucket: int | None = None, max_buckets: int = MAX_BUCKETS,
               totals: bool = True, stats: OrderStats | None = None) -> DataFrame:
     """Global ``row_number`` and ROWS-frame running sums, partition-parallel.
 
