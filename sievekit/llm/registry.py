@@ -5,9 +5,16 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from sievekit.llm.common import table
+from sievekit.llm.exact_dedup import exact_dedup
+from sievekit.llm.licences import TEMPLATES, scan_licences
+from sievekit.llm.mixing import SEED, TEMPERATURE, replicate
 from sievekit.llm.ngram_join import jaccard_components
+from sievekit.llm.packing import pack
+from sievekit.llm.quality_rules import quality_rules, trusted_documents
+from sievekit.llm.secrets import BASE, scan_secrets, span_digest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -51,3 +58,104 @@ FROM sets JOIN reach ON node = doc_id GROUP BY doc_id, sh
 @query("op2_ngram_jaccard_join", JACCARD_SQL)
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
+@query("op1_packing")
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents")).drop("ids")
+
+
+def _template_rows() -> str:
+    return ", ".join("('{}', '{}')".format(k, v.replace("'", "''")) for k, v in sorted(TEMPLATES.items()))
+
+
+BIGRAMS = (f"""list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))""")
+NORMAL = "list_filter(string_split(regexp_replace(" + LOWER + r", '[^\p{{L}}\p{{N}}]+', ' ', 'g'), ' '), lambda x: x <> '')"
+LICENCE_SQL = rf"""
+WITH templates(template, body) AS (VALUES {_template_rows()}),
+t AS (SELECT template, {BIGRAMS} AS grams FROM (SELECT template, {NORMAL.format("body")} AS w FROM templates)),
+pieces AS (
+  SELECT doc_id, 'text' AS unit, 0 AS part, coalesce(text, '') AS piece FROM documents
+  UNION ALL SELECT doc_id, 'paragraph', 0, unnest(regexp_split_to_array(coalesce(text, ''), '\n[ \t\r]*\n')) FROM documents
+  UNION ALL SELECT doc_id, 'line', generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1),
+    unnest(string_split(coalesce(text, ''), chr(10))) FROM documents),
+u AS (SELECT doc_id, unit, part, {BIGRAMS} AS grams
+      FROM (SELECT doc_id, unit, part, {NORMAL.format("piece")} AS w FROM pieces) WHERE len(w) > 1),
+hits AS (SELECT doc_id, unit, part, template,
+         2.0::DOUBLE * len(list_intersect(u.grams, t.grams)) / (len(u.grams) + len(t.grams)) AS score FROM u, t
+         WHERE len(u.grams) BETWEEN len(t.grams) * 0.6 AND len(t.grams) * 1.6),
+good AS (SELECT * FROM hits WHERE score >= 0.8),
+best AS (SELECT doc_id, first(template ORDER BY score DESC, template) AS template, max(score) AS score,
+  count(DISTINCT CASE WHEN unit = 'line' THEN part END) AS n_lines,
+  array_to_string(list_sort(list(DISTINCT split_part(template, '/', 1))), ',') AS licences FROM good GROUP BY doc_id)
+SELECT doc_id, split_part(template, '/', 1) AS licence, template, round(score, 6) AS score,
+  coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(licences, '') AS licences
+FROM documents LEFT JOIN best USING (doc_id)
+"""
+
+
+@query("op3_licence_scan", LICENCE_SQL)
+def op3_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licences(table(spark, sf_dir, "documents"))
+
+
+@query("op4_secret_scan")
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, _ = scan_secrets(table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda x: x["kind"].isin(*BASE))
+    count = lambda kind: F.size(F.filter("spans", lambda x: x["kind"] == kind)).cast("long")
+    return found.select("doc_id", *[count(k).alias(f"n_{k}") for k in BASE],
+                        F.sha2(span_digest(base), 256).alias("base_sha256"), span_digest(F.col("spans")).alias("spans"))
+
+
+@query("op5_quality_rules")
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = quality_rules(docs, trusted_documents(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+                         "base_failed", "kept", "n_grams", "llr_sum")
+
+
+DEDUP_SQL = r"""
+WITH keyed AS (
+  SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents)
+SELECT doc_id, min(doc_id) OVER (PARTITION BY text_sha256) AS keep_id,
+  count(*) OVER (PARTITION BY text_sha256) AS group_size,
+  doc_id = min(doc_id) OVER (PARTITION BY text_sha256) AS kept, text_sha256 FROM keyed
+"""
+
+
+@query("op6_exact_dedup", DEDUP_SQL)
+def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup(table(spark, sf_dir, "documents"))
+
+
+def _share(key: str, seed: int) -> str:
+    return f"((('0x' || md5('{seed}:' || {key})[1:13])::BIGINT + 0.5::DOUBLE) / {1 << 52}::DOUBLE)"
+
+
+MIXING_SQL = f"""
+WITH sizes AS (SELECT source, count(*)::DOUBLE AS size FROM documents GROUP BY source),
+rates AS (
+  SELECT source, sum(size) OVER () * pow(size, {TEMPERATURE}) / sum(pow(size, {TEMPERATURE})) OVER () / size AS rate
+  FROM sizes),
+masses AS (
+  SELECT source, rate, k, exp(-rate + coalesce(sum(ln(rate / greatest(k, 1))) FILTER (k > 0)
+    OVER (PARTITION BY source ORDER BY k), 0)) AS p
+  FROM rates, range(0, 200) r(k)),
+tables AS (SELECT source, rate, k, sum(p) OVER (PARTITION BY source ORDER BY k) AS cdf FROM masses),
+drawn AS (
+  SELECT doc_id, d.source, {_share("doc_id", SEED)} AS u FROM documents d),
+counted AS (
+  SELECT doc_id, d.source, any_value(rate) AS rate, count(*) FILTER (cdf < u) AS copies
+  FROM drawn d JOIN tables t ON t.source IS NOT DISTINCT FROM d.source GROUP BY doc_id, d.source),
+copied AS (SELECT doc_id, source, rate, copies, unnest(range(1, copies + 1)) AS copy FROM counted WHERE copies > 0)
+SELECT doc_id, source, round(rate, 6) AS rate, copies::INTEGER AS copies, copy::INTEGER AS copy,
+  {_share("doc_id || ':' || copy", SEED + 1)} AS order_key FROM copied
+"""
+
+
+@query("op7_poisson_mixing", MIXING_SQL)
+def op7_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = replicate(table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "source", F.round("rate", 6).alias("rate"), "copies", "copy", "order_key")
