@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sievekit.llm.classifier import classify
 from sievekit.llm.common import table
 from sievekit.llm.exact_dedup import exact_dedup
 from sievekit.llm.licences import TEMPLATES, scan_licences
@@ -159,3 +160,8 @@ SELECT doc_id, source, round(rate, 6) AS rate, copies::INTEGER AS copies, copy::
 def op7_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = replicate(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "source", F.round("rate", 6).alias("rate"), "copies", "copy", "order_key")
+
+
+@query("op10_quality_classifier")
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
