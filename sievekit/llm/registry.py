@@ -16,6 +16,8 @@ from sievekit.llm.ngram_join import jaccard_components
 from sievekit.llm.packing import pack
 from sievekit.llm.quality_rules import quality_rules, trusted_documents
 from sievekit.llm.secrets import BASE, scan_secrets, span_digest
+from sievekit.llm.token_files import read_token_files, write_token_files
+from sievekit.session import scratch_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -165,3 +167,10 @@ def op7_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_quality_classifier")
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op9_token_files")
+def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_dir(spark, "token-files")
+    write_token_files(table(spark, sf_dir, "documents"), path)
+    return read_token_files(spark, path, with_ids=False)
