@@ -218,10 +218,13 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """
     copies = exact_dedup(docs, id_col, text_col).filter(~F.col("kept")).select(
         F.col(id_col).alias("__id"), "text_sha256")
-    again = docs.groupBy(F.col(id_col).alias("__id")).agg(F.count(F.lit(1)).alias("__n")).filter("__n > 1").drop("__n")
+    again = stash(docs.groupBy(F.col(id_col).alias("__id")).agg(F.count(F.lit(1)).alias("__n")).filter(
+        "__n > 1").drop("__n"), "repeated")
+    gone = stash(copies.select("__id").distinct(), "copies")
     same = lambda d: F.col(id_col).eqNullSafe(d["__id"])
-    gone = copies.join(again, copies["__id"].eqNullSafe(again["__id"]), "left_anti").select("__id").distinct()
-    once = docs.join(gone.unionByName(again), same(gone), "left_anti")
+    if again.isEmpty():
+        return docs.join(gone, same(gone), "left_anti")
+    once = docs.join(gone.unionByName(again).distinct().alias("g"), F.col(id_col).eqNullSafe(F.col("g.__id")), "left_anti")
     many = docs.join(again, same(again), "left_semi").withColumn("__key", text_key(F.col(text_col)))
     left = many.join(copies, same(copies) & (F.col("__key") == F.col("text_sha256")), "left_anti")
     return once.unionByName(left.dropDuplicates(["__key"]).drop("__key"))
