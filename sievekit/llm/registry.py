@@ -11,6 +11,7 @@ from sievekit.llm.classifier import classify
 from sievekit.llm.common import table
 from sievekit.llm.exact_dedup import exact_dedup
 from sievekit.llm.licences import TEMPLATES, scan_licences
+from sievekit.llm.lm_score import lm_scores
 from sievekit.llm.mixing import SEED, TEMPERATURE, replicate
 from sievekit.llm.ngram_join import jaccard_components
 from sievekit.llm.packing import pack
@@ -174,3 +175,8 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_dir(spark, "token-files")
     write_token_files(table(spark, sf_dir, "documents"), path)
     return read_token_files(spark, path, with_ids=False)
+
+
+@query("op8_lm_score")
+def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores(table(spark, sf_dir, "documents"))
