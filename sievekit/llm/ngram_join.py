@@ -41,8 +41,9 @@ from sievekit.plans.components import connected_components
 FRAGMENT_TOKENS = 1_500_000
 FLUSH_TOKENS = 1_000_000
 #: Parts of a document's set that partial overlaps are counted over.
-OVERLAP_PARTS = 4
-STAR_ROUNDS = 8
+OVERLAP_PARTS = 2
+LEAST_FRAGMENTS = 96
+STAR_ROUNDS = 6
 
 
 def _class_key(s: np.ndarray) -> int:
@@ -209,20 +210,23 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 def _links(docs: DataFrame, text_col: str, classes: DataFrame, n: int, num: int, den: int,
            total: int) -> DataFrame | None:
     """Edges ``a, b`` between classes; enough of them to connect every component."""
-    fragments = max(8, -(-total // FRAGMENT_TOKENS))
+    fragments = max(LEAST_FRAGMENTS, -(-total // FRAGMENT_TOKENS))
     shared = stash(shared_tokens(fragment_segments(docs, text_col, n, fragments)), "segments")
     # n - common: n-grams that only this class has; they come first in the order by frequency.
-    common = shared.groupBy("cls").agg(F.sum(F.size("tokens")).alias("common"))
+    # weight: how common its n-grams are; the most common member of a list is its first centre.
+    common = shared.groupBy("cls").agg(F.sum(F.size("tokens")).alias("common"), F.sum(F.aggregate(
+        "dfs", F.lit(0.0), lambda w, d: w + F.log2(d.cast("double")))).alias("weight"))
     prefix = F.expr(f"n - (({num} * n + {den - 1}) div {den}) + 1")
     active = stash(classes.join(common, "cls").withColumn("own", F.col("n") - F.col("common"))
-                   .withColumn("take", prefix - F.col("own")).filter("take > 0"), "active")
+                   .withColumn("take", prefix - F.col("own")).filter("take > 0")
+                   .withColumn("weight", F.round(F.col("weight") / F.col("n"), 6)), "active")
     kept = shared.join(active, "cls")
     parts = stash(kept.groupBy("cls", (F.col("frag") * OVERLAP_PARTS / fragments).cast("int").alias("part")).agg(
         F.flatten(F.collect_list("tokens")).alias("tokens")), "parts")
-    ranked = kept.select("cls", "n", "own", "take", F.arrays_zip("dfs", "tokens").alias("t")).groupBy(
-        "cls", "n", "own", "take").agg(F.sort_array(F.flatten(F.collect_list("t"))).alias("t"))
-    posts = ranked.select("cls", "n", "own", F.posexplode(F.expr("slice(t, 1, cast(take as int))"))).select(
-        F.col("col.tokens").alias("token"), "cls", "n", (F.col("own") + F.col("pos")).alias("pos"))
+    ranked = kept.select("cls", "n", "own", "take", "weight", F.arrays_zip("dfs", "tokens").alias("t")).groupBy(
+        "cls", "n", "own", "take", "weight").agg(F.sort_array(F.flatten(F.collect_list("t"))).alias("t"))
+    posts = ranked.select("cls", "n", "own", "weight", F.posexplode(F.expr("slice(t, 1, cast(take as int))"))).select(
+        F.col("col.tokens").alias("token"), "cls", "n", "weight", (F.col("own") + F.col("pos")).alias("pos"))
     lists = stash(posts, "postings")
     unstash(shared)
     multi = lists.groupBy("token").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").drop("m")
@@ -253,18 +257,22 @@ def _links(docs: DataFrame, text_col: str, classes: DataFrame, n: int, num: int,
         work, rows = int(left[0] or 0), int(left[1] or 0)
         if not rows:
             break
-        slow = turn > 0 and 2 * work > before  # a round that no longer halves the work
+        slow = turn > 0 and 2 * work > before  # the last round did not halve what is open
         before = work
-        if work <= 8 * rows or slow or turn == STAR_ROUNDS:
+        if work <= 4 * rows or slow or turn == STAR_ROUNDS:
             one = open_lists.join(per.select("token", "big"), "token")
             other = one.select("token", F.col("cls").alias("ccls"), F.col("n").alias("cn"), F.col("pos").alias("cpos"),
                                F.col("comp").alias("ccomp"))
-            met = one.filter("comp != big").join(other, "token").filter("comp != ccomp")
+            met = one.filter("comp != big").join(other, "token").filter(
+                "comp != ccomp and (ccomp = big or cls < ccls)")
             check(_pairs(met.filter(_may_link(num, den))))
             break
-        centre = open_lists.groupBy("token").agg(F.min_by(
-            F.struct("cls", "n", "pos", "comp"), F.xxhash64("cls", F.lit(turn))).alias("c"),
-            F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select(
+        # First the most common member, then any one outside the list's largest component.
+        outer = open_lists if labels is None else open_lists.join(
+            per.select("token", "big"), "token").filter("comp != big")
+        centre = outer.groupBy("token").agg(F.max_by(
+            F.struct("cls", "n", "pos", "comp"),
+            F.struct("weight", "cls") if labels is None else F.xxhash64("cls", F.lit(turn))).alias("c")).select(
             "token", F.col("c.cls").alias("ccls"), F.col("c.n").alias("cn"), F.col("c.pos").alias("cpos"),
             F.col("c.comp").alias("ccomp"))
         met = open_lists.join(centre, "token").filter("comp != ccomp")
