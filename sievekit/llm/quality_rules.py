@@ -2,7 +2,8 @@
 
 Words and word pairs of every text are hashed into a fixed number of buckets.
 Two multinomials over the buckets are counted: one over trusted texts, one
-over the whole raw corpus. A document's score is the mean over its n-grams of
+over the whole raw corpus; the trusted one is smoothed by the raw one, so that a bucket
+without evidence says nothing. A document's score is the mean over its n-grams of
 ``log p_trusted - log p_raw``; the per-bucket ratios are rounded to whole
 millionths, so sums do not depend on order and the threshold decides every
 document the same way on every run. Plain text rules come first: a text that
@@ -22,6 +23,8 @@ from sievekit.llm.common import SPACES, ascii_lower, stash, text_words
 BUCKETS = 1 << 16
 #: Mean log ratio (natural, per n-gram) below which a text is rejected.
 THRESHOLD = -0.10
+#: Weight of the raw distribution in the trusted one, in n-grams per bucket.
+PRIOR = 8
 SCALE = 1_000_000
 #: Characters counted as symbols.
 SYMBOLS = "#*$%&|<>"
@@ -49,7 +52,7 @@ def bucket_counts(texts: DataFrame, text_col: str, buckets: int) -> DataFrame:
 
 
 def bucket_ratios(raw: DataFrame, trusted: DataFrame, text_col: str, buckets: int) -> DataFrame:
-    """One row, ``ratios``: per bucket ``log p_trusted - log p_raw`` in millionths (each count plus one)."""
+    """One row, ``ratios``: per bucket ``log p_trusted - log p_raw`` in millionths."""
     counts = bucket_counts(raw, text_col, buckets).select("bucket", F.col("n").alias("r"), F.lit(0).alias("t"))
     counts = counts.unionByName(bucket_counts(trusted, text_col, buckets).select(
         "bucket", F.lit(0).alias("r"), F.col("n").alias("t")))
@@ -59,9 +62,11 @@ def bucket_ratios(raw: DataFrame, trusted: DataFrame, text_col: str, buckets: in
     pairs = both.agg(F.sort_array(F.collect_list(F.struct("bucket", "r", "t"))).alias("x"),
                      F.sum("r").alias("nr"), F.sum("t").alias("nt"))
     known = (F.col("nt") > 0) & (F.col("nr") > 0)
-    return pairs.select(F.transform("x", lambda x: F.when(known, F.round(SCALE * (
-        F.log((x["t"] + 1.0) / (F.col("nt") + buckets)) - F.log((x["r"] + 1.0) / (F.col("nr") + buckets))))).otherwise(
-        0.0).cast("int")).alias("ratios"))
+    raw_share = lambda x: (x["r"] + 1.0) / (F.col("nr") + buckets)
+    weight = float(PRIOR * buckets)
+    return pairs.select(F.transform("x", lambda x: F.when(known, F.round(SCALE * F.log(
+        (x["t"] + weight * raw_share(x)) / ((F.col("nt") + weight) * raw_share(x))))).otherwise(0.0).cast(
+        "int")).alias("ratios"))
 
 
 def quality_rules(docs: DataFrame, trusted: DataFrame, text_col: str = "text", buckets: int = BUCKETS,
