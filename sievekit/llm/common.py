@@ -41,8 +41,8 @@ def unstash(*frames: DataFrame) -> None:
 
 def text_words(text: Column) -> Column:
     """The words of a text (runs of non-space), in order; null or blank: empty array."""
-    parts = F.split(F.trim(F.translate(F.coalesce(text, F.lit("")), "\t\n\x0b\x0c\r", "     ")), " +")
-    return F.filter(parts, lambda w: w != "")
+    one = F.trim(F.translate(F.coalesce(text, F.lit("")), "\t\n\x0b\x0c\r", "     "))
+    return F.filter(F.split(one, " +"), lambda w: w != "")
 
 
 def ascii_lower(text: Column) -> Column:

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sievekit.llm.common import SPACES, ascii_lower, stash, text_words
+from sievekit.llm.common import SPACES, stash, text_words
 
 BUCKETS = 1 << 16
 #: Mean log ratio (natural, per n-gram) below which a text is rejected.
@@ -32,15 +32,14 @@ MIN_WORDS = 50
 
 
 def _ngrams(df: DataFrame, buckets: int) -> DataFrame:
-    """Add ``words`` and ``grams``: the 1-based bucket of every word and every pair of neighbours (A-Z as a-z)."""
-    def bucket(*parts: Column) -> Column:
-        return (F.pmod(F.xxhash64(*parts), F.lit(buckets)) + 1).cast("int")
-
-    lower = df.withColumn("words", text_words(F.col("text"))).withColumn("lower", text_words(ascii_lower(F.col("text"))))
-    pairs = F.transform(F.sequence(F.lit(1), F.size("lower") - 1), lambda i: bucket(
-        F.element_at("lower", i), F.element_at("lower", i + 1)))
-    ones = F.transform("lower", lambda w: bucket(w))
-    return lower.withColumn("grams", F.when(F.size("lower") > 1, F.concat(ones, pairs)).otherwise(ones)).drop("lower")
+    """Add ``hashes`` (64 bits per word) and ``grams``: the 1-based bucket of every word and pair of neighbours."""
+    bucket = lambda h: (F.pmod(h, F.lit(buckets)) + 1).cast("int")
+    hashed = df.withColumn("hashes", F.transform(text_words(F.col("text")), lambda w: F.xxhash64(w)))
+    pairs = F.transform(F.sequence(F.lit(0), F.size("hashes") - 2), lambda i: bucket(F.xxhash64(
+        F.get("hashes", i), F.get("hashes", i + 1))))
+    ones = F.transform("hashes", lambda h: bucket(h))
+    return hashed.withColumn("grams", F.concat(ones, F.when(F.size("hashes") > 1, pairs).otherwise(
+        F.array().cast("array<int>"))))
 
 
 def bucket_counts(texts: DataFrame, text_col: str, buckets: int) -> DataFrame:
@@ -91,14 +90,24 @@ def quality_rules(docs: DataFrame, trusted: DataFrame, text_col: str = "text", b
     df = own.select(F.struct(*own.columns).alias("row"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias(
         "text"))
     df = _ngrams(df, buckets)
-    df = df.withColumn("n_words", F.size("words").cast("long"))
-    # Windows in sorted order: equal ones are neighbours. Their positions, sorted again, give the words covered.
-    df = df.withColumn("windows", F.when(F.col("n_words") > 3, F.sort_array(F.transform(
-        F.sequence(F.lit(1), F.size("words") - 2),
-        lambda i: F.struct(F.concat_ws(" ", F.slice("words", i, 3)).alias("w"), i.alias("i"))))))
-    df = df.withColumn("twice", F.sort_array(F.transform(F.filter("windows", lambda x, i: F.coalesce(
-        x["w"] == F.get("windows", i - 1)["w"], F.lit(False)) | F.coalesce(
-        x["w"] == F.get("windows", i + 1)["w"], F.lit(False))), lambda x: x["i"])))
+    df = df.withColumn("n_words", F.size("hashes").cast("long"))
+    # Windows by hash, sorted with their position in the low bits: equal ones are neighbours.
+    df = df.withColumn("windows", F.when(F.col("n_words") > 3, F.transform(
+        F.sequence(F.lit(0), F.size("hashes") - 3),
+        lambda i: F.xxhash64(F.get("hashes", i), F.get("hashes", i + 1), F.get("hashes", i + 2)))))
+    df = df.withColumn("low", F.pow(F.lit(2.0), F.ceil(F.log2(
+        F.col("n_words") + 1))).cast("long") - 1)
+    df = df.withColumn("ranked", F.sort_array(F.transform("windows", lambda h, i: h.bitwiseAND(
+        F.bitwise_not("low")).bitwiseOR(i.cast("long")))))
+    place = lambda x: x.bitwiseAND(F.col("low")).cast("int")
+
+    def equal(x: Column, y: Column) -> Column:
+        return F.coalesce((x.bitwiseXOR(y) <= F.col("low")) & (x.bitwiseXOR(y) >= 0) & (
+            F.get("windows", place(x)) == F.get("windows", place(y))), F.lit(False))
+
+    # The positions of windows that have an equal one, sorted again, give the words covered.
+    df = df.withColumn("twice", F.sort_array(F.transform(F.filter("ranked", lambda x, i: equal(
+        x, F.get("ranked", i - 1)) | equal(x, F.get("ranked", i + 1))), place)))
     df = df.withColumn("lines", F.filter(F.split("text", "\n"), lambda x: F.translate(x, " \t\x0b\x0c\r", "") != ""))
     covered = F.aggregate(F.sequence(F.lit(1), F.size("twice")), F.lit(0).cast("long"), lambda n, i: n + F.least(
         F.lit(3), F.coalesce(F.get("twice", i) - F.get("twice", i - 1), F.lit(3))))

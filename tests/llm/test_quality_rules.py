@@ -4,7 +4,7 @@ import xxhash
 
 from pyspark.sql import functions as F
 from sievekit.llm.quality_rules import quality_rules, trusted_documents
-from tests.llm.cases import LOWER, SCHEMA, WORD, documents, frame
+from tests.llm.cases import SCHEMA, WORD, documents, frame
 
 B = 512
 
@@ -13,16 +13,10 @@ def signed(x):
     return x - (1 << 64) if x >= 1 << 63 else x
 
 
-def hash_words(*words):
-    seed = 42
-    for w in words:
-        seed = xxhash.xxh64_intdigest(w.encode(), seed)
-    return signed(seed) % B
-
-
 def buckets(t):
-    w = WORD.findall((t or "").translate(LOWER))
-    return [hash_words(x) for x in w] + [hash_words(a, b) for a, b in zip(w, w[1:], strict=False)]
+    h = [xxhash.xxh64_intdigest(x.encode(), 42) for x in WORD.findall(t or "")]
+    pair = lambda a, b: xxhash.xxh64_intdigest(b.to_bytes(8, "little"), xxhash.xxh64_intdigest(a.to_bytes(8, "little"), 42))
+    return [signed(x) % B for x in h + [pair(a, b) for a, b in zip(h, h[1:], strict=False)]]
 
 
 def statistics(t):
