@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sievekit.llm.common import stash
-from sievekit.llm.tokens import PieceEncoder, text_runs
+from sievekit.llm.tokens import encoder, text_runs
 
 SEQUENCE = 2048
 END_ID = 1
@@ -31,11 +31,11 @@ VOCABULARY = "byte_bpe_50k.json"
 def encoded_documents(docs: DataFrame, id_col: str, text_col: str, vocabulary: str, end_id: int) -> DataFrame:
     """``part, at, doc, ids``: every row's ids and end id, and its start in its partition."""
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part, at = PieceEncoder(vocabulary), TaskContext.get().partitionId(), 0
+        tokens, part, at = encoder(vocabulary), TaskContext.get().partitionId(), 0
         for b in batches:
             texts = b.column(1).to_pylist()
             for run in text_runs(texts):
-                ids = [np.append(x, np.uint32(end_id)) for x in encoder.ids(texts[run])]
+                ids = [np.append(x, np.uint32(end_id)) for x in tokens.ids(texts[run])]
                 sizes = np.array([len(x) for x in ids], np.int64)
                 starts = at + np.cumsum(sizes) - sizes
                 at += int(sizes.sum())

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from sievekit.llm.packing import pack
-from sievekit.llm.tokens import PieceEncoder, vocabulary_path
+from sievekit.llm.tokens import PieceEncoder, encoder, vocabulary_path
 from tests.llm.cases import documents, frame
 
 ODD = ["", " ", "a   b\x85 c d \x1c!x\x1c\n\n y  ", "it's  don't\t\tI'll <|endoftext|> z", "É́ e ́a ǅ İstanbul ΟΔΟΣ.",
@@ -21,8 +21,9 @@ def whole(vocabulary, texts):
 @pytest.mark.parametrize("vocabulary", ["byte_bpe_50k.json", "word_bpe_49k.json"])
 def test_ids_by_piece_are_those_of_whole_texts(vocabulary):
     texts = ODD + [r[1] for r in documents(5, 40)]
-    got = PieceEncoder(vocabulary).ids(texts)
-    assert [x.tolist() for x in got] == whole(vocabulary, texts)
+    want = whole(vocabulary, texts)
+    for e in (PieceEncoder(vocabulary), encoder(vocabulary)):
+        assert [x.tolist() for x in e.ids(texts)] == want
 
 
 def check_pack(rows, pieces, length):
