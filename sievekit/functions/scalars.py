@@ -28,9 +28,20 @@ def blanks_to_null(df: DataFrame, columns: Iterable[str] | None = None) -> DataF
     return df.withColumns({c: blank_to_null(c) for c in columns})
 
 
+_WHOLE = ("tinyint", "smallint", "int", "integer", "bigint", "long")
+
+
 def to_number(c: str | Column, kind: str = "double") -> Column:
-    """Numeric cast where a malformed value becomes null, never an error."""
-    return F.expr(f"try_cast({c} AS {kind})") if isinstance(c, str) else c.try_cast(kind)
+    """Numeric cast where a malformed value becomes null, never an error.
+
+    A whole-number type drops the decimals of a decimal text ("12.7" gives
+    12, "2013.0" gives 2013); a text of digits is read exactly.
+    """
+    x = col_(c)
+    if kind.lower() not in _WHOLE:
+        return x.try_cast(kind)
+    cut = F.when(F.isnan(x.try_cast("double")), None).otherwise(x.try_cast("double"))
+    return F.coalesce(x.try_cast("bigint"), cut.try_cast("bigint")).try_cast(kind)
 
 
 def if_else(cond: Column, yes, no) -> Column:
@@ -90,16 +101,17 @@ def select_range(df: DataFrame, first: str, last: str, keep: Iterable[str] = ())
 
 
 def normalise_text(c: str | Column) -> Column:
-    """Comparison key for titles/texts: ASCII letters and digits, lower case.
+    """Comparison key for titles/texts: letters, marks and digits of any script, lower case.
 
     The common HTML entities (``&amp;`` ``&lt;`` ``&gt;`` ``&quot;``
     ``&#39;``) stand for punctuation, which the key drops, so they are
     dropped whole (only texts that contain ``&`` are searched); then the
-    text is lower-cased and every character but a-z, 0-9 is dropped.
+    text is lower-cased and all other characters are dropped. A text with
+    nothing left has no key (null), so it equals no other.
     """
     x = col_(c)
     x = F.when(F.instr(x, "&") > 0, F.regexp_replace(x, r"&(?:amp|lt|gt|quot|#39);", "")).otherwise(x)
-    return F.regexp_replace(F.lower(x), r"[^a-z0-9]+", "")
+    return F.nullif(F.regexp_replace(F.lower(x), r"[^\p{L}\p{M}\p{N}]+", ""), F.lit(""))
 
 
 def normalise_doi(c: str | Column) -> Column:
@@ -114,13 +126,14 @@ def first_line(c: str | Column) -> Column:
     return F.split_part(col_(c), F.lit("\n"), F.lit(1))
 
 
-def hash_key(ident: str | Column, seed: int | str | Column) -> Column:
+def hash_key(ident: str | Column, seed: int | str | Column, part: int = 0) -> Column:
     """Repeatable pseudo-random order key for sampling and shuffling.
 
-    The first 13 hex digits of ``md5(id || ':' || seed)`` as a bigint: it
-    depends on the row only (not on partitioning), fits a double exactly, and
-    the same number can be computed by any SQL engine with ``md5``.
+    13 hex digits of ``md5(id || ':' || seed)`` as a bigint (``part`` 0: the
+    first 13, 1: the next 13): it depends on the row only (not on
+    partitioning), fits a double exactly, and the same number can be computed
+    by any SQL engine with ``md5``.
     """
     sd = seed if isinstance(seed, Column) else F.lit(str(seed))
     s = F.concat(col_(ident).cast("string"), F.lit(":"), sd)
-    return F.conv(F.substring(F.md5(s), 1, 13), 16, 10).cast("long")
+    return F.conv(F.substring(F.md5(s), 1 + 13 * part, 13), 16, 10).cast("long")

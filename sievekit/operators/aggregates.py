@@ -31,9 +31,14 @@ def group_summary(df: DataFrame, by: list[str], first_of: str, ordinal: str, val
     )
 
 
+def any_true(cond: Column) -> Column:
+    """E4 as an aggregate: ``any(cond)``; missing counts as false, no rows give false."""
+    return F.coalesce(F.bool_or(F.coalesce(cond, F.lit(False))), F.lit(False))
+
+
 def any_match(df: DataFrame, cond: Column, name: str = "any_match") -> DataFrame:
     """E4 ``any(cond)`` over the table; missing counts as false. One row."""
-    return df.agg(F.coalesce(F.bool_or(F.coalesce(cond, F.lit(False))), F.lit(False)).alias(name))
+    return df.agg(any_true(cond).alias(name))
 
 
 def performance(decisions: DataFrame, by: list[str] | None = None, decision: str = "decision_binary",
@@ -86,11 +91,13 @@ def label_conflicts(df: DataFrame, group: str, label: str, code: str, ordinal: s
     resolved as 1 on conflict, else the code of the first member that has
     one. The test is on the label set, so every order and multiplicity of the
     two labels is caught (the fixed list of three orders is not needed).
-    With ``id_col`` the group's least id is returned as ``cluster_id``.
+    With ``id_col`` the group's least id is returned as ``cluster_id``. A row
+    without a group key is a record of its own.
     """
+    alone = F.when(F.col(group).isNull(), F.col(ordinal))
     labs = F.array_sort(F.collect_set(label))
     extra = [F.min(id_col).alias("cluster_id")] if id_col else []
-    g = df.groupBy(group).agg(
+    g = df.groupBy(group, alone.alias("__alone")).agg(
         *extra,
         F.count(F.lit(1)).cast("long").alias("n_members"),
         labs.alias("__labs"),
@@ -105,3 +112,11 @@ def label_conflicts(df: DataFrame, group: str, label: str, code: str, ordinal: s
         conflict.alias("conflict"),
         F.when(conflict, F.lit(1)).otherwise(F.col("__code")).cast("long").alias("human_code"),
     )
+
+
+def label_conflict_rows(df: DataFrame, group: str, label: str, included: str = "included",
+                        excluded: str = "excluded") -> DataFrame:
+    """E7 audit: the rows of every group that holds both labels (null groups never do)."""
+    both = df.filter(F.col(group).isNotNull() & F.col(label).isin(included, excluded)).groupBy(group).agg(
+        F.min(label).alias("__lo"), F.max(label).alias("__hi")).filter("__lo <> __hi").select(group)
+    return df.join(both, group, "left_semi")

@@ -65,5 +65,5 @@ def title_link(left: DataFrame, right: DataFrame, left_title: str = "title", rig
     lk = normalise_text(left_title)
     rk = normalise_text(F.col(right_title))
     r = right.select(rk.alias("__k"), *(right_cols or [c for c in right.columns if c != right_title]))
-    r = r.filter(F.col("__k") != "")
+    r = r.filter(F.col("__k").isNotNull())
     return left.withColumn("__k", lk).join(r, "__k", "inner").drop("__k")

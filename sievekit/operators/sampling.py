@@ -13,52 +13,53 @@ from pyspark.sql import functions as F
 from sievekit.functions.scalars import hash_key
 from sievekit.plans.global_order import rank_rows
 
-# Above this many rows a sample is cut by a partition-parallel rank instead
-# of a top-k that merges every partition's k rows in one task.
-TOPK_LIMIT = 100_000
+def _draw(df: DataFrame, key: str, ordinal: str | None) -> tuple[Column, str | None]:
+    """What is hashed for a row: its id as text, or its ordinal where the id is missing."""
+    if ordinal is None and "ordinal" in df.columns and key != "ordinal":
+        ordinal = "ordinal"
+    ident = F.col(key).cast("string")
+    missing = F.concat(F.lit("row "), F.col(ordinal).cast("string")) if ordinal else F.lit("")
+    return F.coalesce(ident, missing), ordinal
+
+
+def _drawn_order(df: DataFrame, seed: int | str, key: str, ordinal: str | None, position: str) -> DataFrame:
+    """Global draw order: hash, then ordinal (or id, or the hash's next digits) on ties."""
+    ident, ordinal = _draw(df, key, ordinal)
+    whole = dict(df.dtypes).get(ordinal or key, "") in ("bigint", "int", "smallint", "tinyint")
+    tie = F.col(ordinal or key).cast("long") if whole else hash_key(ident, seed, 1)
+    keyed = df.withColumn("__hd", hash_key(ident, seed).cast("double")).withColumn("__tie", tie)
+    return rank_rows(keyed, "__hd", "__tie", descending=False, position=position, totals=False).drop("__hd", "__tie")
 
 
 def sample_n(df: DataFrame, n: int, seed: int | str, key: str = "eppi_id", order_col: str = "sample_rank",
-             strict: bool = False) -> DataFrame:
+             strict: bool = False, ordinal: str | None = None) -> DataFrame:
     """Seeded sample of ``n`` rows without replacement.
 
-    Adds ``sample_rank`` (1..n, the draw order). ``strict`` raises when the
-    table has fewer than ``n`` rows (as R's ``sample_n``), at the cost of a
-    count; otherwise all rows are returned.
+    Adds ``sample_rank`` (1..n, the draw order): a partition-parallel global
+    rank of the hash for every ``n``, so no task merges the samples of all
+    tasks. A row without an id is drawn by its ``ordinal`` (default: the
+    column of that name). ``strict`` raises when the table has fewer than
+    ``n`` rows (as R's ``sample_n``), at the cost of a count; otherwise all
+    rows are returned.
     """
     if strict:
         have = df.count()
         if have < n:
             raise ValueError(f"cannot take a sample of {n} from {have} rows")
-    k = hash_key(key, seed)
-    keyed = df.withColumn("__h", k)
-    if n <= TOPK_LIMIT:
-        # orderBy + limit plans as TakeOrderedAndProject: per-partition top-n,
-        # no full sort; the final merge sees at most n rows per partition.
-        top = keyed.orderBy("__h", key).limit(n)
-        w = Window.orderBy("__h", key)  # over n rows only
-        return top.withColumn(order_col, F.row_number().over(w).cast("long")).drop("__h")
-    ranked = rank_rows(keyed.withColumn("__hd", F.col("__h").cast("double")), "__hd", _tie_break(df, key),
-                       descending=False, position=order_col, totals=False)
-    return ranked.filter(F.col(order_col) <= n).drop("__h", "__hd")
-
-
-def _tie_break(df: DataFrame, key: str) -> str:
-    """Order ties of the hash by the key itself when it is numeric (as
-    ``ORDER BY h, id``); a text key falls back to the hash."""
-    numeric = dict(df.dtypes).get(key, "") in ("bigint", "int", "smallint", "tinyint")
-    return key if numeric else "__h"
-
-
-def shuffle_rows(df: DataFrame, seed: int | str, key: str = "eppi_id", position: str = "position") -> DataFrame:
+    return _drawn_order(df, seed, key, ordinal, order_col).filter(F.col(order_col) <= n)
+
+
+def shuffle_rows(df: DataFrame, seed: int | str, key: str = "eppi_id", position: str = "position",
+                 ordinal: str | None = None) -> DataFrame:
     """G4 ``slice_sample(prop = 1)`` + ``row_number``: a full seeded permutation.
 
     All rows are kept (no row count is taken before rows are added). The new
     position is a partition-parallel global rank of the hash key.
     """
-    keyed = df.withColumn("__h", hash_key(key, seed)).withColumn("__hd", F.col("__h").cast("double"))
-    return rank_rows(keyed, "__hd", _tie_break(df, key), descending=False, position=position,
-                     totals=False).drop("__h", "__hd")
+    return _drawn_order(df, seed, key, ordinal, position)
+
+
+SLICES = 64
 
 
 def sample_strata(df: DataFrame, strata: list[tuple[str, Column, int | None]], seed: int | str,
@@ -86,18 +87,29 @@ def sample_strata(df: DataFrame, strata: list[tuple[str, Column, int | None]], s
     limited = exploded.filter(size >= 0)
     # Each stratum draws with its own seed "<seed>-<index>".
     stratum_seed = F.concat(F.lit(f"{seed}-"), F.col("stratum_index").cast("string"))
-    limited = limited.withColumn("__h", hash_key(key, stratum_seed))
-    w = Window.partitionBy("stratum_index").orderBy("__h", key)
+    ident, ordinal = _draw(df, key, None)
+    tie = [c for c in (key, ordinal) if c]
+    limited = limited.withColumn("__h", hash_key(ident, stratum_seed))
+    # Two levels: a stratum is first cut to n rows per slice of the hash, so
+    # the last window sees at most SLICES * n rows however many tasks there are.
+    limited = limited.withColumn("__slice", F.pmod(F.col("__h"), F.lit(SLICES)))
+    sliced = Window.partitionBy("stratum_index", "__slice").orderBy("__h", *tie)
+    w = Window.partitionBy("stratum_index").orderBy("__h", *tie)
     # The literal bound lets Spark infer a per-partition WindowGroupLimit
     # (the per-stratum size alone is not foldable).
     n_max = max([int(s[2]) for s in strata if s[2] is not None] or [0])
-    drawn = limited.withColumn("sample_rank", F.row_number().over(w)).filter(
+    first = limited.withColumn("__r", F.row_number().over(sliced)).filter(
+        (F.col("__r") <= F.lit(n_max)) & (F.col("__r") <= size))
+    drawn = first.withColumn("sample_rank", F.row_number().over(w)).filter(
         (F.col("sample_rank") <= F.lit(n_max)) & (F.col("sample_rank") <= size)
-    ).drop("__h")
+    ).drop("__h", "__slice", "__r")
     drawn = drawn.unionByName(whole)
     drawn = drawn.withColumn("stratum", F.element_at(names, F.col("stratum_index") + 1))
-    firsts = first_per_key(drawn.withColumn("__o", F.struct("stratum_index", "sample_rank")), key, "__o")
-    return firsts.drop("__o").withColumn("sample_rank", F.col("sample_rank").cast("long"))
+    # A row without an id is no repeat of another such row.
+    drawn = drawn.withColumn("__o", F.struct("stratum_index", "sample_rank")).withColumn(
+        "__k", F.when(F.col(key).isNull(), F.col(ordinal) if ordinal else F.monotonically_increasing_id()))
+    firsts = first_per_key(drawn, [key, "__k"], "__o")
+    return firsts.drop("__o", "__k").withColumn("sample_rank", F.col("sample_rank").cast("long"))
 
 
 def first_per_key(df: DataFrame, key: str | list[str], ordinal: str = "ordinal") -> DataFrame:

@@ -8,12 +8,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def bind_rows(*dfs: DataFrame, part_col: str | None = "part") -> DataFrame:
+def bind_rows(*dfs: DataFrame, part_col: str | None = "part", ordinal: str = "ordinal") -> DataFrame:
     """H1 ``bind_rows``: UNION ALL by column name, missing columns null.
 
     Types of a shared column must agree (R refuses e.g. text vs number; Spark
-    would silently widen). ``part_col`` records which input a row came from,
-    so ``(part, ordinal)`` keeps the stacked order without renumbering.
+    would silently widen). ``part_col`` records which input a row came from
+    (a nested bind keeps its own parts under ``<part_col>_inner``). An
+    ``ordinal`` that every input has is renumbered: from the second input on,
+    ordinals follow those of the inputs before, so they stay unique and in stacked
+    order (one small aggregate per input).
     """
     types: dict[str, str] = {}
     for i, d in enumerate(dfs):
@@ -22,8 +25,18 @@ def bind_rows(*dfs: DataFrame, part_col: str | None = "part") -> DataFrame:
             if f.name in types and types[f.name] != t and t != "void" and types[f.name] != "void":
                 raise TypeError(f"column {f.name!r}: {types[f.name]} vs {t} (input {i})")
             types.setdefault(f.name, t)
-    tagged = [d.withColumn(part_col, F.lit(i)) if part_col else d for i, d in enumerate(dfs)]
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tagged)
+    if all(dict(d.dtypes).get(ordinal) in ("bigint", "int") for d in dfs) and len(dfs) > 1:
+        last, moved = None, []
+        for d in dfs:
+            lo, hi = d.agg(F.min(ordinal), F.max(ordinal)).first()
+            shift = 0 if lo is None or last is None else last + 1 - int(lo)
+            moved.append(d.withColumn(ordinal, F.col(ordinal).cast("long") + shift))
+            last = last if lo is None else int(hi) + shift
+        dfs = tuple(moved)
+    if part_col:
+        dfs = tuple(d.withColumnRenamed(part_col, f"{part_col}_inner").withColumn(part_col, F.lit(i))
+                    for i, d in enumerate(dfs))
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), dfs)
 
 
 def with_constants(df: DataFrame, **values) -> DataFrame:

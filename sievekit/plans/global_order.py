@@ -175,7 +175,7 @@ def rank_rows(df: DataFrame, score: str, ordinal: str, flags: dict[str, Column]
               totals: bool = True, stats: OrderStats | None = None) -> DataFrame:
     """Global ``row_number`` and ROWS-frame running sums, partition-parallel.
 
-    Order is ``score`` (desc/asc, nulls last/first) then ``ordinal`` ascending;
+    Order is ``score`` (desc/asc, nulls and NaN last/first) then ``ordinal`` ascending;
     ``ordinal`` must be unique so the order is total. For each entry of
     ``flags`` (name -> boolean Column; null counts as false) the output gets
     ``cum_<name>`` (running count up to and including the row) and, with
@@ -185,6 +185,11 @@ def rank_rows(df: DataFrame, score: str, ordinal: str, flags: dict[str, Column]
     # Re-ranking a ranked list replaces the earlier rank's columns.
     df = df.drop(position, *(["n_rows"] if totals else []), *[f"cum_{k}" for k in flags],
                  *([f"total_{k}" for k in flags] if totals else []))
+    # R's order(): NaN is missing, so it stands with the nulls, by ordinal.
+    kept = None
+    if dict(df.dtypes).get(score) in ("double", "float"):
+        kept, df = score, df.withColumn("__key", F.when(~F.isnan(score), F.col(score)))
+        score = "__key"
     stats = stats or order_stats(df, score, ordinal, rows_per_bucket, max_buckets)
     fl = {f"__f_{k}": _flag_int(v) for k, v in flags.items()}
     cells_in = assign_cells(df, score, ordinal, stats, descending, nulls_last)
@@ -222,7 +227,7 @@ def rank_rows(df: DataFrame, score: str, ordinal: str, flags: dict[str, Column]
     out = joined.withColumn(position, (F.col("__off") + F.row_number().over(w)).cast("long"))
     for c in fl:
         out = out.withColumn(f"cum_{c[4:]}", (F.col(f"__o{c}") + F.sum(c).over(run)).cast("long"))
-    drop = [_OB, _SB, "__off"] + list(fl) + [f"__o{c}" for c in fl]
+    drop = [_OB, _SB, "__off"] + (["__key"] if kept else []) + list(fl) + [f"__o{c}" for c in fl]
     out = out.drop(*drop)
     if totals:
         out = out.withColumn("n_rows", F.col("n_rows").cast("long"))

@@ -121,7 +121,8 @@ def _hash_sql(ident: str, seed: str) -> str:
 
 def _norm_sql(x: str) -> str:
     """SQL twin of functions.scalars.normalise_text."""
-    return f"regexp_replace(lower(regexp_replace({x}, '&(amp|lt|gt|quot|#39);', '', 'g')), '[^a-z0-9]+', '', 'g')"
+    plain = f"lower(regexp_replace({x}, '&(amp|lt|gt|quot|#39);', '', 'g'))"
+    return f"nullif(array_to_string(regexp_extract_all({plain}, '[\\p{{L}}\\p{{M}}\\p{{N}}]'), ''), '')"
 
 
 # ---------------------------------------------------------------- flagship (C2 + F6)
@@ -385,7 +386,7 @@ def q_split_counts(spark, sf_dir):
 LST AS (SELECT DISTINCT split_part(d.text, chr(10), 1) AS list_title
         FROM documents d JOIN labels l ON d.doc_id = l.doc_id WHERE l.toxic = 1),
 LK AS (SELECT list_title, {_norm_sql('list_title')} AS k FROM LST)
-SELECT R.eppi_id, LK.list_title FROM R JOIN LK ON {_norm_sql('R.title')} = LK.k WHERE LK.k <> ''"""))
+SELECT R.eppi_id, LK.list_title FROM R JOIN LK ON {_norm_sql('R.title')} = LK.k"""))
 def q_title_link(spark, sf_dir):
     from sievekit.operators.joins import title_link
     from sievekit.sources.tables import table
@@ -404,7 +405,8 @@ SRC AS (SELECT d.doc_id AS eppi_id, d.doc_id AS ordinal, split_part(d.text, chr(
                l.quality AS human_code, 'search' AS cite_source,
                CASE l.quality WHEN 1 THEN 'included' WHEN 0 THEN 'excluded' END AS cite_label, 0 AS part
         FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id),
-BEN AS (SELECT item_id AS other_id, item_id AS ordinal, split_part(text, chr(10), 1) AS title, 1 AS human_code,
+BEN AS (SELECT item_id AS other_id,
+               item_id - (SELECT min(item_id) FROM benchmark) + (SELECT max(doc_id) + 1 FROM documents) AS ordinal, split_part(text, chr(10), 1) AS title, 1 AS human_code,
                'benchmark' AS cite_source, 'benchmark' AS cite_label, 1 AS part FROM benchmark),
 U AS (SELECT * FROM SRC UNION ALL BY NAME SELECT * FROM BEN)"""
 
@@ -605,11 +607,10 @@ def q_label_conflicts(spark, sf_dir):
 SELECT coalesce(bool_or(conflict), false) AS any_conflict, CAST(count(*) FILTER (WHERE conflict) AS BIGINT) AS n_conflicts
 FROM LC2"""))
 def q_label_any(spark, sf_dir):
-    from sievekit.operators.aggregates import any_match
+    from sievekit.operators.aggregates import any_true
 
-    c = _conflicts(spark, sf_dir)
-    return tidy(any_match(c, F.col("conflict"), "any_conflict").crossJoin(
-        c.agg(F.count_if(F.col("conflict")).alias("n_conflicts"))))
+    return tidy(_conflicts(spark, sf_dir).agg(
+        any_true(F.col("conflict")).alias("any_conflict"), F.count_if(F.col("conflict")).alias("n_conflicts")))
 
 
 @register("dedup_exact", with_r(f"""
@@ -803,3 +804,112 @@ def q_dedup_manual(spark, sf_dir):
 
     out = dedup(records(spark, sf_dir, labels=False).select("eppi_id", "ordinal", "abstract"))
     return tidy(out["manual_pairs"].select("src", "dst", "similarity"))
+
+
+# ---------------------------------------------------------------- large lists: many cells
+_EVENTS_SQL = """
+WITH I AS (SELECT event_id AS eppi_id, event_id AS ordinal,
+                  CASE WHEN user_id % 7 = 0 THEN NULL WHEN user_id % 7 = 1 THEN 'NaN'::DOUBLE
+                       ELSE floor(value / 5) END AS score,
+                  CASE event_type WHEN 'click' THEN 1 WHEN 'view' THEN 0 END AS human_code FROM events),
+K AS (SELECT *, CASE WHEN isnan(score) THEN NULL ELSE score END AS k FROM I)"""
+_EVENT_CELL = 400  # rows per cell, so that the small tables run the split path
+
+
+def _event_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sievekit.sources.tables import table
+
+    kind = F.col("user_id") % 7
+    score = F.when(kind == 0, None).when(kind == 1, F.lit(float("nan"))).otherwise(
+        F.floor(F.col("value") / 5).cast("double"))
+    code = F.when(F.col("event_type") == "click", 1).when(F.col("event_type") == "view", 0)
+    return table(spark, sf_dir, "events").select(
+        F.col("event_id").alias("eppi_id"), F.col("event_id").alias("ordinal"), score.alias("score"),
+        code.alias("human_code"))
+
+
+@register("rank_events", _EVENTS_SQL + """
+SELECT eppi_id, CAST(row_number() OVER (ORDER BY k DESC NULLS LAST, ordinal) AS BIGINT) AS position FROM K""")
+def q_rank_events(spark, sf_dir):
+    from sievekit.plans.global_order import rank_rows
+
+    ranked = rank_rows(_event_list(spark, sf_dir), "score", "ordinal", rows_per_bucket=_EVENT_CELL, totals=False)
+    return tidy(ranked.select("eppi_id", "position"))
+
+
+@register("curve_events", _EVENTS_SQL + """,
+L AS (SELECT eppi_id, row_number() OVER w AS position,
+             sum(CASE WHEN human_code = 1 THEN 1 ELSE 0 END) OVER w AS cum, count(*) OVER () AS n,
+             sum(CASE WHEN human_code = 1 THEN 1 ELSE 0 END) OVER () AS total
+      FROM K WINDOW w AS (ORDER BY k DESC NULLS LAST, ordinal ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
+SELECT eppi_id, CAST(position AS BIGINT) AS position, CAST(cum AS BIGINT) AS cumulative_relevant,
+       round(CAST(cum AS DOUBLE) / total * 100, 6) AS recall, round(CAST(position AS DOUBLE) / n * 100, 6) AS perc_of_total
+FROM L""")
+def q_curve_events(spark, sf_dir):
+    curve = order.recall_curve(_event_list(spark, sf_dir), "human_code", rows_per_bucket=_EVENT_CELL)
+    return tidy(curve.select("eppi_id", "position", "cumulative_relevant", "recall", "perc_of_total"))
+
+
+# ---------------------------------------------------------------- rows without an id (G3 G4 G6), decimals (B4), audit
+_TEXT_IDS_SQL = "CASE WHEN doc_id % 3 = 0 THEN NULL ELSE 'id-' || doc_id END"
+
+
+def _text_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sievekit.sources.tables import table
+
+    return table(spark, sf_dir, "documents").select(
+        F.when(F.col("doc_id") % 3 != 0, F.concat(F.lit("id-"), F.col("doc_id").cast("string"))).alias("eppi_id"),
+        F.col("doc_id").alias("ordinal"), "n_chars")
+
+
+_TEXT_HASH_SQL = _hash_sql(f"coalesce({_TEXT_IDS_SQL}, 'row ' || doc_id)", "'42'")
+
+
+@register("sample_missing_ids", f"""
+WITH H AS (SELECT {_TEXT_IDS_SQL} AS eppi_id, doc_id AS ordinal, {_TEXT_HASH_SQL} AS h FROM documents),
+K AS (SELECT *, row_number() OVER (ORDER BY h, ordinal) AS sample_rank FROM H)
+SELECT eppi_id, ordinal, CAST(sample_rank AS BIGINT) AS sample_rank FROM K WHERE sample_rank <= 150""")
+def q_sample_missing_ids(spark, sf_dir):
+    from sievekit.operators.sampling import sample_n
+
+    return tidy(sample_n(_text_ids(spark, sf_dir), 150, 42).select("eppi_id", "ordinal", "sample_rank"))
+
+
+@register("strata_missing_ids", f"""
+WITH S AS (SELECT {_TEXT_IDS_SQL} AS eppi_id, doc_id AS ordinal, n_chars % 2 AS stratum_index,
+             {_hash_sql(f"coalesce({_TEXT_IDS_SQL}, 'row ' || doc_id)", "'7-' || CAST(n_chars % 2 AS VARCHAR)")} AS h
+           FROM documents),
+K AS (SELECT *, row_number() OVER (PARTITION BY stratum_index ORDER BY h, eppi_id NULLS FIRST, ordinal) AS r FROM S)
+SELECT eppi_id, ordinal, CAST(stratum_index AS BIGINT) AS stratum_index, CAST(r AS BIGINT) AS sample_rank FROM K
+WHERE r <= CASE stratum_index WHEN 0 THEN 90 ELSE 60 END""")
+def q_strata_missing_ids(spark, sf_dir):
+    from sievekit.operators.sampling import sample_strata
+
+    even = F.col("n_chars") % 2 == 0
+    s = sample_strata(_text_ids(spark, sf_dir), [("even", even, 90), ("odd", ~even, 60)], 7)
+    return tidy(s.select("eppi_id", "ordinal", "stratum_index", "sample_rank"))
+
+
+@register("cast_decimals", """
+SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber,
+       CAST(trunc(CAST(CAST(l_extendedprice AS VARCHAR) AS DOUBLE)) AS BIGINT) AS price_whole FROM lineitem""")
+def q_cast_decimals(spark, sf_dir):
+    from sievekit.functions.scalars import to_number
+    from sievekit.sources.tables import table
+
+    items = table(spark, sf_dir, "lineitem").withColumn("price", F.col("l_extendedprice").cast("string"))
+    return tidy(items.select("l_orderkey", "l_linenumber", to_number("price", "bigint").alias("price_whole")))
+
+
+@register("label_conflict_rows", with_r(_GROUPS_SQL + """,
+C AS (SELECT k FROM G WHERE cite_label IS NOT NULL AND k IS NOT NULL GROUP BY k HAVING count(DISTINCT cite_label) = 2)
+SELECT eppi_id, cite_label FROM G WHERE k IN (SELECT k FROM C)"""))
+def q_label_conflict_rows(spark, sf_dir):
+    from sievekit.functions.scalars import normalise_text
+    from sievekit.operators.aggregates import label_conflict_rows
+    from sievekit.operators.dedup import key_hash
+
+    r = records(spark, sf_dir).select(
+        "eppi_id", key_hash(normalise_text("abstract")).alias("k"),
+        F.when(F.col("human_code") == 1, "included").when(F.col("human_code") == 0, "excluded").alias("cite_label"))
+    return tidy(label_conflict_rows(r, "k", "cite_label").select("eppi_id", "cite_label"))

@@ -25,6 +25,8 @@ def get_session(master: str | None = None, shuffle_partitions: int = 8) -> Spark
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        # Small scan splits, so that a small input uses every core without a shuffle.
+        .config("spark.sql.files.maxPartitionBytes", "8m")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
@@ -73,20 +75,3 @@ def materialize(df: DataFrame) -> DataFrame:
     """
     checkpoint_root(df.sparkSession)
     return df.checkpoint(eager=True)
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Round-robin spread a scan that has fewer partitions than cores.
-
-    A small input (one Parquet row group, one text file) arrives as one
-    task; CPU-heavy per-row work (text normalisation, shingling) would then
-    run on one core. Large inputs have more splits than cores and are
-    returned unchanged (no shuffle). Projections and filters are still pushed
-    below the repartition to the scan.
-    """
-    try:
-        want = df.sparkSession.sparkContext.defaultParallelism
-        have = df.rdd.getNumPartitions()
-    except Exception:  # noqa: BLE001 - no RDD view (e.g. a remote session): leave as is
-        return df
-    return df.repartition(want) if have < want else df

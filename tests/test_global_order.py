@@ -10,18 +10,13 @@ from sievekit.plans.global_order import order_stats, rank_rows
 
 
 def _brute(rows, descending=True):
-    # rows: (ordinal, score, flag); order: score desc nulls last, NaN first.
+    # rows: (ordinal, score, flag); order: score desc, nulls and NaN last by ordinal.
     def key(r):
         s = r[1]
-        if s is None:
+        if s is None or math.isnan(s):
             grp, v = 2, 0.0
-        elif isinstance(s, float) and math.isnan(s):
-            grp, v = 0, 0.0
         else:
             grp, v = 1, (-s if descending else s)
-        if not descending and grp == 0:
-            grp = 1.5  # NaN sorts after numbers ascending
-            v = 0.0
         return (grp, v, r[0])
 
     out, cum = {}, 0

@@ -21,14 +21,20 @@ def test_sample_repeatable_across_partitionings(spark):
     assert got[0] == got[1] == got[2] and len(set(got[0])) == 50
 
 
-def test_large_sample_uses_rank_path(spark, monkeypatch):
-    import sievekit.operators.sampling as smp
-
-    base = spark.range(0, 3000).select(F.col("id").alias("eppi_id"))
-    small = sample_n(base, 500, 9).orderBy("sample_rank").select("eppi_id")
-    monkeypatch.setattr(smp, "TOPK_LIMIT", 10)
-    big = smp.sample_n(base, 500, 9).orderBy("sample_rank").select("eppi_id")
-    assert _ids(small) == _ids(big)
+def test_sample_is_the_start_of_a_larger_one(spark):
+    base = spark.range(0, 3000).select(F.col("id").cast("string").alias("eppi_id"))
+    small = sample_n(base, 50, 9).orderBy("sample_rank").select("eppi_id")
+    big = sample_n(base, 2500, 9).orderBy("sample_rank").select("eppi_id")
+    assert _ids(small) == _ids(big)[:50]
+
+
+def test_rows_without_id_are_drawn_like_others(spark):
+    base = spark.range(0, 2000).select(
+        F.when(F.col("id") % 2 == 0, F.col("id")).alias("eppi_id"), F.col("id").alias("ordinal"))
+    drawn = sample_n(base, 400, 3).collect()
+    assert len(drawn) == 400 and 140 < sum(r["eppi_id"] is None for r in drawn) < 260
+    strata = sample_strata(base, [("all", F.col("ordinal") >= 0, 400)], 3).collect()
+    assert len(strata) == 400 and 140 < sum(r["eppi_id"] is None for r in strata) < 260
 
 
 def test_strata_larger_than_stratum_and_overlap(spark):

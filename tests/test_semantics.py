@@ -135,3 +135,37 @@ def test_lag_first_default_is_first_value(spark):
         "g", "o", O.lag_first("x", [F.col("o")], ["g"]).alias("lx")).collect()}
     # row 1 takes its own value; a null in mid-list is carried, not hidden
     assert out == {("a", 1): 0, ("a", 2): 0, ("a", 3): None, ("b", 1): 1, ("b", 2): 1}
+
+
+def test_bind_rows_numbers_later_inputs_anew(spark):
+    a = spark.createDataFrame([(1, "x"), (2, "y")], "ordinal long, t string")
+    b = spark.createDataFrame([(1, "z"), (5, "w")], "ordinal long, t string")
+    both = bind_rows(a, b)
+    assert [(r["ordinal"], r["t"]) for r in both.orderBy("ordinal").collect()] == [(1, "x"), (2, "y"), (3, "z"), (7, "w")]
+    again = bind_rows(both, a.limit(0), b)
+    assert again.select("ordinal").distinct().count() == 6 and {"part", "part_inner"} <= set(again.columns)
+
+
+def test_whole_numbers_from_decimal_texts(spark):
+    from sievekit.functions.scalars import to_number
+
+    rows = [("12.7", 12), ("2013.0", 2013), ("-3.9", -3), ("x", None), ("", None), (None, None),
+            ("9007199254740993", 9007199254740993), ("NaN", None), ("1e30", None)]
+    df = spark.createDataFrame(rows, "t string, want long")
+    assert all(r["got"] == r["want"] for r in df.withColumn("got", to_number("t", "bigint")).collect())
+
+
+def test_keys_of_any_script_and_null_groups(spark):
+    from sievekit.functions.scalars import normalise_text
+    from sievekit.operators.aggregates import label_conflict_rows, label_conflicts
+
+    texts = ["Исследование", "研究", "Grüße aus Köln", "Gre aus Kln", "!?", "", None]
+    df = spark.createDataFrame([(k, t, "included" if k % 2 else "excluded", k % 2) for k, t in enumerate(texts)],
+                               "ordinal long, t string, cite_label string, human_code int")
+    keyed = df.withColumn("k", normalise_text("t"))
+    keys = [r["k"] for r in keyed.orderBy("ordinal").collect()]
+    assert len(set(keys[:4])) == 4 and keys[4:] == [None] * 3
+    out = label_conflicts(keyed, "k", "cite_label", "human_code").collect()
+    assert len(out) == 7 and not any(r["conflict"] for r in out)
+    assert label_conflict_rows(keyed, "k", "cite_label").count() == 0
+    assert label_conflict_rows(keyed.withColumn("k", F.lit("a")), "k", "cite_label").count() == 7
