@@ -15,6 +15,7 @@ so ordinals are unique and increase through each file.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -63,57 +64,94 @@ def _values(entries: str, tags: list[str]) -> Column:
     return F.transform(keep, lambda e: e["value"])
 
 
-def _file_ranks(splits: DataFrame, paths: Sequence[str]) -> DataFrame:
-    """(source_file -> file_rank): position of the matching input path, then file name.
+def _full_path(spark: SparkSession, path: str) -> str:
+    """The path as Spark reports it for its files (scheme, no trailing slash)."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    full = p.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(p).toString()
+    return re.sub(r"^(\w+):/+", r"\1:/", full).rstrip("/")
 
-    Built from the per-split table (one row per split, small), so the text is
-    not scanned again; ranked by a window over one row per file.
+
+def _below(file: Column, paths: Sequence[str]) -> Column:
+    """Position in ``paths`` of the file itself or of its deepest folder there; null if none.
+
+    A bare name stands for every file of exactly that name.
+    """
+    out = F.lit(None).cast("int")
+    for i, p in sorted(enumerate(paths), key=lambda x: len(x[1])):
+        same = (file == p) | file.startswith(p + "/") if "/" in p else file.endswith("/" + p)
+        out = F.when(same, F.lit(i)).otherwise(out)
+    return out
+
+
+def _file_offsets(splits: DataFrame, paths: Sequence[str]) -> DataFrame:
+    """(source_file -> file_base): bytes of all files before it, by position of the input path, then name.
+
+    Built from the per-split table (one row per split); ranked by a window
+    over one row per file.
     """
-    files = splits.select("source_file").distinct()
-    idx = F.lit(len(paths))
-    for i in reversed(range(len(paths))):
-        p = paths[i].rstrip("/")
-        idx = F.when(F.col("source_file").endswith(p) | F.col("source_file").contains(p + "/"), F.lit(i)).otherwise(idx)
-    w = Window.orderBy(idx, F.col("source_file"))
-    return files.withColumn("file_rank", (F.row_number().over(w) - 1).cast("long"))
+    files = splits.groupBy("source_file").agg(F.max("file_size").alias("size"))
+    idx = F.coalesce(_below(F.col("source_file"), paths), F.lit(len(paths)))
+    w = Window.orderBy(idx, F.col("source_file")).rowsBetween(Window.unboundedPreceding, -1)
+    return files.select("source_file", F.coalesce(F.sum("size").over(w), F.lit(0)).alias("file_base"))
+
+
+def _unused(entry: Column, i: Column) -> Column:
+    """Entries that no column takes: other tags, later values, a synonym whose first tag is there, a longer year."""
+    tag = entry["tag"]
+    later = i + 1 != F.array_position("tags", tag)
+    second = F.lit(False)
+    for tags in FIRST_OF.values():
+        for t in tags[1:]:
+            second = second | ((tag == t) & F.array_contains("tags", tags[0]))
+    scalar = sorted({t for tags in FIRST_OF.values() for t in tags})
+    long_year = (tag == "PY") & ~F.trim(entry["value"]).rlike(r"^\d{4}$")
+    return ~tag.isin(MAPPED) | (tag.isin(scalar) & (later | second)) | ((tag == "PY") & (later | long_year))
 
 
 def read_ris(spark: SparkSession, paths: str | Sequence[str], labels: dict[str, dict] | None = None) -> DataFrame:
     """A1/A2: read citation files into record rows.
 
-    ``labels`` optionally maps an input path to constant columns (e.g.
-    ``{"incl.ris": {"cite_label": "included", "human_code": 1}}``); the
-    constants are attached by a small broadcast join on the file.
+    ``labels`` optionally maps an input file or folder to constant columns
+    (e.g. ``{"incl.ris": {"cite_label": "included", "human_code": 1}}``); a
+    file takes those of its own path or name, or of its deepest labelled folder. A
+    value that has no column of its own (a repeated tag, a second synonym)
+    is kept in ``extra`` under its tag. ``ordinal`` is the bytes of the files
+    before, plus the place in the file.
     """
     paths = [paths] if isinstance(paths, str) else list(paths)
+    full = [_full_path(spark, p) for p in paths]
     raw = (
         spark.read.option("lineSep", "\n" + END_TAG).text(paths)
         .select(
             F.col("value").alias("chunk"),
-            F.url_decode(F.col("_metadata.file_path")).alias("source_file"),
+            F.regexp_replace(F.url_decode(F.col("_metadata.file_path")), r"^(\w+):/+", "$1:/").alias("source_file"),
+            F.col("_metadata.file_size").alias("file_size"),
             F.col("_metadata.file_block_start").alias("block_start"),
             F.monotonically_increasing_id().alias("mono"),
         )
     )
     # Record index within its split: offset from the split's first row id.
-    firsts = raw.groupBy("source_file", "block_start").agg(F.min("mono").alias("mono0"))
-    ranks = _file_ranks(firsts, paths)
+    firsts = raw.groupBy("source_file", "block_start").agg(
+        F.min("mono").alias("mono0"), F.max("file_size").alias("file_size"))
+    bases = _file_offsets(firsts, full)
     recs = (
-        raw.join(F.broadcast(firsts), ["source_file", "block_start"])
-        .join(F.broadcast(ranks), "source_file")
-        .withColumn("ordinal", F.col("file_rank") * F.lit(1 << 40) + F.col("block_start") + F.col("mono") - F.col("mono0"))
+        raw.join(firsts.drop("file_size"), ["source_file", "block_start"])
+        .join(bases, "source_file")
+        .withColumn("ordinal", F.col("file_base") + F.col("block_start") + F.col("mono") - F.col("mono0"))
     )
-    text = F.regexp_replace(F.regexp_replace("chunk", "\r", ""), r"^[\s\S]*?(?=TY  - )", "")
-    recs = recs.withColumn("__t", text).filter(F.col("__t").startswith("TY  - "))
+    text = F.regexp_replace(F.regexp_replace("chunk", "\r", ""), r"(?m)\A[\s\S]*?(?=^TY  -)", "")
+    recs = recs.withColumn("__t", text).filter(F.col("__t").startswith("TY  -"))
     marked = F.regexp_replace("__t", rf"\n(?={TAG_LINE})", "\u0001")
     entries = F.transform(
         F.split(marked, "\u0001"),
         lambda ln: F.struct(
             F.substring(ln, 1, 2).alias("tag"),
-            F.regexp_replace(F.regexp_replace(F.substring(ln, 3, 1 << 30), r"^  - ?", ""), r"[ \t\n]+$", "").alias("value"),
+            F.regexp_replace(F.regexp_replace(F.regexp_replace(
+                F.substr(ln, F.lit(3)), r"^  - ?", ""), r"[ \t\n]+$", ""), rf"\n (?= *{TAG_LINE})", "\n").alias("value"),
         ),
     )
-    e = recs.select("ordinal", "source_file", "file_rank", entries.alias("entries"))
+    e = recs.select("ordinal", "source_file", entries.alias("entries"))
+    e = e.withColumn("tags", F.transform("entries", lambda x: x["tag"]))
     cols: dict[str, Column] = {}
     for name, tags in FIRST_OF.items():
         firsts_ = [F.get(_values("entries", [t]), 0) for t in tags]
@@ -122,9 +160,10 @@ def read_ris(spark: SparkSession, paths: str | Sequence[str], labels: dict[str,
         cols[name] = _values("entries", tags)
     year_txt = F.coalesce(*[F.get(_values("entries", [t]), 0) for t in YEAR_TAGS])
     cols["year"] = F.regexp_extract(year_txt, r"(\d{4})", 1).try_cast("int")
-    other_tags = F.array_distinct(F.transform(F.filter("entries", lambda x: ~x["tag"].isin(MAPPED)), lambda x: x["tag"]))
+    e = e.withColumn("rest", F.filter("entries", _unused))
+    other_tags = F.array_distinct(F.transform("rest", lambda x: x["tag"]))
     cols["extra"] = F.map_from_arrays(other_tags, F.transform(other_tags, lambda t: F.transform(
-        F.filter("entries", lambda x: x["tag"] == t), lambda x: x["value"])))
+        F.filter("rest", lambda x: x["tag"] == t), lambda x: x["value"])))
     out = e.select(
         F.col("ordinal"), F.col("source_file"),
         *[cols[c].alias(c) for c in ["eppi_id", "type", "title", "secondary_title", "author", "journal", "year",
@@ -133,26 +172,38 @@ def read_ris(spark: SparkSession, paths: str | Sequence[str], labels: dict[str,
                                      "extra"]],
     )
     if labels:
-        rows = []
-        keys = sorted({k for v in labels.values() for k in v})
-        for p, consts in labels.items():
-            rows.append((p, *[consts.get(k) for k in keys]))
-        lab = spark.createDataFrame(rows, ["__path", *keys])
-        out = out.join(F.broadcast(lab), F.col("source_file").endswith(F.col("__path")), "left").drop("__path")
+        named = [_full_path(spark, p) if "/" in p or p in paths else p for p in labels]
+        at = _below(F.col("source_file"), named)
+        for k in sorted({k for v in labels.values() for k in v}):
+            value = F.lit(None)
+            for i, consts in enumerate(labels.values()):
+                value = F.when(at == i, F.lit(consts.get(k))).otherwise(value)
+            out = out.withColumn(k, value)
     return out
 
 
+def _escaped(v: Column) -> Column:
+    """A line of the value that looks like a tag gets one more blank before it (read_ris takes it away)."""
+    return F.regexp_replace(v.cast("string"), rf"\n(?= *{TAG_LINE})", "\n ")
+
+
 def _tag_line(tag: str):
     def line(v: Column) -> Column:
-        return F.concat(F.lit(f"{tag}  - "), v.cast("string"))
+        return F.concat(F.lit(f"{tag}  - "), _escaped(v))
 
     return line
 
 
 def ris_text(df: DataFrame) -> Column:
-    """The citation-file text of one row (A3): tags in export order, arrays repeated."""
+    """The citation-file text of one row (A3): tags in export order, arrays repeated.
+
+    A column without a tag is an error: select what the file can hold, or put it into ``extra``.
+    """
     parts = []
     present = set(df.columns)
+    lost = present - {name for name, _ in WRITE_TAGS} - {"extra", "ordinal", "source_file"}
+    if lost:
+        raise ValueError(f"no tag for {sorted(lost)}")
     for name, tag in WRITE_TAGS:
         if name not in present:
             continue
@@ -161,11 +212,11 @@ def ris_text(df: DataFrame) -> Column:
         if dt.startswith("array"):
             parts.append(F.transform(F.coalesce(c, F.array().cast("array<string>")), _tag_line(tag)))
         else:
-            parts.append(F.when(c.isNotNull(), F.array(F.concat(F.lit(f"{tag}  - "), c.cast("string"))))
+            parts.append(F.when(c.isNotNull(), F.array(F.concat(F.lit(f"{tag}  - "), _escaped(c))))
                          .otherwise(F.array().cast("array<string>")))
     if "extra" in present:
         parts.append(F.flatten(F.transform(F.map_entries(F.coalesce("extra", F.create_map().cast("map<string,array<string>>"))),
-                                           lambda kv: F.transform(kv["value"], lambda v: F.concat(kv["key"], F.lit("  - "), v)))))
+                                           lambda kv: F.transform(kv["value"], lambda v: F.concat(kv["key"], F.lit("  - "), _escaped(v))))))
     lines = F.concat(*parts) if parts else F.array()
     return F.concat(F.array_join(lines, "\n"), F.lit(f"\n{END_TAG} \n"))
 

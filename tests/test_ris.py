@@ -3,6 +3,8 @@
 import os
 import tempfile
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from sievekit.sources.ris import read_ris, write_ris
@@ -151,3 +153,37 @@ def test_dedup_citation_keys(spark):
     # same DOI (with/without resolver) and same title+year+first author (empty abstract) merge
     assert ("An empty-abstract report", 2) in sizes
     assert sum(n for _, n in sizes) == 6 and len(sizes) == 4
+
+
+def test_labels_do_not_reach_names_with_the_same_end(spark):
+    d = tempfile.mkdtemp(prefix="ris-")
+    paths = [_write(d, n, f"TY  - JOUR\nT1  - {n}\nER  - \n") for n in ("incl.ris", "asylum_incl.ris")]
+    os.mkdir(os.path.join(d, "more"))
+    paths.append(_write(os.path.join(d, "more"), "incl.ris", "TY  - JOUR\nT1  - deep\nER  - \n"))
+    df = read_ris(spark, paths, labels={paths[0]: {"cite_label": "a"}, paths[1]: {"cite_label": "b"},
+                                        os.path.join(d, "more"): {"cite_label": "c"}})
+    assert [(r["title"], r["cite_label"]) for r in df.orderBy("ordinal").collect()] == [
+        ("incl.ris", "a"), ("asylum_incl.ris", "b"), ("deep", "c")]
+
+
+def test_no_value_is_lost(spark):
+    d = tempfile.mkdtemp(prefix="ris-")
+    text = ("TY  -JOUR\nT1  - One\nUR  - u1\nUR  - u2\nN1  - n1\nN1  - n2\nDA  - 2020/01/02\nY1  - 2019//\n"
+            "PY  - 2020/05//\nJF  - Full\nJO  - Short\nU1  - 7\nER  - \n")
+    r = read_ris(spark, _write(d, "a.ris", text)).first()
+    assert (r["type"], r["url"], r["notes"], r["date"], r["year"], r["journal"]) == (
+        "JOUR", "u1", "n1", "2020/01/02", 2020, "Full")
+    assert r["extra"] == {"UR": ["u2"], "N1": ["n2"], "Y1": ["2019//"], "PY": ["2020/05//"], "JO": ["Short"]}
+
+
+def test_lines_that_look_like_tags_survive(spark):
+    d = tempfile.mkdtemp(prefix="ris-")
+    odd = "first\nER  - not the end\n AB  - indented\nTY  - JOUR\nplain"
+    src = spark.createDataFrame([(1, "5", "JOUR", odd), (2, "6", "JOUR", "x")],
+                                "ordinal long, eppi_id string, type string, abstract string")
+    out = os.path.join(d, "out")
+    write_ris(src, out)
+    back = [(r["eppi_id"], r["abstract"]) for r in read_ris(spark, out).orderBy("ordinal").collect()]
+    assert back == [("5", odd), ("6", "x")]
+    with pytest.raises(ValueError):
+        write_ris(src.withColumn("human_code", F.lit(1)), out)

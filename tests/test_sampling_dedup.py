@@ -110,3 +110,14 @@ def test_components_refuse_unconverged(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(64)], "src long, dst long")
     with pytest.raises(RuntimeError):
         connected_components(edges, max_rounds=1)
+
+
+def test_dedup_keeps_rows_with_null_and_repeated_ids(spark):
+    rows = [(None, 1, "alpha beta gamma delta"), ("x", 2, "one two three four"), ("x", 3, "five six seven eight"),
+            (None, 4, "nine ten eleven twelve"), ("y", 5, "Nine, ten. Eleven twelve"), ("z", 6, None), (None, 7, None)]
+    df = spark.createDataFrame(rows, "eppi_id string, ordinal long, abstract string")
+    out = dedup(df)
+    got = {r["ordinal"]: r["n_members"] for r in out["unique"].collect()}
+    assert got == {1: 1, 2: 1, 3: 1, 4: 2, 6: 1, 7: 1}
+    with pytest.raises(ValueError):
+        dedup(df.withColumn("ordinal", F.lit(1)))
