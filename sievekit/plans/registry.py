@@ -913,3 +913,33 @@ def q_label_conflict_rows(spark, sf_dir):
         "eppi_id", key_hash(normalise_text("abstract")).alias("k"),
         F.when(F.col("human_code") == 1, "included").when(F.col("human_code") == 0, "excluded").alias("cite_label"))
     return tidy(label_conflict_rows(r, "k", "cite_label").select("eppi_id", "cite_label"))
+
+
+# ---------------------------------------------------------------- A2 labels, J2 flips
+@register("ris_labels", with_r("""
+SELECT CAST(eppi_id AS VARCHAR) AS eppi_id,
+       CASE eppi_id % 3 WHEN 0 THEN 'included' WHEN 1 THEN 'excluded' ELSE 'benchmark' END AS cite_label,
+       CAST(CASE eppi_id % 3 WHEN 0 THEN 1 WHEN 1 THEN 0 END AS BIGINT) AS human_code FROM R"""))
+def q_ris_labels(spark, sf_dir):
+    """Three labelled citation files whose names end alike (A2)."""
+    from sievekit.session import scratch_dir
+    from sievekit.sources.ris import read_ris, write_ris
+
+    base = scratch_dir(spark, "labelled")
+    paths = [f"{base}/{name}" for name in ("incl.ris", "asylum_incl.ris", "more_asylum_incl.ris")]
+    consts = [{"cite_label": "included", "human_code": 1}, {"cite_label": "excluded", "human_code": 0},
+              {"cite_label": "benchmark"}]
+    src = _ris_source(spark, sf_dir)
+    for i, p in enumerate(paths):
+        write_ris(src.filter(F.col("ordinal") % 3 == i), p)
+    back = read_ris(spark, paths, labels=dict(zip(paths, consts, strict=True)))
+    return tidy(back.select("eppi_id", "cite_label", "human_code"))
+
+
+@register("run_flips", with_r("""
+SELECT R.eppi_id, CAST(R.decision_binary AS BIGINT) AS decision_a, CAST(l.quality AS BIGINT) AS decision_b
+FROM R JOIN labels l ON l.doc_id = R.eppi_id WHERE R.decision_binary IS DISTINCT FROM l.quality"""))
+def q_run_flips(spark, sf_dir):
+    from sievekit.operators.agreement import flips
+
+    return tidy(flips(*_runs_ab(spark, sf_dir)))
