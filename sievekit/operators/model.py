@@ -49,6 +49,24 @@ def hashed_text_features(train: DataFrame, text: str, num_features: int = 1 << 1
     return apply
 
 
+def record_vectors(df: DataFrame, texts: list[str], vec: str = "embedding", dim: int = 64,
+                   out: str = "record_vector") -> DataFrame:
+    """I1 (a) + (b) for every record: the stored vector, a flag for a missing one, and hashed word counts.
+
+    A record without a stored vector has zeros in its place, so it is ranked
+    by its texts (all of ``texts``, null as empty) instead of being left out.
+    """
+    width = df.agg(F.max(F.size(vec))).first()[0] or 0
+    words = F.concat_ws(" ", *[F.coalesce(F.col(t), F.lit("")) for t in texts])
+    tok = RegexTokenizer(inputCol="__text", outputCol="__tok", pattern=r"[^\p{L}\p{N}]+", gaps=True)
+    tf = HashingTF(inputCol="__tok", outputCol="__tf", numFeatures=dim)
+    counted = tf.transform(tok.transform(df.withColumn("__text", words)))
+    stored = F.coalesce(F.col(vec).cast("array<double>"), F.array_repeat(F.lit(0.0), int(width)))
+    missing = F.array(F.when(F.col(vec).isNull(), 1.0).otherwise(0.0))
+    counts = F.transform(vector_to_array("__tf"), lambda x: F.log1p(x))
+    return counted.withColumn(out, F.concat(stored, missing, counts)).drop("__text", "__tok", "__tf")
+
+
 def encoder_features(make_encoder: Callable[[], Callable], dim: int) -> Callable[[Column], Column]:
     """I1 (c): a caller's sentence encoder as an iterator ``pandas_udf``.
 

@@ -689,7 +689,8 @@ SELECT CAST(eppi_id AS VARCHAR) AS study_id,
        CASE WHEN human_code = 1 AND decision_binary = 0 THEN 'False exclusion'
             WHEN human_code = 0 AND decision_binary = 1 THEN 'False inclusion' ELSE 'Agreements' END AS section,
        title, CAST(decision_binary AS BIGINT) AS decision_binary, CAST(human_code AS BIGINT) AS human_code, model,
-       'criteria met: ' || CAST(decision_binary AS VARCHAR) AS answer
+       'criteria met: ' || CAST(decision_binary AS VARCHAR) AS answer,
+       regexp_replace(abstract, '[ \t\n]+$', '') AS abstract, DATE '2025-01-31' AS run_date
 FROM R WHERE human_code IS NOT NULL"""))
 def q_report_blocks(spark, sf_dir):
     """Write the adjudication report for the coded records, read it back."""
@@ -698,11 +699,12 @@ def q_report_blocks(spark, sf_dir):
 
     r = records(spark, sf_dir).withColumn(
         "answer", F.concat(F.lit("criteria met: "), F.col("decision_binary").cast("string"))
-    ).withColumn("run_date", F.lit("2026-06-04"))
+    ).withColumn("run_date", F.lit("2025-01-31"))
     path = scratch_dir(spark, "report")
     write_report(r, path)
     back = read_report(spark, path)
-    return tidy(back.select("study_id", "section", "title", "decision_binary", "human_code", "model", "answer"))
+    return tidy(back.select("study_id", "section", "title", "decision_binary", "human_code", "model", "answer",
+                            "abstract", "run_date"))
 
 
 # ---------------------------------------------------------------- I1-I4 model
@@ -724,19 +726,39 @@ def q_lambda_max(spark, sf_dir):
     return tidy(lambda_max_df(_with_vectors(spark, sf_dir), "embedding", "decision_binary"))
 
 
-@register("priority_list")
-def q_priority_list(spark, sf_dir):
-    """Train on all model-included + 100 excluded records (50 held out), rank the rest."""
+def _priority(spark, sf_dir):
+    """Train on all model-included + 100 excluded records (50 held out), rank every other record."""
+    from sievekit.operators.model import record_vectors
     from sievekit.operators.sampling import sample_n
     from sievekit.plans.priority import priority_screening
     from sievekit.sources.tables import table
 
-    data = _with_vectors(spark, sf_dir)
-    holdout = sample_n(data.select("eppi_id"), 50, 4062026).select("eppi_id")
+    emb = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("eppi_id"), "embedding")
+    data = record_vectors(records(spark, sf_dir).join(emb, "eppi_id", "left"), ["title", "abstract"])
+    data = data.drop("abstract", "embedding")
+    holdout = sample_n(data.select("eppi_id"), 50, 17).select("eppi_id")
     finals = table(spark, sf_dir, "labels").filter(F.col("toxic") == 1).select(F.col("doc_id").alias("eppi_id"))
     strata = [("included", F.col("decision_binary") == 1, None), ("excluded", F.col("decision_binary") == 0, 100)]
-    ranked, _ = priority_screening(data, strata, 4062026, holdout_ids=holdout, final_ids=finals, n_lambda=4, folds=3)
-    return tidy(ranked.select("eppi_id", "position", "priority_score", "review_included"))
+    return priority_screening(data, strata, 17, vec="record_vector", holdout_ids=holdout, final_ids=finals,
+                              n_lambda=4, folds=3)[0]
+
+
+@register("priority_list")
+def q_priority_list(spark, sf_dir):
+    return tidy(_priority(spark, sf_dir).select("eppi_id", "position", "priority_score", "review_included"))
+
+
+@register("priority_ids", with_r(f"""
+HO AS (SELECT eppi_id FROM R ORDER BY {_hash_sql('eppi_id', "'17'")}, eppi_id LIMIT 50),
+P AS (SELECT * FROM R WHERE eppi_id NOT IN (SELECT eppi_id FROM HO)),
+TR AS (SELECT eppi_id FROM P WHERE decision_binary = 1
+       UNION ALL (SELECT eppi_id FROM P WHERE decision_binary = 0
+                  ORDER BY {_hash_sql('eppi_id', "'17-1'")}, eppi_id LIMIT 100))
+SELECT eppi_id, CAST(CASE WHEN coalesce(included_full = 1, false) THEN 1 ELSE 0 END AS BIGINT) AS review_included
+FROM R WHERE eppi_id NOT IN (SELECT eppi_id FROM TR)"""))
+def q_priority_ids(spark, sf_dir):
+    """The records that the list ranks: all but the training set."""
+    return tidy(_priority(spark, sf_dir).select("eppi_id", "review_included"))
 
 
 # ---------------------------------------------------------------- streaming E5
