@@ -21,6 +21,9 @@ import numpy as np
 #: The characters with the Unicode property White_Space.
 WHITE_SPACE = "\t-\r \x85\xa0  -     　"
 _PIECE = re.compile(f"[{WHITE_SPACE}]*[^{WHITE_SPACE}]+|[{WHITE_SPACE}]+")
+#: Texts of other characters are cut by the pattern alone: here lower case is one character for one character
+#: in every library, nothing is composed, and all white space is the property's.
+_NOT_PLAIN = re.compile("[^\t-\r\x20-\x84\x86-\u012f\u0131-\u017e\u2010-\u2027]|<\\|")
 #: Pieces that a worker keeps per vocabulary (speed only, never the ids).
 CACHE_PIECES = 300_000
 #: A longer piece is not kept.
@@ -50,6 +53,7 @@ class PieceEncoder:
         self.kept = 0
         one = lambda t: self.tokenizer.encode(t, add_special_tokens=False).ids
         self.mark = one(f" {MARK}")
+        self.drops = one("A B") == one(" a\n") + one("b")
         self.joins = one(f"a.b {MARK} c") == one("a.b") + self.mark + one(" c")
 
     @classmethod
@@ -62,12 +66,12 @@ class PieceEncoder:
         """uint32 bytes of the ids of each piece."""
         plain, odd = [], []
         for p in pieces:  # a joined piece starts with white space, and neither mark nor special token is in it
-            (plain if self.joins and p[0] in " \n" and MARK not in p and "<|" not in p else odd).append(p)
+            (plain if self.joins and (self.drops or p[0] in " \n") and MARK not in p and "<|" not in p else odd).append(p)
         out = {}
         for p, e in zip(odd, self.tokenizer.encode_batch_fast(odd, add_special_tokens=False), strict=True):
             out[p] = np.array(e.ids, "<u4").tobytes()
         groups = [plain[i:i + JOINED] for i in range(0, len(plain), JOINED)]
-        gap = f" {MARK}"
+        gap = f" {MARK} " if self.drops else f" {MARK}"
         for some in (groups[i:i + 64] for i in range(0, len(groups), 64)):
             coded = self.tokenizer.encode_batch_fast([gap.join(g) + gap for g in some], add_special_tokens=False)
             for g, e in zip(some, coded, strict=True):
@@ -82,9 +86,17 @@ class PieceEncoder:
                     at = end
         return out
 
+    def _pieces(self, text: str | None) -> list[str]:
+        """Pieces of a text; without its white space and capitals where the vocabulary drops them itself."""
+        if not text:
+            return []
+        if self.drops and not _NOT_PLAIN.search(text):
+            return text.lower().split()
+        return _PIECE.findall(text)
+
     def ids(self, texts: list[str | None]) -> list[np.ndarray]:
         """uint32 ids of every text, no special tokens added; null is empty."""
-        pieces = [_PIECE.findall(t) if t else [] for t in texts]
+        pieces = [self._pieces(t) for t in texts]
         known = self.known
         new = [p for p in set(chain.from_iterable(pieces)) if p not in known]
         known.update(self._encode(new))
