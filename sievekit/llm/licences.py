@@ -72,12 +72,19 @@ def _words(text: Column) -> Column:
     return F.filter(F.split(F.regexp_replace(ascii_lower(text), r"[^\p{L}\p{N}]+", " "), " "), lambda w: w != "")
 
 
-def _with_bigrams(df: DataFrame, text: str) -> DataFrame:
-    """Add ``grams``: the distinct word bigrams of ``text`` (null if it has under two words)."""
+def _with_bigrams(df: DataFrame, text: str, most: int | None = None) -> DataFrame:
+    """Add ``grams``: the distinct word bigrams of ``text`` (null if it has under two words).
+
+    With ``most``, also null where there must be more than ``most``: every distinct word but one ends a
+    bigram of its own, so a text has at least as many bigrams as distinct words less one.
+    """
     df = df.withColumn("__w", _words(F.col(text)))
     pairs = F.transform(F.sequence(F.lit(1), F.size("__w") - 1), lambda i: F.concat_ws(
         " ", F.element_at("__w", i), F.element_at("__w", i + 1)))
-    return df.withColumn("grams", F.when(F.size("__w") > 1, F.array_distinct(pairs))).drop("__w")
+    fits = F.size("__w") > 1
+    if most is not None:
+        fits = fits & (F.size(F.array_distinct("__w")) <= most + 1)
+    return df.withColumn("grams", F.when(fits, F.array_distinct(pairs))).drop("__w")
 
 
 def template_table(spark: SparkSession, templates: dict[str, str] | None = None,
@@ -110,7 +117,7 @@ def scan_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         return units.select("id", "unit", "part", F.lit("").alias("template"), F.lit(0.0).alias("score")).limit(0)
     # n distinct bigrams need more than n words, so 2 n + 1 characters at least.
     units = units.filter(F.length("piece") >= 2 * int(bounds["lo0"]) + 1)
-    sized = _with_bigrams(units, "piece").drop("piece")
+    sized = _with_bigrams(units, "piece", int(bounds["hi0"])).drop("piece")
     sized = sized.select("id", "unit", "part", F.inline_outer(F.array(F.struct("grams", F.size("grams").alias("n")))))
     met = sized.join(F.broadcast(known), (F.col("n") >= F.col("lo")) & (F.col("n") <= F.col("hi")))
     shared = F.size(F.array_intersect("grams", "tgrams"))
