@@ -114,7 +114,9 @@ class ByteEncoder:
 
     Twice as fast as encoding piece by piece and without a cache. Texts with
     characters outside :data:`COMMON_SCRIPTS`, whose classes the two libraries
-    might take from different Unicode versions, go to ``tokenizers``.
+    might take from different Unicode versions, go to ``tokenizers``; so do
+    texts with a white space run over :data:`LONG_RUN`, on which ``tiktoken``
+    can run out of stack, and any other text that it refuses.
     """
 
     _made: ByteEncoder | None = None
@@ -122,6 +124,9 @@ class ByteEncoder:
     COMMON_SCRIPTS = re.compile("[^\x00-\u024f\u0370-\u052f\u2010-\u2027\u2030-\u205e\u3001-\u3003\u3041-\u3096"
                                 "\u30a1-\u30fa\u4e00-\u9fa5]")
     SPECIAL = {"<|endoftext|>": 50256}
+    #: Characters of white space in a row.
+    LONG_RUN = 100_000
+    _LONG_SPACE = re.compile(f"(?<![{WHITE_SPACE}])[{WHITE_SPACE}]{{{LONG_RUN + 1}}}")
 
     def __init__(self) -> None:
         import base64
@@ -146,10 +151,14 @@ class ByteEncoder:
         for t in texts:
             if not t:
                 out.append(np.zeros(0, np.uint32))
-            elif self.COMMON_SCRIPTS.search(t):
+            elif self.COMMON_SCRIPTS.search(t) or len(t) > self.LONG_RUN and self._LONG_SPACE.search(t):
                 out += PieceEncoder.of("byte_bpe_50k.json").ids([t])
             else:
-                out.append(self.encoding.encode_to_numpy(t, allowed_special="all").astype(np.uint32, copy=False))
+                try:
+                    ids = self.encoding.encode_to_numpy(t, allowed_special="all").astype(np.uint32, copy=False)
+                except Exception:  # any text that it refuses
+                    ids = PieceEncoder.of("byte_bpe_50k.json").ids([t])[0]
+                out.append(ids)
         return out
 
 

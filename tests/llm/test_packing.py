@@ -1,3 +1,4 @@
+import re
 import zlib
 
 import numpy as np
@@ -26,6 +27,16 @@ def test_ids_by_piece_are_those_of_whole_texts(vocabulary):
         assert [x.tolist() for x in e.ids(texts)] == want
 
 
+@pytest.mark.parametrize("run", [" ", "\n"])
+def test_long_white_space_runs(monkeypatch, run):
+    texts = ["a " + run * 2_000_000 + "b c", run * 2_000_000, "x" + run * 150_000]
+    want = whole("byte_bpe_50k.json", texts)
+    e = encoder("byte_bpe_50k.json")
+    assert [x.tolist() for x in e.ids(texts)] == want
+    monkeypatch.setattr(e, "_LONG_SPACE", re.compile("(?!)"))  # tiktoken itself refuses the text
+    assert [x.tolist() for x in e.ids(texts)] == want
+
+
 def check_pack(rows, pieces, length):
     ids = whole("byte_bpe_50k.json", [r[1] for r in rows])
     want = sorted((-1 if r[0] is None else r[0], tuple([*x, 1])) for r, x in zip(rows, ids, strict=True))
