@@ -31,7 +31,7 @@ def spark_parallelism(df: DataFrame) -> int:
 def priority_screening(data: DataFrame, strata: list[tuple[str, Column, int | None]], seed: int | str,
                        key: str = "eppi_id", ordinal: str = "ordinal", label: str = "decision_binary",
                        vec: str = "embedding", holdout_ids: DataFrame | None = None,
-                       final_ids: DataFrame | None = None, n_lambda: int = 6, folds: int = 5,
+                       final_ids: DataFrame | None = None, n_lambda: int = 100, folds: int = 10,
                        checkpoint: bool = True) -> tuple[DataFrame, dict]:
     """Return (ranked unseen list, fit info).
 

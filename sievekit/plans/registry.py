@@ -739,8 +739,7 @@ def _priority(spark, sf_dir):
     holdout = sample_n(data.select("eppi_id"), 50, 17).select("eppi_id")
     finals = table(spark, sf_dir, "labels").filter(F.col("toxic") == 1).select(F.col("doc_id").alias("eppi_id"))
     strata = [("included", F.col("decision_binary") == 1, None), ("excluded", F.col("decision_binary") == 0, 100)]
-    return priority_screening(data, strata, 17, vec="record_vector", holdout_ids=holdout, final_ids=finals,
-                              n_lambda=4, folds=3)[0]
+    return priority_screening(data, strata, 17, vec="record_vector", holdout_ids=holdout, final_ids=finals)[0]
 
 
 @register("priority_list")

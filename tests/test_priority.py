@@ -1,5 +1,8 @@
 """Priority screening (I1-I4) properties on the small tables."""
 
+import inspect
+
+import numpy as np
 from pyspark.ml.classification import LogisticRegression
 from pyspark.sql import functions as F
 
@@ -54,3 +57,22 @@ def test_encoder_features_with_callable(spark):
     df = spark.createDataFrame([("ab",), (None,)], "t string")
     got = [r[0] for r in df.select(enc("t")).collect()]
     assert got == [[2.0, 1.0], [0.0, 1.0]]
+
+
+def test_default_path_is_whole_and_converges(spark):
+    assert [inspect.signature(f).parameters[k].default for f in (M.fit_priority, priority_screening)
+            for k in ("n_lambda", "folds")] == [100, 10, 100, 10]
+    rng = np.random.default_rng(4)
+    x = rng.normal(0, [1, 5, 0.2, 1], (160, 4))
+    y = (x[:, 0] + x[:, 1] / 5 + rng.normal(0, 1, 160) > 0).astype(float)
+    df = spark.createDataFrame([(k, r.tolist(), float(v), k % 4) for k, (r, v) in enumerate(zip(x, y))],
+                               "id long, x array<double>, label double, fold int").repartition(3)
+    lams = [0.1, 0.01]
+    got, done = M.path_losses(df.select("x", "label", "fold"), 4, lams, 4)
+    assert done
+    data = M.embedding_features(df, "x")
+    for j, lam in enumerate(lams):  # Spark's own fit of a fold
+        m = LogisticRegression(elasticNetParam=1.0, regParam=lam, maxIter=200, tol=1e-9).fit(data.filter("fold <> 1"))
+        p = [(r["probability"][1], r["label"]) for r in m.transform(data.filter("fold = 1")).collect()]
+        want = -np.mean([np.log(a if b else 1 - a) for a, b in p])
+        assert abs(got[1, j] - want) < 2e-3
