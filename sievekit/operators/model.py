@@ -137,9 +137,8 @@ def _fold_sums(data: DataFrame | tuple, width: int, work: Callable[[np.ndarray,
     return sum(np.frombuffer(r["total"]).reshape(folds, *shape) for r in parts)
 
 
-def _lasso_steps(quad: np.ndarray, grad: np.ndarray, w: np.ndarray, lams: np.ndarray, steps: int = 25) -> np.ndarray:
+def _lasso_steps(quad: np.ndarray, top: float, grad: np.ndarray, w: np.ndarray, lams: np.ndarray, steps: int = 25) -> np.ndarray:
     """Minimise ``grad.d + d.quad.d / 2 + lam |w + d|_1`` for every row of ``w`` (accelerated; intercept unpenalised)."""
-    top = max(float(np.linalg.eigvalsh(quad)[-1]), 1e-12)
     cut = lams[:, None] / top * np.append(0.0, np.ones(w.shape[1] - 1))
     old, at, t = w, w, 1.0
     for _ in range(steps):
@@ -179,24 +178,27 @@ def path_losses(data: DataFrame, width: int, lams: list[float], folds: int, max_
         turn[f] = np.diag(scale[f])
         turn[f, 0] -= mean[f] * scale[f]
     quad = np.einsum("fij,fik,fkl->fjl", turn, rest, turn) / rows[:, :, None] / 4
+    top = np.maximum(np.linalg.eigvalsh(quad)[:, -1], 1e-12)
     w = np.zeros((folds, len(lam), d))
+    going = used.copy()
 
     def gradients(x: np.ndarray, y: np.ndarray, f: int) -> np.ndarray:
         out = np.zeros((folds, len(lam), d))
         for g in range(folds):
-            if g != f:
+            if g != f and going[g]:
                 p = 1 / (1 + np.exp(-np.clip(x @ (turn[g] @ w[g].T), -500, 500)))
                 out[g] = (p - y[:, None]).T @ (x @ turn[g])
         return out
 
-    done = False
     for _ in range(max_iter):
-        grad = _fold_sums(data, width, gradients, 1, (folds, len(lam), d))[0] / rows[:, :, None]
-        new = np.stack([_lasso_steps(quad[f], grad[f], w[f], lam) if used[f] else w[f] for f in range(folds)])
-        moved, w = float(np.abs(new - w).max()), new
-        if moved < tol:
-            done = True
+        if not going.any():
             break
+        grad = _fold_sums(data, width, gradients, 1, (folds, len(lam), d))[0] / rows[:, :, None]
+        for f in np.flatnonzero(going):
+            new = _lasso_steps(quad[f], top[f], grad[f], w[f], lam)
+            going[f] = np.abs(new - w[f]).max() >= tol
+            w[f] = new
+    done = not going.any()
 
     def losses(x: np.ndarray, y: np.ndarray, f: int) -> np.ndarray:
         m = x @ (turn[f] @ w[f].T)
