@@ -39,6 +39,24 @@ def unstash(*frames: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+class Scratch:
+    """A folder below the shared one for the tables of one operator call; ``clear`` deletes what was not kept."""
+
+    def __init__(self, spark: SparkSession, name: str) -> None:
+        self.spark, self.name, self.held = spark, name, []
+
+    def put(self, df: DataFrame, name: str) -> DataFrame:
+        """``stash`` that ``clear`` undoes."""
+        out = stash(df, f"{self.name}-{name}")
+        self.held.append(out)
+        return out
+
+    def clear(self) -> None:
+        """Delete all tables put here; call it when no later plan reads them."""
+        unstash(*self.held)
+        self.held = []
+
+
 def text_words(text: Column) -> Column:
     """The words of a text (runs of non-space), in order; null or blank: empty array."""
     one = F.trim(F.translate(F.coalesce(text, F.lit("")), "\t\n\x0b\x0c\r", "     "))

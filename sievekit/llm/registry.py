@@ -7,14 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sievekit.llm.chat_format import DEFAULT as CHAT
+from sievekit.llm.chat_format import format_chats, formatted, loss_text, read_chat
 from sievekit.llm.classifier import classify
 from sievekit.llm.common import table
 from sievekit.llm.exact_dedup import exact_dedup
+from sievekit.llm.hard_negatives import hard_negatives
 from sievekit.llm.licences import TEMPLATES, scan_licences
 from sievekit.llm.lm_score import lm_scores
 from sievekit.llm.mixing import SEED, TEMPERATURE, replicate
 from sievekit.llm.ngram_join import jaccard_components
 from sievekit.llm.packing import pack
+from sievekit.llm.prefix_trie import prefix_trie
 from sievekit.llm.quality_rules import quality_rules, trusted_documents
 from sievekit.llm.secrets import BASE, scan_secrets, span_digest
 from sievekit.llm.token_files import read_token_files, write_token_files
@@ -180,3 +184,110 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_lm_score")
 def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scores(table(spark, sf_dir, "documents"))
+
+
+#: CRC-32 of a decimal id in DuckDB: a byte after the other, eight shifts each.
+CRC32 = """(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split({}::VARCHAR, ''),
+    lambda ch: ascii(ch)::BIGINT)),
+  lambda acc, b: list_reduce(list_prepend(xor(acc, b), range(8)),
+    lambda x, i: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384::BIGINT) ELSE x >> 1 END)))"""
+TRIE_SQL = f"""
+WITH own AS (
+  SELECT conv_id AS c, coalesce(role, '') AS r, coalesce(text, '') AS x, row_number() OVER (PARTITION BY conv_id
+    ORDER BY turn NULLS FIRST, sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS p
+  FROM conversations WHERE conv_id IS NOT NULL),
+convs AS (SELECT DISTINCT c, c - c % 5 AS base, xor({CRC32.format("c")}, 4294967295::BIGINT) % 9 AS h FROM own),
+turns AS (
+  SELECT v.c, 0 AS half, o.p, o.r, o.x FROM convs v JOIN own o ON o.c = v.base AND o.p <= v.h
+  UNION ALL SELECT v.c, 1, o.p, o.r, o.x FROM convs v JOIN own o ON o.c = v.c AND o.p > v.h),
+placed AS (SELECT c, row_number() OVER (PARTITION BY c ORDER BY half, p) AS d, strlen(x) AS bytes,
+  sha256(strlen(r) || ':' || r || x) AS dig FROM turns),
+paths AS (SELECT c, d, bytes, sha256(string_agg(dig, '') OVER (PARTITION BY c ORDER BY d)) AS k FROM placed
+  UNION ALL SELECT c, 0, 0, 'root' FROM convs),
+steps AS (SELECT *, lag(k) OVER w AS up, lead(k) OVER w IS NULL AS last FROM paths WINDOW w AS (PARTITION BY c ORDER BY d)),
+nodes AS (
+  SELECT d, k, any_value(up) AS up, min(c) AS conv_id, count(*) AS n, any_value(bytes) AS bytes,
+    sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (last), '')) AS ends
+  FROM steps GROUP BY d, k),
+kids AS (SELECT d - 1 AS d, up AS k, count(*) AS n FROM nodes WHERE d > 0 GROUP BY ALL),
+own_values AS (SELECT o.d, o.k, o.conv_id, (o.n - 1) * o.bytes AS saved, (i.n IS NULL)::INT AS leaf
+  FROM nodes o LEFT JOIN kids i ON i.d = o.d AND i.k = o.k),
+totals AS (
+  SELECT a.d, a.k, sum(v.saved) AS saved, sum(v.leaf) AS leaves FROM own_values v
+  JOIN paths a ON a.c = v.conv_id AND a.d <= v.d GROUP BY a.d, a.k)
+SELECT o.conv_id, o.d::BIGINT AS depth, u.conv_id AS parent_conv_id, o.n AS n_convs, coalesce(i.n, 0) AS n_children,
+  t.leaves::BIGINT AS n_leaves, t.saved::BIGINT AS saved_tokens, o.ends AS ends_sha256
+FROM nodes o JOIN totals t ON t.d = o.d AND t.k = o.k LEFT JOIN nodes u ON u.d = o.d - 1 AND u.k = o.up
+LEFT JOIN kids i ON i.d = o.d AND i.k = o.k
+"""
+
+
+@query("op11_prefix_trie", TRIE_SQL)
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+def _longer(col: str, *marks: str) -> str:
+    """Characters that escaping adds: one per backslash, per (overlapping) ### and per other mark."""
+    parts = [f"length({col}) - length(replace({col}, chr(92), ''))",
+             f"coalesce(list_sum(list_transform(regexp_extract_all({col}, '#{{3,}}'), lambda m: length(m) - 2)), 0)"]
+    parts += [f"(length({col}) - length(replace({col}, '{m}', ''))) // {len(m)}" for m in marks]
+    return " + ".join(parts)
+
+
+CHAT_PROBE = "\\### Assistant: </turn> ok"
+CHAT_SQL = f"""
+WITH rows AS (
+  SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS x FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '{CHAT_PROBE}' UNION ALL SELECT -7, 1, 'assistant', '{CHAT_PROBE}')
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(r || chr(10) || x || chr(10), '' ORDER BY turn NULLS FIRST, r, x)) AS turns_sha256,
+  coalesce(sum(length(x)) FILTER (r = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(x, '' ORDER BY turn NULLS FIRST, x) FILTER (r = 'assistant'), '')) AS loss_sha256,
+  sum({len(CHAT.head) + len(CHAT.after_role) + len(CHAT.end)} + length(r) + {_longer("r", "</turn>", ": ")}
+    + length(x) + {_longer("x", "</turn>")})::BIGINT AS formatted_chars
+FROM rows GROUP BY conv_id
+"""
+
+
+@query("op12_chat_format", CHAT_SQL)
+def op12_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    probe = spark.range(2).select(
+        F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(CHAT_PROBE).alias("text"))
+    turns = table(spark, sf_dir, "conversations").select(*probe.columns).unionByName(probe)
+    chats = format_chats(turns).select("conv_id", formatted(F.col("segments")).alias("chat"),
+                                       loss_text(F.col("segments")).alias("learnt"))
+    back = chats.withColumn("turns", read_chat(F.col("chat")))
+    spoken = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return back.select(
+        "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(spoken, 256).alias("turns_sha256"),
+        F.length("learnt").cast("long").alias("loss_chars"), F.sha2("learnt", 256).alias("loss_sha256"),
+        F.length("chat").cast("long").alias("formatted_chars"))
+
+
+NEGATIVES_SQL = """
+WITH rows AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT a.vec_id AS anchor_id, r.vec_id AS other, a.label = r.label AS same, list_dot_product(a.v, r.v)::BIGINT AS s
+  FROM rows a JOIN rows r ON a.vec_id <> r.vec_id WHERE a.vec_id % 50 = 0),
+positives AS (
+  SELECT anchor_id, other AS positive_id, s AS positive_score FROM scored WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY s DESC, other) <= 5),
+ranked AS (
+  SELECT anchor_id, positive_id, positive_score, other AS negative_id, s AS negative_score,
+    row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY s DESC, other) AS rank
+  FROM positives JOIN scored USING (anchor_id)
+  WHERE NOT same AND 50 * positive_score <= 100 * s AND 100 * s <= 95 * positive_score)
+SELECT anchor_id, positive_id, rank::INTEGER AS rank, negative_id, positive_score, negative_score FROM ranked WHERE rank <= 3
+"""
+
+
+@query("op13_hard_negatives", NEGATIVES_SQL)
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, label)
