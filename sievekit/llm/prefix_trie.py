@@ -6,17 +6,17 @@ cut in half, again and again; all blocks of one size are one Spark round:
 * **Cut and name.** The items of a block (lo, lo + 2S] are distinct turn
   sequences below one root. Those that reach the middle are grouped by root
   and digest of their upper half; the least conversation id of a group names
-  the cut prefix. Digests of aligned halves come from a hash tree over each
-  conversation's turns, so a round hashes nothing twice.
+  the cut prefix. Digests of long halves come from a hash tree over chunks of
+  64 turns; in smaller blocks an item carries the digests of its turns.
 * **Upper trie and lower forests.** The cut prefixes, each once, are the
   items of the upper block; what hangs below a cut prefix is the lower
   block's, with that prefix as its root. Both go on to the next rounds side
   by side. Blocks of size one hold the nodes.
-* **Graft.** Going back up, the total of the forest below each cut prefix is
-  worked out from the totals of the two halves, and is then handed to the
-  nodes on the way from that prefix to its block's root, block by block in
-  halves. A conversation of n turns costs O(n) rows in each of log n rounds;
-  no list of ancestors is ever made.
+* **Graft.** A node remembers the cut prefixes that it hangs below, at most
+  one per round. The total of the forest below each cut prefix is the sum over
+  them, and is handed to the nodes on the way from that prefix to its block's
+  root, block by block in halves. A conversation of n turns costs O(n) rows
+  in each of log n rounds; no list of ancestors is ever made.
 
 Groups are only summed or reduced to their least id before a shuffle; the
 join that hands a group's name back to its members is a plain equi-join that
@@ -36,8 +36,9 @@ from pyspark.sql import functions as F
 
 from sievekit.llm.common import Scratch, stash
 
-#: Levels of the hash tree that are built inside one chunk of a conversation (64 turns).
+#: Turns of a conversation that one row holds (64), as a power of two; beyond that a hash tree takes over.
 CHUNK_LEVELS = 6
+CHUNK = 1 << CHUNK_LEVELS
 #: Conversation ids of one range of this many ids are one piece of a digest's input.
 ID_BITS = 9
 EMPTY_SHA = hashlib.sha256(b"").hexdigest()
@@ -48,11 +49,9 @@ def _sha(data: Column) -> Column:
     return F.unhex(F.sha2(data, 256))
 
 
-def _paired(level: str) -> Column:
-    """Digests of pairs of neighbours of an array of digests (the last may be alone)."""
-    halves = F.sequence(F.lit(0), F.shiftright(F.size(level) - 1, 1))
-    return F.transform(halves, lambda i: _sha(F.concat(
-        F.get(level, 2 * i), F.coalesce(F.get(level, 2 * i + 1), F.lit(b"")))))
+def _digest_of(digests: Column) -> Column:
+    """Digest of a short array of digests in order."""
+    return _sha(F.aggregate(digests, F.lit(b""), lambda acc, d: F.concat(acc, d)))
 
 
 def ordered_turns(conversations: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
@@ -100,45 +99,30 @@ def rebuilt_turns(turns: DataFrame, sizes: DataFrame) -> tuple[DataFrame, DataFr
 
 
 class HashTree:
-    """Digests of the aligned blocks of 2^k turns of every conversation, for each k."""
+    """Chunks of 64 turns of every conversation, and digests of its aligned blocks of 64, 128, ... turns."""
 
     def __init__(self, turns: DataFrame, lengths: DataFrame, depth: int, scratch: Scratch) -> None:
-        chunk = turns.groupBy("c", F.shiftright("pos", CHUNK_LEVELS).alias("chunk")).agg(
+        chunk = turns.groupBy("c", F.shiftright("pos", CHUNK_LEVELS).alias("b")).agg(
             F.array_sort(F.collect_list(F.struct("pos", "dig", "bytes"))).alias("x"))
-        chunk = chunk.select("c", "chunk", F.col("x.dig").alias("l0"), F.col("x.bytes").alias("bytes"))
-        for k in range(CHUNK_LEVELS):
-            chunk = chunk.withColumn(f"l{k + 1}", _paired(f"l{k}"))
-        self.chunks = scratch.put(chunk, "chunks")
-        self.upper: dict[int, DataFrame] = {}
-        top = self.chunks.select("c", F.col("chunk").alias("b"), F.get(f"l{CHUNK_LEVELS}", F.lit(0)).alias("dig"))
-        level, now = CHUNK_LEVELS, top.join(lengths.filter(F.col("n") > (1 << CHUNK_LEVELS)), "c", "left_semi")
-        left, right = F.max(F.when(F.col("b") % 2 == 0, F.col("dig"))), F.max(F.when(F.col("b") % 2 == 1, F.col("dig")))
-        while (1 << level) < depth:
-            level += 1
-            now = scratch.put(now.groupBy("c", F.shiftright("b", 1).alias("half")).agg(
-                _sha(F.concat(left, F.coalesce(right, F.lit(b"")))).alias("dig")).withColumnRenamed("half", "b"), "tree")
-            self.upper[level] = now
-        #: Digest of the whole sequence (with its length it names the sequence).
-        whole = top.filter("b = 0")
-        if level > CHUNK_LEVELS:
+        #: ``c, b, digs, bytes, dig``: at most 64 turns a row.
+        self.chunks = scratch.put(chunk.select("c", "b", F.col("x.dig").alias("digs"), F.col("x.bytes").alias("bytes"),
+                                               _digest_of(F.col("x.dig")).alias("dig")), "chunks")
+        now = self.chunks.select("c", "b", "dig")
+        self.levels: dict[int, DataFrame] = {CHUNK_LEVELS: now}
+        whole = now.filter("b = 0")
+        if depth > CHUNK:
+            now = now.join(lengths.filter(F.col("n") > CHUNK).select("c"), "c", "left_semi")
+            left, right = (F.max(F.when(F.col("b") % 2 == i, F.col("dig"))) for i in (0, 1))
+            for level in range(CHUNK_LEVELS + 1, (depth - 1).bit_length() + 1):
+                now = scratch.put(now.groupBy("c", F.shiftright("b", 1).alias("half")).agg(
+                    _sha(F.concat(left, F.coalesce(right, F.lit(b"")))).alias("dig")).withColumnRenamed("half", "b"), "tree")
+                self.levels[level] = now
             whole = whole.join(now.select("c", F.col("dig").alias("long_dig")), "c", "left").select(
                 "c", F.coalesce("long_dig", "dig").alias("dig"))
+        #: ``c, n, dig``: length and digest name the whole sequence.
         self.whole = lengths.join(whole.select("c", "dig"), "c", "left").select(
             "c", "n", F.coalesce("dig", F.lit(b"")).alias("dig"))
 
-    def level(self, k: int) -> DataFrame:
-        """``q, b, dig``: block b of 2^k turns of conversation q."""
-        if k > CHUNK_LEVELS:
-            return self.upper[k].select(F.col("c").alias("q"), "b", "dig")
-        width = 1 << (CHUNK_LEVELS - k)
-        return self.chunks.select(F.col("c").alias("q"), "chunk", F.posexplode(f"l{k}").alias("at", "dig")).select(
-            "q", (F.col("chunk") * width + F.col("at")).alias("b"), "dig")
-
-    def sizes(self) -> DataFrame:
-        """``q, lo, bytes``: bytes of the turn after depth lo."""
-        return self.chunks.select(F.col("c").alias("q"), "chunk", F.posexplode("bytes").alias("at", "bytes")).select(
-            "q", (F.col("chunk") * (1 << CHUNK_LEVELS) + F.col("at")).alias("lo"), "bytes")
-
 
 def _streamed_digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """``q, n, w, ends_sha256`` per sequence, from id pieces sorted by sequence and first id."""
@@ -178,64 +162,76 @@ def _due(length: Column, most: int) -> Column:
 
 
 def cut_rounds(sequences: DataFrame, tree: HashTree, least: int, depth: int,
-               scratch: Scratch) -> dict[int, DataFrame]:
-    """Per round k: ``lo, root, q, end, w, name, name_w`` of the items that reach lo + 2^k.
-
-    ``name`` is the least id that shares the item's first lo + 2^k turns;
-    ``w`` and ``name_w`` count the conversations that the item and the cut
-    prefix stand for.
+               scratch: Scratch) -> tuple[dict[int, DataFrame], DataFrame]:
+    """The recursion down: per round k the items that reach lo + 2^k, and the nodes.
+
+    An item ``lo, root, q, end, w`` is a distinct sequence below the node
+    ``root`` of depth lo; q is the least id that has it, w the number of
+    conversations it stands for, ``hooks`` the cut prefixes it hangs below. A
+    round adds ``name``, the least id that shares the first lo + 2^k turns, and
+    ``name_w``. In blocks of 64 turns and less an item carries its turns.
     """
     top = depth.bit_length() - 1
     items = [sequences.filter("n > 0").select(
         F.lit(0).cast("long").alias("lo"), F.lit(least).cast("long").alias("root"), "q", F.col("n").alias("end"), "w",
-        _due(F.col("n"), top).alias("due"))]
+        F.array().cast("array<struct<k:int,lo:bigint,q:bigint>>").alias("hooks"), _due(F.col("n"), top).alias("due"))]
     rounds: dict[int, DataFrame] = {}
-    for k in range(top, -1, -1):
-        size = 1 << k
+    for k in range(max(top, CHUNK_LEVELS - 1), -1, -1):
+        size, near = 1 << k, k < CHUNK_LEVELS
+        if k == CHUNK_LEVELS - 1:  # from here on the turns come along
+            chunk = tree.chunks.select(F.col("c").alias("q"), (F.col("b") * CHUNK).alias("lo"), "digs", "bytes")
+            items = [scratch.put(reduce(DataFrame.unionByName, items).filter(F.col("due") <= k).join(
+                chunk, ["q", "lo"]), "items")]
+        if k > top:
+            continue
         reach = reduce(DataFrame.unionByName, items).filter(F.col("due") == k).drop("due")
-        keyed = reach.withColumn("b", F.shiftright("lo", k)).join(tree.level(k), ["q", "b"]).drop("b")
-        names = keyed.groupBy("lo", "root", "dig").agg(F.min("q").alias("name"), F.sum("w").alias("name_w"))
-        rounds[k] = scratch.put(keyed.join(names, ["lo", "root", "dig"]).select(
-            "lo", "root", "q", "end", "w", "name", "name_w"), "cut")
-        items += [upper_items(rounds[k], k).withColumn("due", F.lit(k - 1)),
-                  lower_items(rounds[k], k).withColumn("due", _due(F.col("end") - F.col("lo"), k - 1))]
-    return rounds
-
-
-def upper_items(cut: DataFrame, k: int) -> DataFrame:
+        if near:
+            keyed = reach.withColumn("dig", _digest_of(F.slice("digs", 1, size)))
+        else:
+            level = tree.levels[k].select(F.col("c").alias("q"), F.shiftleft("b", k).alias("lo"), "dig")
+            keyed = reach.join(level, ["q", "lo"])
+        # Written on its own, so that the join's two sides are plain shuffles, which Spark splits at hot keys.
+        names = scratch.put(keyed.groupBy("lo", "root", "dig").agg(F.min("q").alias("name"), F.sum("w").alias("name_w")),
+                            "names")
+        rounds[k] = scratch.put(keyed.join(names, ["lo", "root", "dig"]).drop("dig"), "cut")
+        items += [upper_items(rounds[k], k, near).withColumn("due", F.lit(k - 1)),
+                  lower_items(rounds[k], k, near).withColumn("due", _due(F.col("end") - F.col("lo"), k - 1))]
+    nodes = reduce(DataFrame.unionByName, items[-2:]).select(
+        "lo", "root", "q", "w", "hooks", F.get("bytes", F.lit(0)).alias("bytes"))
+    return rounds, nodes
+
+
+def upper_items(cut: DataFrame, k: int, near: bool) -> DataFrame:
     """The cut prefixes, each once: items of the upper blocks."""
+    turns = [F.slice(c, 1, 1 << k).alias(c) for c in ("digs", "bytes") if near]
     return cut.filter("q = name").select("lo", "root", "q", (F.col("lo") + (1 << k)).alias("end"),
-                                         F.col("name_w").alias("w"))
+                                         F.col("name_w").alias("w"), "hooks", *turns)
 
 
-def lower_items(cut: DataFrame, k: int) -> DataFrame:
+def lower_items(cut: DataFrame, k: int, near: bool) -> DataFrame:
     """What goes on below a cut prefix: items of the lower blocks."""
     low = F.col("lo") + (1 << k)
-    return cut.filter(F.col("end") > low).select(low.alias("lo"), F.col("name").alias("root"), "q", "end", "w")
+    hook = F.struct(F.lit(k).alias("k"), low.alias("lo"), F.col("name").alias("q"))
+    turns = [F.slice(c, (1 << k) + 1, 1 << k).alias(c) for c in ("digs", "bytes") if near]
+    return cut.filter(F.col("end") > low).select(low.alias("lo"), F.col("name").alias("root"), "q", "end", "w",
+                                                 F.concat("hooks", F.array(hook)).alias("hooks"), *turns)
 
 
 def graft(values: DataFrame, rounds: dict[int, DataFrame], totals: tuple[str, ...], scratch: Scratch) -> DataFrame:
     """``lo, q`` and totals: what all proper descendants of the node q of depth lo + 1 add up to.
 
-    ``values`` has ``lo, root, q`` and the nodes' own values. Upwards: the
-    forest below a root inside a block of 2^(k+1) is that of its upper half
-    and those below the cut prefixes. Downwards: the forest below a cut prefix
-    counts for every node on the way to it, which each half takes for itself.
+    ``values`` has every node's ``hooks`` and own values. The forest that hangs
+    below a cut prefix inside its lower block is the sum over the nodes hooked
+    there. It counts for every node on the way from that prefix to the root
+    of the upper block; each half of that block takes it for its own part.
     """
     add = [F.sum(t).alias(t) for t in totals]
-    forest = scratch.put(values.groupBy("lo", "root").agg(*add), "forest")
-    hung: dict[int, DataFrame] = {}
-    for k in sorted(rounds):
-        size = 1 << k
-        odd = F.shiftright("lo", k) % 2 == 1
-        hung[k] = forest.filter(odd).select((F.col("lo") - size).alias("lo"), F.col("root").alias("q"), *totals)
-        roots = rounds[k].filter("q = name").select("lo", "root", "q")
-        moved = hung[k].join(roots, ["lo", "q"]).select("lo", "root", *totals)
-        forest = scratch.put(forest.filter(~odd).unionByName(moved).groupBy("lo", "root").agg(*add), "forest")
+    hung = scratch.put(values.select(F.explode("hooks").alias("hook"), *totals).groupBy(
+        F.col("hook.k").alias("k"), F.col("hook.lo").alias("lo"), F.col("hook.q").alias("q")).agg(*add), "hung")
     given: DataFrame | None = None
     for k in sorted(rounds, reverse=True):
         size = 1 << k
-        now = hung[k]
+        now = hung.filter(F.col("k") == k).select((F.col("lo") - size).alias("lo"), "q", *totals)
         if given is not None:
             met = given.join(rounds[k].select("lo", "q", "name"), ["lo", "q"])
             halves = F.explode(F.array(F.struct(F.col("lo"), F.col("name").alias("q")),
@@ -272,27 +268,32 @@ def prefix_trie(conversations: DataFrame) -> DataFrame:
         return spark.createDataFrame([], out)
     if not depth:
         return spark.createDataFrame([(least, 0, None, count, 0, 1, 0, turnless)], out)
-    rounds = cut_rounds(sequences, tree, least, depth, scratch)
-    nodes = upper_items(rounds[0], 0).unionByName(lower_items(rounds[0], 0)).drop("end")
-    children = nodes.groupBy(F.col("lo").alias("child_lo"), F.col("root").alias("child_root")).agg(
-        F.count("*").alias("n_children"))
-    nodes = nodes.join(tree.sizes(), ["q", "lo"]).join(
-        children, (F.col("child_lo") == F.col("lo") + 1) & (F.col("child_root") == F.col("q")), "left")
-    nodes = scratch.put(nodes.select("lo", "root", "q", "w", F.coalesce("n_children", F.lit(0)).alias("n_children"),
-                               F.when(F.col("n_children").isNull(), 1).otherwise(0).cast("long").alias("leaf"),
-                               ((F.col("w") - 1) * F.col("bytes")).alias("saved")), "nodes")
-    below = graft(nodes.select("lo", "root", "q", "leaf", "saved"), rounds, ("leaf", "saved"), scratch).select(
-        "lo", "q", F.col("leaf").alias("more_leaf"), F.col("saved").alias("more_saved"))
+    rounds, found = cut_rounds(sequences, tree, least, depth, scratch)
+    nodes = scratch.put(found, "nodes")
+    children = nodes.groupBy(F.col("lo").alias("depth"), F.col("root").alias("q")).agg(F.count("*").alias("n_children"))
+    nodes = scratch.put(nodes.withColumn("depth", F.col("lo") + 1).join(children, ["depth", "q"], "left").select(
+        "lo", "root", "q", "w", "hooks", F.coalesce("n_children", F.lit(0)).alias("n_children"),
+        F.when(F.col("n_children").isNull(), 1).otherwise(0).cast("long").alias("leaf"),
+        ((F.col("w") - 1) * F.col("bytes")).alias("saved")), "valued")
+    below = graft(nodes.select("hooks", "leaf", "saved"), rounds, ("leaf", "saved"), scratch)
     end_names = reduce(DataFrame.unionByName, [
         cut.filter(F.col("end") == F.col("lo") + (1 << k)).select(F.col("q").alias("seq"), (F.col("end") - 1).alias("lo"),
                                                                   F.col("name").alias("q"))
         for k, cut in rounds.items()])
-    ends = sequences.select(F.col("q").alias("seq"), "ends_sha256").join(end_names, "seq").drop("seq")
-    inner = nodes.join(below, ["lo", "q"], "left").join(ends, ["lo", "q"], "left").select(
+    ends = sequences.select(F.col("q").alias("seq"), "ends_sha256").join(end_names, "seq")
+    # One shuffle brings a node, what it was given and its ends together: each is at most one row per node.
+    none = F.lit(None).cast("long")
+    parts = [nodes.select("lo", "q", "root", "w", "n_children", "leaf", "saved", F.lit(None).cast("string").alias("ends")),
+             below.select("lo", "q", none.alias("root"), none.alias("w"), none.alias("n_children"), "leaf", "saved",
+                          F.lit(None).cast("string").alias("ends")),
+             ends.select("lo", "q", none.alias("root"), none.alias("w"), none.alias("n_children"), none.alias("leaf"),
+                         none.alias("saved"), F.col("ends_sha256").alias("ends"))]
+    inner = reduce(DataFrame.unionByName, parts).groupBy("lo", "q").agg(
+        *[F.max(c).alias(c) for c in ("root", "w", "n_children", "ends")], *[F.sum(c).alias(c) for c in ("leaf", "saved")])
+    inner = inner.select(
         F.col("q").alias("conv_id"), (F.col("lo") + 1).alias("depth"), F.col("root").alias("parent_conv_id"),
-        F.col("w").alias("n_convs"), "n_children", (F.col("leaf") + F.coalesce("more_leaf", F.lit(0))).alias("n_leaves"),
-        (F.col("saved") + F.coalesce("more_saved", F.lit(0))).alias("saved_tokens"),
-        F.coalesce("ends_sha256", F.lit(EMPTY_SHA)).alias("ends_sha256"))
+        F.col("w").alias("n_convs"), "n_children", F.col("leaf").alias("n_leaves"), F.col("saved").alias("saved_tokens"),
+        F.coalesce("ends", F.lit(EMPTY_SHA)).alias("ends_sha256"))
     root = nodes.agg(F.sum((F.col("lo") == 0).cast("long")).alias("n_children"), F.sum("leaf").alias("n_leaves"),
                      F.sum("saved").alias("saved_tokens"))
     root = root.select(
