@@ -8,7 +8,7 @@ from sievekit.operators.aggregates import (  # noqa: F401
     any_match, count_equal, error_lists, group_summary, label_conflicts, performance,
 )
 from sievekit.operators.agreement import agreement_summary, decisions_for_model, flips, run_agreement  # noqa: F401
-from sievekit.operators.dedup import dedup, default_keys, exact_clusters, minhash_clusters, signatures  # noqa: F401
+from sievekit.operators.dedup import dedup, default_keys, exact_clusters, near_copy_clusters  # noqa: F401
 from sievekit.operators.filters import criteria_screen, filter_out, keep, regex_criterion  # noqa: F401
 from sievekit.operators.joins import anti_ids, flag_ids, semi_ids, split_train_unseen, title_link  # noqa: F401
 from sievekit.operators.model import (  # noqa: F401

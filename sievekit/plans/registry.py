@@ -644,10 +644,30 @@ def q_criteria(spark, sf_dir):
     return tidy(s.select("eppi_id", "decision_binary", F.array_join("failed_criteria", ",").alias("failed_criteria")))
 
 
-# ---------------------------------------------------------------- D4 fuzzy (rows-only)
-@register("dedup_fuzzy")
+# ---------------------------------------------------------------- D4 fuzzy
+#: Clusters of the records: equal normalised text, or all-pairs Jaccard >= 0.8 on word 3-grams, and what they reach.
+_CLUSTERS_SQL = f"""
+WS AS (SELECT eppi_id, {_norm_sql('abstract')} AS k,
+         list_filter(regexp_split_to_array(lower(coalesce(abstract, '')), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '') AS w FROM R),
+SH AS (SELECT eppi_id, k, list_distinct(CASE WHEN len(w) < 3 THEN w ELSE
+         list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END) AS s FROM WS),
+GR AS (SELECT eppi_id, unnest(s) AS g FROM SH),
+OV AS (SELECT x.eppi_id AS a, y.eppi_id AS b, count(*) AS o FROM GR x JOIN GR y ON x.g = y.g AND x.eppi_id < y.eppi_id
+       GROUP BY ALL),
+SIM AS (SELECT a, b, o::DOUBLE / (len(p.s) + len(q.s) - o) AS similarity
+        FROM OV JOIN SH p ON p.eppi_id = a JOIN SH q ON q.eppi_id = b),
+LINKS AS (SELECT a, b FROM SIM WHERE similarity >= 0.8::DOUBLE
+          UNION SELECT x.eppi_id, y.eppi_id FROM SH x JOIN SH y ON x.k = y.k AND x.eppi_id < y.eppi_id),
+BOTH_WAYS AS (SELECT a, b FROM LINKS UNION ALL SELECT b, a FROM LINKS),
+REACH AS (SELECT eppi_id AS node, eppi_id AS seen FROM SH
+          UNION SELECT r.node, l.b FROM REACH r JOIN BOTH_WAYS l ON l.a = r.seen),
+CL AS (SELECT node AS eppi_id, min(seen) AS cluster_id FROM REACH GROUP BY node)"""
+
+
+@register("dedup_fuzzy", with_r(f"""{_CLUSTERS_SQL}
+SELECT eppi_id, eppi_id AS ordinal, cluster_id FROM CL""").replace("WITH", "WITH RECURSIVE", 1))
 def q_dedup_fuzzy(spark, sf_dir):
-    """Cluster map of the records: exact copies + MinHash near copies."""
+    """Cluster map of the records: exact copies and all near copies."""
     from sievekit.operators.dedup import dedup
 
     r = records(spark, sf_dir).withColumn(
@@ -818,9 +838,13 @@ def q_snapshot(spark, sf_dir):
     return tidy(load_table(spark, path).select("eppi_id", "title", "human_code", "included_full", "model"))
 
 
-@register("dedup_manual_pairs")
+@register("dedup_manual_pairs", with_r(f"""{_CLUSTERS_SQL}
+SELECT least(x.cluster_id, y.cluster_id) AS src, greatest(x.cluster_id, y.cluster_id) AS dst,
+       round(max(similarity), 6) AS similarity
+FROM SIM JOIN CL x ON x.eppi_id = a JOIN CL y ON y.eppi_id = b
+WHERE similarity >= 0.5::DOUBLE AND x.cluster_id <> y.cluster_id GROUP BY ALL""").replace("WITH", "WITH RECURSIVE", 1))
 def q_dedup_manual(spark, sf_dir):
-    """D4 second output: near-copy candidates too doubtful to merge (for review)."""
+    """D4 second output: pairs of clusters too doubtful to merge (for review)."""
     from sievekit.operators.dedup import dedup
 
     out = dedup(records(spark, sf_dir, labels=False).select("eppi_id", "ordinal", "abstract"))

@@ -66,6 +66,17 @@ def scratch_dir(spark: SparkSession, name: str = "scratch") -> str:
     return f"{root}/{name}-{uuid.uuid4().hex}"
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over at least as many partitions as there are cores.
+
+    For row-local work that costs far more than reading: a small input may be
+    a single file split. A scan of more splits than cores is left as it is, so
+    large inputs are not shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Cut lineage with a reliable checkpoint in the shared folder.
 
