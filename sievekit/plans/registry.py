@@ -851,6 +851,89 @@ def q_dedup_manual(spark, sf_dir):
     return tidy(out["manual_pairs"].select("src", "dst", "similarity"))
 
 
+# ---------------------------------------------------------------- near titles, citation fields
+def _ascii_key(c):
+    """Title key with one mark for every character outside a-z and 0-9 (DuckDB counts edits in bytes)."""
+    from sievekit.functions.scalars import normalise_text
+
+    return F.regexp_replace(normalise_text(c), "[^a-z0-9]", "~")
+
+
+def _ascii_key_sql(x: str) -> str:
+    return f"regexp_replace({_norm_sql(x)}, '[^a-z0-9]', '~', 'g')"
+
+
+_EDIT_SQL = "1 - levenshtein({a}, {b})::DOUBLE / greatest(length({a}), length({b}))"
+
+
+@register("title_link_near", with_r(f"""
+T AS (SELECT {_ascii_key_sql('title')} AS k, min(eppi_id) AS first_id, count(*) AS n_records FROM R GROUP BY k HAVING k IS NOT NULL),
+LST AS (SELECT DISTINCT title[:2] || 'q' || title[4:] AS list_title FROM R WHERE included_full = 1),
+LK AS (SELECT list_title, {_ascii_key_sql('list_title')} AS q FROM LST),
+P AS (SELECT list_title, first_id, n_records, {_EDIT_SQL.format(a='k', b='q')} AS similarity FROM T JOIN LK
+      ON least(length(k), length(q)) >= greatest(length(k), length(q)) * 0.9::DOUBLE - 1e-9
+      WHERE levenshtein(k, q) <= floor(greatest(length(k), length(q)) * (1 - 0.9::DOUBLE) + 1e-9))
+SELECT list_title, first_id, n_records, round(similarity, 6) AS similarity FROM P"""))
+def q_title_link_near(spark, sf_dir):
+    """List titles with a typing error, linked to the record titles."""
+    from sievekit.operators.near_titles import title_link_near
+
+    r = records(spark, sf_dir)
+    lst = r.filter("included_full = 1").select(
+        F.concat(F.substring("title", 1, 2), F.lit("q"), F.substr("title", F.lit(4))).alias("list_title")).distinct()
+    out = title_link_near(r.select("eppi_id", "title"), lst, _ascii_key("title"), _ascii_key("list_title"))
+    return tidy(out.select("list_title", "first_id", "n_records", "similarity"))
+
+
+_CITATIONS_SQL = f"""
+C AS (SELECT eppi_id, {_ascii_key_sql('title')} AS k,
+        nullif(lower(regexp_extract(abstract, '([^ \\t\\n\\r]+)[ \\t\\n\\r]*$', 1)), '') AS f1,
+        CASE WHEN n_chars % 7 <> 0 THEN (2000 + n_chars % 5)::VARCHAR END AS f2,
+        model AS f3, CASE WHEN n_chars % 4 <> 0 THEN lang END AS f4,
+        CASE WHEN n_chars % 3 <> 0 THEN n_chars::VARCHAR END AS f5 FROM R),
+PR AS (SELECT a.eppi_id AS a, b.eppi_id AS b, {_EDIT_SQL.format(a='a.k', b='b.k')} AS similarity,
+         greatest(length(a.k), length(b.k)) AS longer, levenshtein(a.k, b.k) AS d,
+         {' + '.join(f'coalesce((a.f{i} = b.f{i})::INT, 0)' for i in range(1, 6))} AS agree,
+         {' + '.join(f'coalesce((a.f{i} <> b.f{i})::INT, 0)' for i in range(1, 6))} AS differ
+       FROM C a JOIN C b ON a.eppi_id < b.eppi_id
+         AND least(length(a.k), length(b.k)) >= greatest(length(a.k), length(b.k)) * 0.85::DOUBLE - 1e-9),
+NEAR AS (SELECT * FROM PR WHERE d <= floor(longer * (1 - 0.85::DOUBLE) + 1e-9)),
+LINKS AS (SELECT a, b FROM NEAR WHERE similarity >= 0.9::DOUBLE AND agree >= 2 AND differ <= 1),
+BOTH_WAYS AS (SELECT a, b FROM LINKS UNION ALL SELECT b, a FROM LINKS),
+REACH AS (SELECT eppi_id AS node, eppi_id AS seen FROM C
+          UNION SELECT r.node, l.b FROM REACH r JOIN BOTH_WAYS l ON l.a = r.seen),
+CL AS (SELECT node AS eppi_id, min(seen) AS cluster_id FROM REACH GROUP BY node)"""
+
+
+def _citations(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """The records as citations without abstracts: fields made from text length, last word, source and language."""
+    from sievekit.operators.citations import citation_clusters
+
+    r = records(spark, sf_dir, labels=False)
+    n = F.col("n_chars")
+    fields = {"author": F.nullif(F.lower(F.regexp_extract("abstract", r"([^ \t\n\r]+)[ \t\n\r]*$", 1)), F.lit("")),
+              "year": F.when(n % 7 != 0, (2000 + n % 5).cast("string")), "volume": F.col("model"),
+              "issue": F.when(n % 4 != 0, F.col("lang")), "start_page": F.when(n % 3 != 0, n.cast("string"))}
+    return citation_clusters(r, fields, _ascii_key("title"))
+
+
+@register("dedup_citations", with_r(f"{_CITATIONS_SQL}\nSELECT eppi_id AS ordinal, cluster_id FROM CL").replace(
+    "WITH", "WITH RECURSIVE", 1))
+def q_dedup_citations(spark, sf_dir):
+    """Clusters by title and fields."""
+    return tidy(_citations(spark, sf_dir)["clusters"])
+
+
+@register("citation_pairs", with_r(f"""{_CITATIONS_SQL}
+SELECT least(x.cluster_id, y.cluster_id) AS src, greatest(x.cluster_id, y.cluster_id) AS dst,
+  round(max(similarity), 6) AS similarity, max(agree)::BIGINT AS agree, min(differ)::BIGINT AS differ
+FROM NEAR JOIN CL x ON x.eppi_id = a JOIN CL y ON y.eppi_id = b
+WHERE differ <= 1 AND x.cluster_id <> y.cluster_id GROUP BY 1, 2""").replace("WITH", "WITH RECURSIVE", 1))
+def q_citation_pairs(spark, sf_dir):
+    """Pairs of clusters with near titles and too little evidence to merge."""
+    return tidy(_citations(spark, sf_dir)["manual_pairs"])
+
+
 # ---------------------------------------------------------------- large lists: many cells
 _EVENTS_SQL = """
 WITH I AS (SELECT event_id AS eppi_id, event_id AS ordinal,
