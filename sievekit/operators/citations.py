@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sievekit.functions.scalars import normalise_text
-from sievekit.operators.dedup import clusters_from_edges
+from sievekit.operators.dedup import clusters_from_edges, dedup
 from sievekit.operators.near_titles import near_keys
 from sievekit.session import materialize
 
@@ -107,3 +107,22 @@ def citation_clusters(df: DataFrame, fields: dict[str, Column], key: Column, ord
         F.max("similarity").alias("similarity"), F.max("agree").alias("agree"), F.min("differ").alias("differ"))
     oversize = blocks.filter(F.col("pairs") > block_pairs).select("first_a", "first_b", "n_a", "n_b", "similarity")
     return {"clusters": clusters.withColumnRenamed("id", ordinal), "manual_pairs": doubtful, "oversize": oversize}
+
+
+def dedup_citations(df: DataFrame, id_col: str = "eppi_id", text: str = "abstract", title: str = "title",
+                    ordinal: str = "ordinal", label: str | None = None, fields: dict[str, Column] | None = None,
+                    key: Column | None = None) -> dict[str, DataFrame]:
+    """D4 for citation records: equal keys, near abstracts and the evidence of the fields in one cluster map.
+
+    The outputs of :func:`~sievekit.operators.dedup.dedup`, with ``title_pairs`` (doubtful by
+    title and fields, between final clusters) and ``oversize`` title blocks.
+    ``fields`` and ``key`` default to :func:`citation_fields` and the normalised title.
+    """
+    by_field = citation_clusters(df, fields or citation_fields(df), key if key is not None else normalise_text(title), ordinal)
+    edges = by_field["clusters"].select(F.col(ordinal).alias("src"), F.col("cluster_id").alias("dst")).filter("src <> dst")
+    out = dedup(df, id_col, text, ordinal, label=label, links=edges)
+    to = lambda c: out["clusters"].select(F.col(ordinal).alias(c), F.col("cluster_id").alias(f"__{c}"))
+    title_pairs = by_field["manual_pairs"].join(to("src"), "src").join(to("dst"), "dst").filter("__src <> __dst").groupBy(
+        F.least("__src", "__dst").alias("src"), F.greatest("__src", "__dst").alias("dst")).agg(
+        F.max("similarity").alias("similarity"), F.max("agree").alias("agree"), F.min("differ").alias("differ"))
+    return {**out, "title_pairs": title_pairs, "oversize": by_field["oversize"]}

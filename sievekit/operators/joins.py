@@ -41,6 +41,21 @@ def flag_ids(df: DataFrame, ids: DataFrame, flag: str, key: str = "eppi_id", id_
     return j.withColumn(flag, F.when(F.col("__hit").isNotNull(), F.lit(yes)).otherwise(F.lit(no))).drop("__id", "__hit")
 
 
+def flag_by_member(unique: DataFrame, clusters: DataFrame, ids: DataFrame, flag: str, key: str = "eppi_id",
+                   id_col: str | None = None) -> DataFrame:
+    """D3 over merged records: whether any member of a record's cluster has an id of the list.
+
+    ``clusters`` has ``key`` and ``cluster_id`` for every row before the
+    merge (:func:`~sievekit.operators.dedup.dedup`), so an id that a merge swallowed is still found. A
+    missing id matches none here: it names no member.
+    """
+    listed = _ids(ids, id_col or key).filter("__id IS NOT NULL")
+    hit = clusters.select("cluster_id", F.col(key).alias("__id")).join(listed, "__id", "left_semi").select(
+        F.col("cluster_id").alias("__cluster")).distinct().withColumn(flag, F.lit(True))
+    j = unique.drop(flag).join(hit, F.col("cluster_id") == F.col("__cluster"), "left")
+    return j.drop("__cluster").withColumn(flag, F.coalesce(flag, F.lit(False)))
+
+
 def split_train_unseen(df: DataFrame, train_ids: DataFrame, key: str = "eppi_id",
                        holdout_ids: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Training rows and the unseen pool to rank.

@@ -934,6 +934,52 @@ def q_citation_pairs(spark, sf_dir):
     return tidy(_citations(spark, sf_dir)["manual_pairs"])
 
 
+# ---------------------------------------------------------------- corpus build
+_CORPUS_SQL = _CLUSTERS_SQL.replace("FROM R)", "FROM R WHERE human_code IS NOT NULL)", 1) + """,
+BL AS (SELECT CASE WHEN eppi_id % 3 <> 0 THEN eppi_id END AS id, eppi_id FROM R WHERE included_full = 1),
+U AS (SELECT c.cluster_id, count(*) AS n_members, min_by(R.eppi_id, (1 - R.human_code, R.eppi_id)) AS eppi_id,
+        min_by(R.human_code, (1 - R.human_code, R.eppi_id)) AS human_code,
+        string_agg(DISTINCT CASE WHEN R.human_code = 1 THEN 'included' ELSE 'excluded' END, ', ' ORDER BY
+          CASE WHEN R.human_code = 1 THEN 'included' ELSE 'excluded' END) AS labels,
+        bool_or(EXISTS (SELECT 1 FROM BL WHERE BL.id = c.eppi_id)) AS is_benchmark
+      FROM CL c JOIN R ON R.eppi_id = c.eppi_id GROUP BY c.cluster_id)"""
+
+
+def _corpus(spark: SparkSession, sf_dir: str):
+    """Labelled records in two parts; the benchmark list is the final inclusions, every third one without an id."""
+    from sievekit.operators.sets import with_constants
+    from sievekit.plans.corpus import build_corpus
+
+    r = records(spark, sf_dir).select("eppi_id", "ordinal", "title", "abstract", "human_code", "included_full")
+    r = r.withColumn("eppi_id", F.col("eppi_id").cast("string"))
+    part = lambda code, name: with_constants(r.filter(F.col("human_code") == code).drop("included_full"), cite_label=name)
+    bench = r.filter("included_full = 1").withColumn("eppi_id", F.when(F.col("eppi_id") % 3 != 0, F.col("eppi_id")).otherwise(""))
+    bench = with_constants(bench.drop("included_full"), cite_label="benchmark").withColumn("human_code", F.lit(1))
+    return build_corpus([part(1, "included"), part(0, "excluded")], bench, 23)
+
+
+@register("benchmark_tag", with_r(_CORPUS_SQL + """
+SELECT eppi_id::VARCHAR AS eppi_id, is_benchmark, labels, n_members::BIGINT AS n_members FROM U""").replace(
+    "WITH", "WITH RECURSIVE", 1))
+def q_benchmark_tag(spark, sf_dir):
+    """Merged records that hold a benchmark id, whichever member has it."""
+    corpus, _ = _corpus(spark, sf_dir)
+    return tidy(corpus.filter("n_members IS NOT NULL").select("eppi_id", "is_benchmark", "labels", "n_members"))
+
+
+@register("corpus_build", with_r(_CORPUS_SQL + """,
+ALL_ROWS AS (
+  SELECT eppi_id::VARCHAR AS eppi_id, CASE WHEN is_benchmark THEN 'benchmark' ELSE labels END AS cite_label,
+    CASE WHEN labels = 'excluded, included' THEN 1 ELSE human_code END AS human_code, n_members FROM U
+  UNION ALL SELECT NULL, 'benchmark', 1, NULL FROM BL WHERE id IS NULL)
+SELECT eppi_id, cite_label, human_code::BIGINT AS human_code, n_members::BIGINT AS n_members, count(*)::BIGINT AS n_rows
+FROM ALL_ROWS GROUP BY ALL""").replace("WITH", "WITH RECURSIVE", 1))
+def q_corpus_build(spark, sf_dir):
+    """Rows of the corpus (rows without an id have no name, so equal ones are counted)."""
+    corpus, _ = _corpus(spark, sf_dir)
+    return tidy(corpus.groupBy("eppi_id", "cite_label", "human_code", "n_members").agg(F.count(F.lit(1)).alias("n_rows")))
+
+
 # ---------------------------------------------------------------- large lists: many cells
 _EVENTS_SQL = """
 WITH I AS (SELECT event_id AS eppi_id, event_id AS ordinal,
