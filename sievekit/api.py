@@ -24,8 +24,8 @@ from sievekit.operators.sampling import first_per_key, sample_n, sample_strata,
 from sievekit.operators.sets import bind_rows, unique_values, with_constants  # noqa: F401
 from sievekit.plans.components import connected_components  # noqa: F401
 from sievekit.plans.corpus import build_corpus  # noqa: F401
-from sievekit.plans.global_order import rank_rows  # noqa: F401
-from sievekit.plans.priority import priority_screening  # noqa: F401
+from sievekit.plans.global_order import lag_rows, rank_rows  # noqa: F401
+from sievekit.plans.priority import priority_screening, screening_split  # noqa: F401
 from sievekit.sources.report import read_report, write_report  # noqa: F401
 from sievekit.sources.ris import read_ris, write_ris  # noqa: F401
 from sievekit.sources.tables import load_table, save_table  # noqa: F401

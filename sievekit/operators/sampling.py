@@ -12,6 +12,11 @@ from pyspark.sql import functions as F
 
 from sievekit.functions.scalars import hash_key
 from sievekit.plans.global_order import rank_rows
+from sievekit.session import materialize
+
+#: Bits of ``hash_key``, and of the ranges that a sample counts before it ranks.
+HASH_BITS, HASH_RANGE_BITS = 52, 12
+HASH_RANGES = 1 << HASH_RANGE_BITS
 
 def _draw(df: DataFrame, key: str, ordinal: str | None) -> tuple[Column, str | None]:
     """What is hashed for a row: its id as text, or its ordinal where the id is missing."""
@@ -35,9 +40,10 @@ def sample_n(df: DataFrame, n: int, seed: int | str, key: str = "eppi_id", order
              strict: bool = False, ordinal: str | None = None) -> DataFrame:
     """Seeded sample of ``n`` rows without replacement.
 
-    Adds ``sample_rank`` (1..n, the draw order): a partition-parallel global
-    rank of the hash for every ``n``, so no task merges the samples of all
-    tasks. A row without an id is drawn by its ``ordinal`` (default: the
+    Adds ``sample_rank`` (1..n, the draw order). Counts per range of the hash
+    (at most ``HASH_RANGES`` numbers) give a bound below which at least ``n``
+    rows lie; only those, ``n`` and one range's rows at most, are kept and
+    ranked, partition-parallel for every ``n``. The input is read twice. A row without an id is drawn by its ``ordinal`` (default: the
     column of that name). ``strict`` raises when the table has fewer than
     ``n`` rows (as R's ``sample_n``), at the cost of a count; otherwise all
     rows are returned.
@@ -46,7 +52,20 @@ def sample_n(df: DataFrame, n: int, seed: int | str, key: str = "eppi_id", order
         have = df.count()
         if have < n:
             raise ValueError(f"cannot take a sample of {n} from {have} rows")
-    return _drawn_order(df, seed, key, ordinal, order_col).filter(F.col(order_col) <= n)
+    ident, _ = _draw(df, key, ordinal)
+    drawn = F.shiftright(hash_key(ident, seed), HASH_BITS - HASH_RANGE_BITS)
+    low = df.filter(drawn <= _range_with(df.groupBy(drawn.alias("range")).count().collect(), n))
+    return _drawn_order(materialize(low), seed, key, ordinal, order_col).filter(F.col(order_col) <= n)
+
+
+def _range_with(counts: list, n: int) -> int:
+    """The least hash range at or below which at least ``n`` rows lie (the last one, if there are fewer)."""
+    have = 0
+    for row in sorted(counts):
+        have += row["count"]
+        if have >= n:
+            return row["range"]
+    return 1 << HASH_RANGE_BITS
 
 
 def shuffle_rows(df: DataFrame, seed: int | str, key: str = "eppi_id", position: str = "position",

@@ -234,3 +234,34 @@ def rank_rows(df: DataFrame, score: str, ordinal: str, flags: dict[str, Column]
         for c in fl:
             out = out.withColumn(f"total_{c[4:]}", F.col(f"total_{c[4:]}").cast("long"))
     return out
+
+
+def lag_rows(df: DataFrame, columns: dict[str, str], score: str, ordinal: str, descending: bool = True,
+             nulls_last: bool = True, rows_per_bucket: int | None = None, max_buckets: int = MAX_BUCKETS) -> DataFrame:
+    """F3 over a whole ranked list: each row gets the values of the row before it, partition-parallel.
+
+    ``columns`` maps output names to columns. The first row of the list takes
+    its own values; a null value of the row before stays null. Inside a cell
+    (see the module's head) it is a plain ``lag``; the first row of a cell takes
+    the last row of the cell before, which a table of one row per cell carries
+    over. Order as in :func:`rank_rows`.
+    """
+    df = df.drop(*columns)
+    given = df.columns
+    nan = dict(df.dtypes).get(score) in ("double", "float")
+    keyed = df.withColumn("__key", F.when(~F.isnan(score), F.col(score)) if nan else F.col(score))
+    stats = order_stats(keyed, "__key", ordinal, rows_per_bucket, max_buckets)
+    cells_in = assign_cells(keyed, "__key", ordinal, stats, descending, nulls_last).withColumn(
+        "__row", F.struct(*[F.col(c).alias(f"c{i}") for i, c in enumerate(columns.values())]))
+    # A cell holds either null keys only or none, so the sign alone orders it.
+    place = F.struct(F.coalesce(-F.col("__key") if descending else F.col("__key"), F.lit(0)), F.col(ordinal))
+    cells = cells_in.groupBy(_OB, _SB).agg(F.max_by("__row", place).alias("__last"))
+    cells = cells.withColumn("__carry", F.lag("__last").over(Window.orderBy(_OB, _SB))).drop("__last")
+    if min(stats.n, (2 * len(stats.score_cuts) + 4) * (len(stats.ordinal_cuts) + 2)) <= BROADCAST_CELL_LIMIT:
+        cells = F.broadcast(cells)
+    key = F.col("__key")
+    w = Window.partitionBy(_OB, _SB).orderBy(key.desc() if descending else key.asc(), F.col(ordinal).asc())
+    # lag of a struct is null on a cell's first row alone: rows are never null themselves.
+    before = F.coalesce(F.lag("__row").over(w), F.col("__carry"), F.col("__row"))
+    out = cells_in.join(cells, [_OB, _SB]).withColumn("__before", before)
+    return out.select(*given, *[F.col(f"__before.c{i}").alias(name) for i, name in enumerate(columns)])

@@ -28,6 +28,16 @@ def spark_parallelism(df: DataFrame) -> int:
     return df.sparkSession.sparkContext.defaultParallelism
 
 
+def screening_split(data: DataFrame, strata: list[tuple[str, Column, int | None]], seed: int | str,
+                    key: str = "eppi_id", holdout_ids: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """``(train, unseen)``: the stratified training sample and every other row, held-out ids included; no model."""
+    if holdout_ids is not None:
+        holdout_ids = materialize(holdout_ids.select(key))
+    pool = data if holdout_ids is None else data.join(holdout_ids, key, "left_anti")
+    train_ids = materialize(sample_strata(pool, strata, seed, key).select(key))
+    return split_train_unseen(data, train_ids, key, holdout_ids)
+
+
 def priority_screening(data: DataFrame, strata: list[tuple[str, Column, int | None]], seed: int | str,
                        key: str = "eppi_id", ordinal: str = "ordinal", label: str = "decision_binary",
                        vec: str = "embedding", holdout_ids: DataFrame | None = None,
@@ -38,9 +48,7 @@ def priority_screening(data: DataFrame, strata: list[tuple[str, Column, int | No
     The list has ``position``, ``priority_score`` and, with ``final_ids``,
     ``review_included`` (D3). Info: ``lambda_max``, ``lambda``, ``n_train``.
     """
-    pool = data if holdout_ids is None else data.join(holdout_ids.select(key), key, "left_anti")
-    train_ids = sample_strata(pool, strata, seed, key).select(key)
-    train, unseen = split_train_unseen(data, train_ids, key, holdout_ids)
+    train, unseen = screening_split(data, strata, seed, key, holdout_ids)
     train = M.embedding_features(train, vec)
     if checkpoint:
         # The optimiser runs one job per iteration for every fold and penalty:

@@ -363,15 +363,14 @@ SELECT part, CAST(count(*) AS BIGINT) AS n_rows,
        CAST(count(*) FILTER (WHERE held) AS BIGINT) AS n_holdout
 FROM PARTS GROUP BY part"""))
 def q_split_counts(spark, sf_dir):
-    from sievekit.operators.joins import split_train_unseen
-    from sievekit.operators.sampling import sample_n, sample_strata
+    from sievekit.operators.sampling import sample_n
+    from sievekit.plans.priority import screening_split
 
-    r = records(spark, sf_dir)
+    r = records(spark, sf_dir, labels=False)
+    r = r.select("eppi_id", "ordinal", "decision_binary")
     holdout = sample_n(r.select("eppi_id"), 50, 7).select("eppi_id")
-    pool = r.join(holdout, "eppi_id", "left_anti")
-    train_ids = sample_strata(pool, [("inc", F.col("decision_binary") == 1, 40),
-                                     ("exc", F.col("decision_binary") == 0, 40)], 2026).select("eppi_id")
-    train, unseen = split_train_unseen(r, train_ids, holdout_ids=holdout)
+    strata = [("inc", F.col("decision_binary") == 1, 40), ("exc", F.col("decision_binary") == 0, 40)]
+    train, unseen = screening_split(r, strata, 2026, holdout_ids=holdout)
     held = holdout.withColumn("__held", F.lit(True))
     parts = train.withColumn("part", F.lit("train")).unionByName(unseen.withColumn("part", F.lit("unseen")))
     parts = parts.join(held, "eppi_id", "left")
@@ -727,6 +726,27 @@ def q_report_blocks(spark, sf_dir):
                             "abstract", "run_date"))
 
 
+@register("report_ids", with_r("""
+SELECT 'study ' || eppi_id || CASE WHEN eppi_id % 2 = 0 THEN ':**' ELSE ': x' END AS study_id,
+       CASE eppi_id % 4 WHEN 0 THEN NULL WHEN 1 THEN 'NA' WHEN 2 THEN chr(92) || 'NA' ELSE title END AS title,
+       CASE WHEN eppi_id % 3 <> 0 THEN 'a ' || eppi_id END AS abstract
+FROM R WHERE human_code IS NOT NULL"""))
+def q_report_ids(spark, sf_dir):
+    """Ids with blanks and marks, missing values and texts that read like them survive the report (A5 -> A6)."""
+    from sievekit.session import scratch_dir
+    from sievekit.sources.report import read_report, write_report
+
+    i = F.col("ordinal")
+    r = records(spark, sf_dir).withColumns({
+        "eppi_id": F.concat(F.lit("study "), i.cast("string"), F.when(i % 2 == 0, ":**").otherwise(": x")),
+        "title": F.when(i % 4 == 0, F.lit(None)).when(i % 4 == 1, "NA").when(i % 4 == 2, "\\NA").otherwise(F.col("title")),
+        "abstract": F.when(i % 3 != 0, F.concat(F.lit("a "), i.cast("string"))),
+        "answer": F.lit("yes"), "run_date": F.lit("2025-01-31")})
+    path = scratch_dir(spark, "report")
+    write_report(r, path)
+    return tidy(read_report(spark, path).select("study_id", "title", "abstract"))
+
+
 # ---------------------------------------------------------------- I1-I4 model
 def _with_vectors(spark, sf_dir):
     from sievekit.sources.tables import table
@@ -746,19 +766,27 @@ def q_lambda_max(spark, sf_dir):
     return tidy(lambda_max_df(_with_vectors(spark, sf_dir), "embedding", "decision_binary"))
 
 
+def _screening(spark, sf_dir, data):
+    """Train on all model-included + 100 excluded records; 50 held out; final inclusions flagged."""
+    from sievekit.operators.sampling import sample_n
+    from sievekit.sources.tables import table
+
+    holdout = sample_n(data.select("eppi_id"), 50, 17).select("eppi_id")
+    finals = table(spark, sf_dir, "labels").filter(F.col("toxic") == 1).select(F.col("doc_id").alias("eppi_id"))
+    strata = [("included", F.col("decision_binary") == 1, None), ("excluded", F.col("decision_binary") == 0, 100)]
+    return strata, holdout, finals
+
+
 def _priority(spark, sf_dir):
-    """Train on all model-included + 100 excluded records (50 held out), rank every other record."""
+    """Rank every record that is not trained on."""
     from sievekit.operators.model import record_vectors
-    from sievekit.operators.sampling import sample_n
     from sievekit.plans.priority import priority_screening
     from sievekit.sources.tables import table
 
     emb = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("eppi_id"), "embedding")
     data = record_vectors(records(spark, sf_dir).join(emb, "eppi_id", "left"), ["title", "abstract"])
     data = data.drop("abstract", "embedding")
-    holdout = sample_n(data.select("eppi_id"), 50, 17).select("eppi_id")
-    finals = table(spark, sf_dir, "labels").filter(F.col("toxic") == 1).select(F.col("doc_id").alias("eppi_id"))
-    strata = [("included", F.col("decision_binary") == 1, None), ("excluded", F.col("decision_binary") == 0, 100)]
+    strata, holdout, finals = _screening(spark, sf_dir, data)
     return priority_screening(data, strata, 17, vec="record_vector", holdout_ids=holdout, final_ids=finals)[0]
 
 
@@ -776,8 +804,14 @@ TR AS (SELECT eppi_id FROM P WHERE decision_binary = 1
 SELECT eppi_id, CAST(CASE WHEN coalesce(included_full = 1, false) THEN 1 ELSE 0 END AS BIGINT) AS review_included
 FROM R WHERE eppi_id NOT IN (SELECT eppi_id FROM TR)"""))
 def q_priority_ids(spark, sf_dir):
-    """The records that the list ranks: all but the training set."""
-    return tidy(_priority(spark, sf_dir).select("eppi_id", "review_included"))
+    """The records that the list ranks: all but the training set (no model is fitted for them)."""
+    from sievekit.operators.joins import flag_ids
+    from sievekit.plans.priority import screening_split
+
+    data = records(spark, sf_dir, labels=False).select("eppi_id", "ordinal", "decision_binary")
+    strata, holdout, finals = _screening(spark, sf_dir, data)
+    unseen = screening_split(data, strata, 17, holdout_ids=holdout)[1]
+    return tidy(flag_ids(unseen, finals, "review_included").select("eppi_id", "review_included"))
 
 
 # ---------------------------------------------------------------- streaming E5
@@ -1024,6 +1058,20 @@ def q_curve_events(spark, sf_dir):
     return tidy(curve.select("eppi_id", "position", "cumulative_relevant", "recall", "perc_of_total"))
 
 
+@register("lag_events", _EVENTS_SQL + """,
+P AS (SELECT *, row_number() OVER w AS n, lag(human_code) OVER w AS before_code, lag(eppi_id) OVER w AS before_id
+      FROM K WINDOW w AS (ORDER BY k DESC NULLS LAST, ordinal))
+SELECT eppi_id, CASE WHEN n = 1 THEN human_code ELSE before_code END::BIGINT AS code_before,
+       CASE WHEN n = 1 THEN eppi_id ELSE before_id END AS id_before FROM P""")
+def q_lag_events(spark, sf_dir):
+    """F3 over a list of many cells, with ties, nulls and NaN."""
+    from sievekit.plans.global_order import lag_rows
+
+    out = lag_rows(_event_list(spark, sf_dir), {"code_before": "human_code", "id_before": "eppi_id"}, "score", "ordinal",
+                   rows_per_bucket=_EVENT_CELL)
+    return tidy(out.select("eppi_id", "code_before", "id_before"))
+
+
 # ---------------------------------------------------------------- rows without an id (G3 G4 G6), decimals (B4), audit
 _TEXT_IDS_SQL = "CASE WHEN doc_id % 3 = 0 THEN NULL ELSE 'id-' || doc_id END"
 

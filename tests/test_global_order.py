@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from sievekit.plans.global_order import order_stats, rank_rows
+from sievekit.plans.global_order import lag_rows, order_stats, rank_rows
 
 
 def _brute(rows, descending=True):
@@ -93,3 +93,23 @@ def test_all_null_or_all_tied_scores_are_split(spark, score_expr):
     out = rank_rows(df, "score", "ordinal", rows_per_bucket=100)
     got = [r["ordinal"] for r in out.orderBy("position").collect()]
     assert got == sorted(got)
+
+
+@pytest.mark.parametrize("kind", ["all_tied", "values_nulls", "heavy", "distinct"])
+@pytest.mark.parametrize("descending", [True, False])
+def test_lag_over_cells(spark, kind, descending):
+    rows = [(o, s, None if o % 5 == 0 else o * 10) for o, s, _ in _data(kind, n=1500)]
+    df = spark.createDataFrame(rows, "ordinal long, score double, v long").repartition(4)
+    out = lag_rows(df, {"before": "v", "ordinal_before": "ordinal"}, "score", "ordinal", descending, rows_per_bucket=61)
+    got = {r["ordinal"]: (r["before"], r["ordinal_before"]) for r in out.collect()}
+    place = {o: p for o, (p, _) in _brute([(r[0], r[1], False) for r in rows], descending).items()}
+    ranked = sorted(rows, key=lambda r: place[r[0]])
+    assert got == {r[0]: (b[2], b[0]) for r, b in zip(ranked, [ranked[0], *ranked])}
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SinglePartition") == 1  # only the table of cells meets in one task
+
+
+def test_lag_of_one_and_no_rows(spark):
+    df = spark.createDataFrame([(1, None, 7)], "ordinal long, score double, v long")
+    assert [r["b"] for r in lag_rows(df, {"b": "v"}, "score", "ordinal").collect()] == [7]
+    assert lag_rows(df.filter("v = 0"), {"b": "v"}, "score", "ordinal").count() == 0

@@ -43,3 +43,16 @@ def test_report_text_order(spark):
     assert ids == ["11", "15", "12", "14", "13"]
     assert text.index("##### **False exclusion**") < text.index("**STUDY-ID: 11:**")
     assert text.index("#### **Agreements**") < text.index("**STUDY-ID: 14:**")
+
+
+def test_missing_values_and_ids_with_blanks(spark):
+    rows = [(1, 10**17 + 1, None, "NA", "x", 1, 1), ("a b", 10**17, "\\NA", None, "\\\\NA", 1, 1), (None, 10**17 + 2, "t", "a", "y", 0, 0)]
+    rows = [(None if r[0] is None else str(r[0]), *r[1:], None, "2026-06-04") for r in rows]
+    df = spark.createDataFrame(rows, "eppi_id string, ordinal long, title string, abstract string, answer string, "
+                                     "decision_binary int, human_code int, model string, run_date string")
+    path = os.path.join(tempfile.mkdtemp(prefix="rep-"), "report")
+    write_report(df, path)
+    back = {r["study_id"]: (r["title"], r["abstract"], r["answer"], r["model"]) for r in read_report(spark, path).collect()}
+    assert back == {"1": (None, "NA", "x", None), "a b": ("\\NA", None, "\\\\NA", None), None: ("t", "a", "y", None)}
+    text = "".join(open(p, encoding="utf-8").read() for p in sorted(glob.glob(os.path.join(path, "part-*"))))
+    assert text.index("STUDY-ID: a b") < text.index("STUDY-ID: 1:")  # ordinals beyond the range of doubles
