@@ -1,12 +1,13 @@
 """Licence scans: Dice coefficient over word bigrams against templates (operator 3, native).
 
-A unit of text (the whole text, a paragraph or a line) and a template are
-normalised the same way: ``A-Z`` as ``a-z``, every run of characters that are
+A unit of text (the whole text, a paragraph, a line or a run of as many words
+as the template has) and a template are normalised the same way: ``A-Z`` as ``a-z``, every run of characters that are
 neither letters nor digits one space. Their sets of word bigrams are compared
 by ``2 |A n B| / (|A| + |B|)``. A score of ``t`` needs set sizes within a
 factor ``(2 - t) / t``, so a unit meets only the templates whose size lies in
-that range; most units meet none. The template list is short and fixed: it
-is the only thing broadcast.
+that range, and only in texts that hold enough of its bigrams somewhere; most
+texts meet none. The template list is short and fixed: it is the only thing
+broadcast.
 """
 
 from __future__ import annotations
@@ -72,57 +73,83 @@ def _words(text: Column) -> Column:
     return F.filter(F.split(F.regexp_replace(ascii_lower(text), r"[^\p{L}\p{N}]+", " "), " "), lambda w: w != "")
 
 
-def _with_bigrams(df: DataFrame, text: str, most: int | None = None) -> DataFrame:
-    """Add ``grams``: the distinct word bigrams of ``text`` (null if it has under two words).
-
-    With ``most``, also null where there must be more than ``most``: every distinct word but one ends a
-    bigram of its own, so a text has at least as many bigrams as distinct words less one.
-    """
-    df = df.withColumn("__w", _words(F.col(text)))
-    pairs = F.transform(F.sequence(F.lit(1), F.size("__w") - 1), lambda i: F.concat_ws(
-        " ", F.element_at("__w", i), F.element_at("__w", i + 1)))
-    fits = F.size("__w") > 1
-    if most is not None:
-        fits = fits & (F.size(F.array_distinct("__w")) <= most + 1)
-    return df.withColumn("grams", F.when(fits, F.array_distinct(pairs))).drop("__w")
+def _bigrams(words: Column) -> Column:
+    """Neighbouring words joined by a blank, with repeats (empty below two words)."""
+    pairs = F.transform(F.slice(words, F.lit(2), F.greatest(F.size(words) - 1, F.lit(0))), lambda w, i: F.concat_ws(
+        " ", F.get(words, i), w))
+    return pairs
 
 
 def template_table(spark: SparkSession, templates: dict[str, str] | None = None,
                    threshold: float = THRESHOLD) -> DataFrame:
-    """``template, tgrams, tn, lo, hi``: bigrams, their number and the unit sizes that can reach the threshold."""
+    """``template, tgrams, tn, tw, lo, hi, need``: bigrams, their number, words, the unit sizes that can reach the
+    threshold and the shared bigrams that any such unit has at least."""
     rows = spark.createDataFrame(sorted((templates or TEMPLATES).items()), "template string, text string")
-    grams = _with_bigrams(rows, "text").filter("grams is not null")
-    return grams.select("template", F.col("grams").alias("tgrams"), F.size("grams").alias("tn"),
-                        F.ceil(F.size("grams") * threshold / (2 - threshold)).alias("lo"),
-                        F.floor(F.size("grams") * (2 - threshold) / threshold).alias("hi"))
+    words = rows.withColumn("w", _words(F.col("text")))
+    grams = words.withColumn("tgrams", F.array_distinct(_bigrams(F.col("w")))).filter("size(tgrams) > 0")
+    tn = F.size("tgrams")
+    lo = F.ceil(tn * threshold / (2 - threshold) - 1e-9)
+    return grams.select("template", "tgrams", tn.alias("tn"), F.size("w").alias("tw"), lo.alias("lo"),
+                        F.floor(tn * (2 - threshold) / threshold + 1e-9).alias("hi"),
+                        F.ceil(threshold * (lo + tn) / 2 - 1e-9).alias("need"))
+
+
+def candidates(docs: DataFrame, known: DataFrame) -> DataFrame:
+    """``id, text, w, t``: the texts that can hold a licence, their words and one entry of ``known`` per row.
+
+    Whatever unit of a text reaches the threshold, its bigrams are bigrams of
+    the whole text. So a text is looked at closer for those templates only of
+    which it has ``need`` bigrams somewhere; one pass over its words finds out.
+    """
+    table = known.agg(F.array_sort(F.collect_list(F.struct("template", "tgrams", "tn", "tw", "lo", "hi", "need"))).alias("ts"),
+                      F.array_distinct(F.flatten(F.collect_list("tgrams"))).alias("all"))
+    words = docs.withColumn("w", _words(F.col("text")))
+    # One row: all bigrams of all templates, looked up by hash; the words of a text are hashed once.
+    marks = table.select("ts", F.transform("all", lambda g: F.xxhash64(F.xxhash64(F.split_part(g, F.lit(" "), F.lit(1))),
+                                           F.xxhash64(F.split_part(g, F.lit(" "), F.lit(2))))).alias("marks"))
+    met = words.withColumn("h", F.transform("w", lambda w: F.xxhash64(w))).crossJoin(F.broadcast(marks))
+    pairs = F.transform(F.slice("h", F.lit(2), F.greatest(F.size("h") - 1, F.lit(0))), lambda x, i: F.xxhash64(F.get("h", i), x))
+    # A hash may be shared by chance: exact bigrams decide below. One-row generators here and below keep a filter
+    # from being pushed to where it would work out the arrays a second time.
+    shared = F.size(F.array_intersect(pairs, "marks"))
+    few = met.select("id", "text", "w", "ts", F.inline_outer(F.array(F.struct(shared.alias("n_marks"))))).filter(
+        F.col("n_marks") >= F.array_min(F.transform("ts", lambda t: t["need"])))
+    grams = few.withColumn("grams", F.array_distinct(_bigrams(F.col("w"))))
+    some = F.filter("ts", lambda t: F.size(F.array_intersect("grams", t["tgrams"])) >= t["need"])
+    return grams.select("id", "text", "w", F.explode_outer(some).alias("t")).filter("t IS NOT NULL")
 
 
 def scan_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                templates: dict[str, str] | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """``id, unit, part, template, score``: every unit that reaches the threshold with a template.
 
-    ``unit`` is ``text``, ``paragraph`` (cut at blank lines) or ``line``, ``part`` its number from 0.
+    ``unit`` is ``text``, ``paragraph`` (cut at blank lines), ``line`` or
+    ``run``: as many words as the template has, from a bigram that both share,
+    across lines and paragraphs. ``part`` is the unit's number from 0 (of a
+    run, the place of its first word).
     """
     known = template_table(docs.sparkSession, templates, threshold)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    found = stash(candidates(docs.select(F.col(id_col).alias("id"), text.alias("text")), known), "candidates")
     label = lambda kind, parts: F.transform(parts, lambda x, i: F.struct(
-        F.lit(kind).alias("unit"), i.alias("part"), x.alias("piece")))
-    units = docs.select(F.col(id_col).alias("id"), text.alias("text")).select("id", F.inline_outer(F.concat(
-        label("text", F.array("text")), label("paragraph", F.split("text", r"\n[ \t\r]*\n")),
-        label("line", F.split("text", "\n")))))
-    # Characters bound the words from above: cheap, before any unit is normalised.
-    bounds = known.agg(F.min("lo").alias("lo0"), F.max("hi").alias("hi0"), F.max(
-        F.aggregate("tgrams", F.lit(0), lambda n, g: n + F.length(g))).alias("chars")).first()
-    if bounds["lo0"] is None:
-        return units.select("id", "unit", "part", F.lit("").alias("template"), F.lit(0.0).alias("score")).limit(0)
-    # n distinct bigrams need more than n words, so 2 n + 1 characters at least.
-    units = units.filter(F.length("piece") >= 2 * int(bounds["lo0"]) + 1)
-    sized = _with_bigrams(units, "piece", int(bounds["hi0"])).drop("piece")
-    sized = sized.select("id", "unit", "part", F.inline_outer(F.array(F.struct("grams", F.size("grams").alias("n")))))
-    met = sized.join(F.broadcast(known), (F.col("n") >= F.col("lo")) & (F.col("n") <= F.col("hi")))
-    shared = F.size(F.array_intersect("grams", "tgrams"))
-    scored = met.withColumn("score", 2.0 * shared / (F.col("n") + F.col("tn")))
-    return scored.filter(F.col("score") >= threshold).select("id", "unit", "part", "template", "score")
+        F.lit(kind).alias("unit"), i.alias("part"), _words(x).alias("w")))
+    pieces = found.select("id", "t", F.inline_outer(F.concat(
+        label("paragraph", F.split("text", r"\n[ \t\r]*\n")), label("line", F.split("text", "\n")))))
+    starts = F.filter(F.transform(_bigrams(F.col("w")), lambda g, i: F.when(F.array_contains(F.col("t.tgrams"), g), i)),
+                      lambda i: i.isNotNull())
+    # A run needs ``need`` shared bigrams, so as many starts lie inside it.
+    runs = found.withColumn("at", starts).select("id", "t", "w", F.posexplode_outer("at").alias("k", "part"), "at").filter(
+        F.get("at", F.col("k") + F.col("t.need").cast("int") - 1) < F.col("part") + F.col("t.tw") - 1)
+    units = found.select("id", "t", F.lit("text").alias("unit"), F.lit(0).alias("part"), "w").unionByName(pieces).unionByName(
+        runs.select("id", "t", F.lit("run").alias("unit"), "part", F.slice("w", F.col("part") + 1, F.col("t.tw")).alias("w")))
+    # Every distinct word but one ends a bigram of its own: too many distinct words need no bigrams.
+    sized = units.filter((F.size("w") > F.col("t.lo")) & (F.size(F.array_distinct("w")) <= F.col("t.hi") + 1))
+    grams = F.array_distinct(_bigrams(F.col("w")))
+    sized = sized.select("id", "unit", "part", "t", F.inline_outer(F.array(F.struct(grams.alias("grams"))))).select(
+        "id", "unit", "part", "t", F.inline_outer(F.array(F.struct("grams", F.size("grams").alias("n")))))
+    scored = sized.filter((F.col("n") >= F.col("t.lo")) & (F.col("n") <= F.col("t.hi"))).withColumn(
+        "score", 2.0 * F.size(F.array_intersect("grams", F.col("t.tgrams"))) / (F.col("n") + F.col("t.tn")))
+    return scored.filter(F.col("score") >= threshold).select("id", "unit", "part", F.col("t.template").alias("template"), "score")
 
 
 def scan_licences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",

@@ -23,7 +23,8 @@ from sievekit.llm.common import SPACES, stash, text_words
 BUCKETS = 1 << 16
 #: Mean log ratio (natural, per n-gram) below which a text is rejected.
 THRESHOLD = -0.10
-#: Weight of the raw distribution in the trusted one, in n-grams per bucket.
+#: Weight of the raw distribution in the trusted one, in n-grams per bucket. It is a number of n-grams, not a
+#: share: with few trusted texts most buckets say little, so that clean texts of other words are not rejected.
 PRIOR = 8
 SCALE = 1_000_000
 #: Characters counted as symbols.
@@ -42,19 +43,26 @@ def _ngrams(df: DataFrame, buckets: int) -> DataFrame:
         F.array().cast("array<int>"))))
 
 
-def bucket_counts(texts: DataFrame, text_col: str, buckets: int) -> DataFrame:
-    """``bucket, n``: n-grams of all texts by bucket; each task sends one row per bucket at most."""
-    grams = _ngrams(texts.select(F.col(text_col).cast("string").alias("text")), buckets)
+def bucket_counts(texts: DataFrame, text_col: str, buckets: int, trusted: Column | None = None) -> DataFrame:
+    """``bucket, r, t``: n-grams of all texts and of the trusted ones by bucket, in one pass.
+
+    Each task sends one row per bucket at most.
+    """
+    mark = F.coalesce(trusted, F.lit(False)) if trusted is not None else F.lit(False)
+    grams = _ngrams(texts.select(F.col(text_col).cast("string").alias("text"), mark.cast("int").alias("mark")), buckets)
     # explode() would add a filter on the array and work out the n-grams twice.
-    counts = grams.select(F.explode_outer("grams").alias("bucket")).groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
+    counts = grams.select("mark", F.explode_outer("grams").alias("bucket")).groupBy("bucket").agg(
+        F.count(F.lit(1)).alias("r"), F.sum("mark").alias("t"))
     return counts.filter("bucket is not null")
 
 
-def bucket_ratios(raw: DataFrame, trusted: DataFrame, text_col: str, buckets: int) -> DataFrame:
+def bucket_ratios(raw: DataFrame, trusted: DataFrame | Column, text_col: str, buckets: int) -> DataFrame:
     """One row, ``ratios``: per bucket ``log p_trusted - log p_raw`` in millionths."""
-    counts = bucket_counts(raw, text_col, buckets).select("bucket", F.col("n").alias("r"), F.lit(0).alias("t"))
-    counts = counts.unionByName(bucket_counts(trusted, text_col, buckets).select(
-        "bucket", F.lit(0).alias("r"), F.col("n").alias("t")))
+    if isinstance(trusted, DataFrame):
+        counts = bucket_counts(raw, text_col, buckets).unionByName(bucket_counts(trusted, text_col, buckets).select(
+            "bucket", F.lit(0).alias("r"), F.col("r").alias("t")))
+    else:
+        counts = bucket_counts(raw, text_col, buckets, trusted)
     every = raw.sparkSession.range(1, buckets + 1).select(
         F.col("id").cast("int").alias("bucket"), F.lit(0).alias("r"), F.lit(0).alias("t"))
     both = counts.unionByName(every).groupBy("bucket").agg(F.sum("r").alias("r"), F.sum("t").alias("t"))
@@ -68,15 +76,17 @@ def bucket_ratios(raw: DataFrame, trusted: DataFrame, text_col: str, buckets: in
         "int")).alias("ratios"))
 
 
-def quality_rules(docs: DataFrame, trusted: DataFrame, text_col: str = "text", buckets: int = BUCKETS,
-                  threshold: float = THRESHOLD) -> DataFrame:
+def quality_rules(docs: DataFrame, trusted: DataFrame | Column, text_col: str = "text", buckets: int = BUCKETS,
+                  threshold: float = THRESHOLD, corpus: DataFrame | None = None) -> DataFrame:
     """``docs`` with ``n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, n_grams,
     llr_sum, llr, kept``; every row stays.
 
     ``llr`` is the mean log-likelihood ratio per n-gram; ``kept`` is false
     where the base rules fail (under 50 words, or more than half of the words
     in three-word windows that occur twice) or where ``llr`` is below
-    ``threshold``. ``trusted`` has the same text column. Null and empty texts
+    ``threshold``. ``trusted`` is a table with the same text column, or a condition on
+    ``corpus`` (null: not trusted), which saves a pass; ``corpus`` is the raw corpus,
+    by default ``docs``. Null and empty texts
     have zero counts, no ``llr`` and fail the base rules. Without any trusted
     text all ratios are zero and the base rules decide alone. Repeated rows
     are decided alike; an empty table gives an empty result. Columns of
@@ -85,7 +95,7 @@ def quality_rules(docs: DataFrame, trusted: DataFrame, text_col: str = "text", b
     out_names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_grams",
                  "llr_sum", "llr", "kept"]
     # One row: the ratio table, written once so that its corpus passes run once.
-    ratios = stash(bucket_ratios(docs, trusted, text_col, buckets), "ratios")
+    ratios = stash(bucket_ratios(docs if corpus is None else corpus, trusted, text_col, buckets), "ratios")
     own = docs.drop(*[c for c in docs.columns if c in out_names and c != text_col])
     df = own.select(F.struct(*own.columns).alias("row"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias(
         "text"))
@@ -130,9 +140,15 @@ def quality_rules(docs: DataFrame, trusted: DataFrame, text_col: str = "text", b
     return scored.select("row.*", *[c for c in out_names if c != text_col])
 
 
-def trusted_documents(docs: DataFrame, labels: DataFrame, broadcast_rows: int = 2_000_000) -> DataFrame:
-    """Rows of ``docs`` that ``labels`` marks as good; the id list is broadcast only while it is short."""
-    good = labels.filter("quality = 1").select("doc_id").distinct()
+def with_trust(docs: DataFrame, labels: DataFrame, flag: str = "__trusted", broadcast_rows: int = 2_000_000) -> DataFrame:
+    """``docs`` with ``flag``: whether ``labels`` calls the document good; the id list is broadcast only while it is short."""
+    good = labels.filter("quality = 1").select(F.col("doc_id").alias("__good")).distinct()
     if good.limit(broadcast_rows + 1).count() <= broadcast_rows:
         good = F.broadcast(good)
-    return docs.join(good, "doc_id", "left_semi")
+    return docs.join(good, F.col("doc_id") == F.col("__good"), "left").withColumn(
+        flag, F.col("__good").isNotNull()).drop("__good")
+
+
+def trusted_documents(docs: DataFrame, labels: DataFrame, broadcast_rows: int = 2_000_000) -> DataFrame:
+    """Rows of ``docs`` that ``labels`` marks as good."""
+    return with_trust(docs, labels, "__trusted", broadcast_rows).filter("__trusted").drop("__trusted")

@@ -19,7 +19,7 @@ from sievekit.llm.mixing import SEED, TEMPERATURE, replicate
 from sievekit.llm.ngram_join import jaccard_components
 from sievekit.llm.packing import pack
 from sievekit.llm.prefix_trie import prefix_trie
-from sievekit.llm.quality_rules import quality_rules, trusted_documents
+from sievekit.llm.quality_rules import quality_rules, with_trust
 from sievekit.llm.secrets import BASE, scan_secrets, span_digest
 from sievekit.llm.token_files import read_token_files, write_token_files
 from sievekit.session import scratch_dir
@@ -81,7 +81,8 @@ BIGRAMS = (f"""list_distinct(list_transform(range(1, len(w)), lambda i: w[i] ||
 NORMAL = "list_filter(string_split(regexp_replace(" + LOWER + r", '[^\p{{L}}\p{{N}}]+', ' ', 'g'), ' '), lambda x: x <> '')"
 LICENCE_SQL = rf"""
 WITH templates(template, body) AS (VALUES {_template_rows()}),
-t AS (SELECT template, {BIGRAMS} AS grams FROM (SELECT template, {NORMAL.format("body")} AS w FROM templates)),
+t AS (SELECT template, {BIGRAMS} AS grams, len(w) AS tw
+      FROM (SELECT template, {NORMAL.format("body")} AS w FROM templates)),
 pieces AS (
   SELECT doc_id, 'text' AS unit, 0 AS part, coalesce(text, '') AS piece FROM documents
   UNION ALL SELECT doc_id, 'paragraph', 0, unnest(regexp_split_to_array(coalesce(text, ''), '\n[ \t\r]*\n')) FROM documents
@@ -92,7 +93,15 @@ u AS (SELECT doc_id, unit, part, {BIGRAMS} AS grams
 hits AS (SELECT doc_id, unit, part, template,
          2.0::DOUBLE * len(list_intersect(u.grams, t.grams)) / (len(u.grams) + len(t.grams)) AS score FROM u, t
          WHERE len(u.grams) BETWEEN len(t.grams) * 0.6 AND len(t.grams) * 1.6),
-good AS (SELECT * FROM hits WHERE score >= 0.8),
+texts AS (SELECT doc_id, w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) AS seq
+          FROM (SELECT doc_id, {NORMAL.format("coalesce(text, '')")} AS w FROM documents) WHERE len(w) > 1),
+near AS (SELECT doc_id, w, seq, template, tw, t.grams AS tgrams FROM texts, t
+         WHERE len(list_intersect(seq, t.grams)) >= 0.4 * len(t.grams)),
+begins AS (SELECT *, unnest(list_filter(range(1, len(seq) + 1), lambda i: list_contains(tgrams, seq[i]))) AS i FROM near),
+runs AS (SELECT doc_id, template, tgrams, list_distinct(seq[i:i + tw - 2]) AS grams, i FROM begins),
+run_hits AS (SELECT doc_id, 'run' AS unit, i AS part, template,
+         2.0::DOUBLE * len(list_intersect(grams, tgrams)) / (len(grams) + len(tgrams)) AS score FROM runs),
+good AS (SELECT * FROM hits WHERE score >= 0.8 UNION ALL SELECT * FROM run_hits WHERE score >= 0.8),
 best AS (SELECT doc_id, first(template ORDER BY score DESC, template) AS template, max(score) AS score,
   count(DISTINCT CASE WHEN unit = 'line' THEN part END) AS n_lines,
   array_to_string(list_sort(list(DISTINCT split_part(template, '/', 1))), ',') AS licences FROM good GROUP BY doc_id)
@@ -119,7 +128,7 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_quality_rules")
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    scored = quality_rules(docs, trusted_documents(docs, table(spark, sf_dir, "labels")))
+    scored = quality_rules(docs, F.col("__trusted"), corpus=with_trust(docs, table(spark, sf_dir, "labels")))
     return scored.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
                          "base_failed", "kept", "n_grams", "llr_sum")
 

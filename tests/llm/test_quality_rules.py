@@ -3,7 +3,7 @@ import math
 import xxhash
 
 from pyspark.sql import functions as F
-from sievekit.llm.quality_rules import quality_rules, trusted_documents
+from sievekit.llm.quality_rules import quality_rules, trusted_documents, with_trust
 from tests.llm.cases import SCHEMA, WORD, documents, frame
 
 B = 512
@@ -57,8 +57,12 @@ def test_awkward_rows(spark):
     docs = frame(spark, rows)
     good = {m for m, q in marks if q == 1 and m is not None}
     trusted = [r[1] for r in rows if r[0] in good]
-    for limit in (2_000_000, 3):  # broadcast or not
-        df = quality_rules(docs, trusted_documents(docs, labels, limit), buckets=B, threshold=-0.05)
+    for limit in (2_000_000, 3):  # broadcast or not; a table of its own or a flag
+        marked = with_trust(docs, labels, broadcast_rows=limit)
+        if limit == 3:
+            df = quality_rules(docs, trusted_documents(docs, labels, limit), buckets=B, threshold=-0.05)
+        else:
+            df = quality_rules(docs, F.col("__trusted"), buckets=B, threshold=-0.05, corpus=marked)
         cols = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_grams", "llr_sum", "kept"]
         got = sorted((tuple(r) for r in df.select(*cols).collect()), key=str)
         want = brute(rows, trusted, -0.05)
