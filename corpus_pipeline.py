@@ -17,13 +17,13 @@ from sievekit.llm.exact_dedup import drop_copies
 from sievekit.llm.mixing import replicate
 from sievekit.llm.ngram_join import jaccard_components
 from sievekit.llm.packing import pack
-from sievekit.llm.quality_rules import quality_rules, trusted_documents
+from sievekit.llm.quality_rules import quality_rules, with_trust
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep; trusted texts are those of ``docs`` that the labels call good."""
-    trusted = trusted_documents(docs, table(spark, sf_dir, "labels"))
-    return quality_rules(docs, trusted).filter("kept").select(*docs.columns)
+    marked = with_trust(docs, table(spark, sf_dir, "labels"))
+    return quality_rules(docs, F.col("__trusted"), corpus=marked).filter("kept").select(*docs.columns)
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
