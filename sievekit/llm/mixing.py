@@ -70,17 +70,17 @@ def replicate(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source
     """
     own = docs.drop(*[c for c in ("rate", "copies", "copy", "order_key") if c in docs.columns])
     rates = stash(source_rates(own, source_col, size if size is not None else F.lit(1), temperature, weights, repeat)
-                  .select(F.col("source").alias("__source"), "rate", "cdf"), "rates")
+                  .select(F.col("source").alias("__source"), F.col("rate").alias("__rate"), F.col("cdf").alias("__cdf")), "rates")
     if rates.limit(broadcast_rows + 1).count() <= broadcast_rows:
         rates = F.broadcast(rates)
     key = F.coalesce(F.col(id_col).cast("string"), F.lit("null"))
     # The number is made below the join, so that the search in the table does not work out its hash per entry.
     drawn = own.withColumn("__u", share_cut(key, seed))
     met = drawn.join(rates, F.col(source_col).cast("string").eqNullSafe(F.col("__source")))
-    counted = met.withColumn("copies", F.size(F.filter("cdf", lambda c: c < F.col("__u"))))
+    counted = met.withColumn("copies", F.size(F.filter("__cdf", lambda c: c < F.col("__u"))))
     many = counted.filter("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
     keyed = many.withColumn("order_key", share_cut(F.concat_ws(":", key, F.col("copy").cast("string")), seed + 1))
-    return keyed.select(*own.columns, "rate", "copies", "copy", "order_key").repartitionByRange(
+    return keyed.select(*own.columns, F.col("__rate").alias("rate"), "copies", "copy", "order_key").repartitionByRange(
         "order_key", id_col, "copy").sortWithinPartitions("order_key", id_col, "copy")
 
 

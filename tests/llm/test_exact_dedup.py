@@ -1,7 +1,9 @@
 import hashlib
 import random
 
-from sievekit.llm.exact_dedup import CuckooFilter, Shard, apply_changes, drop_copies, exact_dedup, key_changes
+from pyspark.sql import functions as F
+
+from sievekit.llm.exact_dedup import CuckooFilter, Shard, apply_changes, drop_copies, exact_dedup, key_changes, settle_keeps
 from tests.llm.cases import SCHEMA, SPACE, documents, frame
 
 
@@ -58,9 +60,53 @@ def test_shard_resizes_from_stored_keys():
     for n, k in enumerate(keys):
         s.add(k, 1, n)
     s.add(keys[7], 2, 3)
-    assert s.resizes > 3 and s.find(keys[7]) == [3, 3] and all(s.find(k) for k in keys)
-    s.remove(keys[7], 3)
-    assert s.find(keys[7]) is None and len(s.live) == 1999
+    assert s.resizes > 3 and s.find(keys[7]) == [3, 3, False] and all(s.find(k) for k in keys)
+    s.remove(keys[7], 3, 3)
+    assert s.find(keys[7]) is None and len(s) == 1999
+
+
+def test_shard_against_a_plain_table():
+    """Insertions, deletions and resizes in any order, with fingerprints that clash."""
+    rng = random.Random(3)
+    keys = [bytes(8) + rng.randbytes(1) + bytes(7) + bytes([k % 5, 1]) + rng.randbytes(14) for k in range(400)]
+    s, plain = Shard(4), {}
+    for _ in range(6000):
+        k, row = rng.choice(keys), rng.randrange(1000)
+        if rng.random() < 0.55:
+            s.add(k, 1, row)
+            plain.setdefault(k, []).append(row)
+        elif k in plain:
+            row = rng.choice(plain[k])
+            s.remove(k, 1, row)
+            plain[k].remove(row)
+            if not plain[k]:
+                del plain[k]
+    assert len(s) == len(plain) and s.false_hits > 100 and s.resizes > 0
+    for k in keys:
+        got = s.find(k)
+        assert (got is None) == (k not in plain) and (got is None or got[0] == len(plain[k]))
+        assert got is None or got[2] or got[1] == min(plain[k])
+
+
+def test_text_ids_and_clashing_names(spark):
+    rows = [("b", "x y", "1"), ("a", "x  y", "2"), ("a", "x\ty", "3"), (None, "x y", "4"), ("c", "z", "5"), ("c", "z", "6")]
+    df = spark.createDataFrame(rows, "doc_id string, text string, text_sha256 string").withColumns(
+        {c: F.lit(0) for c in ("keep_id", "kept", "key", "keep", "refs", "id", "shard", "stale", "group_size", "p")})
+    got = sorted((r["doc_id"] or "", r["keep_id"], r["group_size"], r["kept"]) for r in exact_dedup(df).collect())
+    assert got == [("", "a", 4, False), ("a", "a", 4, True), ("a", "a", 4, True), ("b", "a", 4, False), ("c", "c", 2, True), ("c", "c", 2, True)]
+    kept = drop_copies(df).collect()
+    assert sorted(r["doc_id"] for r in kept) == ["a", "c"] and kept[0].__fields__ == df.columns
+
+
+def test_keep_after_deletion(spark):
+    docs = spark.createDataFrame([(k, "same") for k in range(5)] + [(9, "other")], "doc_id long, text string")
+    index = apply_changes(None, key_changes(docs, "doc_id", "text"), shards=4)
+    left = docs.filter("doc_id NOT IN (0, 1)")
+    index = apply_changes(index, None, key_changes(docs.filter("doc_id IN (0, 1)"), "doc_id", "text").groupBy("key").agg(
+        F.sum("refs").alias("refs"), F.min("keep").alias("keep")), shards=4)
+    state = {r["refs"]: (r["keep"], r["stale"]) for r in index.collect()}
+    assert state == {3: (None, True), 1: (9, False)}
+    assert {r["refs"]: r["keep"] for r in settle_keeps(index, left).collect()} == {3: 2, 1: 9}
 
 
 def test_index_follows_changes(spark):

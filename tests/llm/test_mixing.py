@@ -41,3 +41,11 @@ def test_given_weights_and_large_rates(spark):
 
 def test_empty(spark):
     assert replicate(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_clashing_names(spark):
+    docs = spark.createDataFrame([(f"d{k}", "s", 1.0) for k in range(20)], "doc_id string, source string, cdf double").withColumns(
+        {c: F.lit(1) for c in ("rate", "size", "goal", "copy", "order_key", "all_size", "all_goal")})
+    out = replicate(docs)
+    assert out.columns == ["doc_id", "source", "cdf", "size", "goal", "all_size", "all_goal", "rate", "copies", "copy", "order_key"]
+    assert out.count() > 0 and {r["cdf"] for r in out.collect()} == {1.0}
