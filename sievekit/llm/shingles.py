@@ -2,10 +2,12 @@
 
 Words are the maximal runs of bytes outside ``\\x20`` and ``\\x09-\\x0D``
 (UTF-8 continuation bytes never collide with those), ``A-Z`` count as
-``a-z``. A word's hash is a polynomial over per-byte random values modulo
-2^64, mixed; a shingle's hash combines its words' hashes. Everything is a
-handful of numpy passes over a slice of the batch, so no Python object is
-made per word. Null and empty texts have no words.
+``a-z``. A word's hash is the sum of a random value per byte times a random
+odd number per place in the word, modulo 2^64, mixed (two given words of any
+length share it with a chance of about 2^-63; no run of letters that repeats
+or mirrors itself is special); a shingle's hash combines its words' hashes the
+same way. Everything is a handful of numpy passes over a slice of the batch, so
+no Python object is made per word. Null and empty texts have no words.
 """
 
 from __future__ import annotations
@@ -22,8 +24,8 @@ _BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint
 _BYTE[65:91] = _BYTE[97:123]
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
+_VALUE = np.where(_SPACE, np.uint64(0), _BYTE)
 _BASE = 0x9E3779B97F4A7C15
-_UNBASE = pow(_BASE, -1, 1 << 64)
 _STEP = _rng.integers(1, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -36,20 +38,19 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class _Powers:
-    """Powers of the base and of its inverse, grown to the longest slice seen."""
+class _Multipliers:
+    """A random odd number per place in a word, grown to the longest slice seen."""
 
     def __init__(self) -> None:
-        self.up = self.down = np.ones(1, np.uint64)
+        self.at = np.ones(1, np.uint64)
 
-    def to(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            self.up = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n - 1, _BASE, np.uint64)]))
-            self.down = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n - 1, _UNBASE, np.uint64)]))
-        return self.up, self.down
+    def to(self, n: int) -> np.ndarray:
+        if len(self.at) < n:
+            self.at = mix(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(_BASE)) | np.uint64(1)
+        return self.at
 
 
-_POWERS = _Powers()
+_MULTIPLIERS = _Multipliers()
 
 
 def text_slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -89,9 +90,10 @@ def words_of(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     bounds = np.searchsorted(at, off)
     if not len(at):
         return np.zeros(0, np.uint64), bounds
-    up, down = _POWERS.to(len(data))
-    value = np.where(solid, _BYTE[data], np.uint64(0)) * up[:len(data)]
-    return mix(np.add.reduceat(value, at) * down[at]), bounds
+    # Place of every byte in its word (what stands between words counts as 0).
+    place = np.arange(at[0], len(data)) - np.repeat(at, np.diff(at, append=len(data)))
+    value = _VALUE[data[at[0]:]] * _MULTIPLIERS.to(len(data))[place]
+    return mix(np.add.reduceat(value, at - at[0])), bounds
 
 
 def shingle_sets(texts: pa.Array, n: int = 5) -> Iterator[tuple[int, np.ndarray]]:

@@ -60,3 +60,12 @@ def test_empty_table_and_no_words(spark):
     rows = [(5, None), (3, " "), (4, "")]
     df = jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"))
     assert got(df) == [(3, 0, 3), (4, 0, 4), (5, 0, 5)]
+
+
+def test_words_that_mirror_themselves_stay_apart(spark):
+    """A Thue-Morse word and its complement collide under any polynomial hash modulo 2^64."""
+    bits = [bin(k).count("1") % 2 for k in range(1 << 14)]
+    texts = ["".join("ab"[b ^ flip] for b in bits[:n]) for n in (1 << 10, 1 << 12, 1 << 14) for flip in (0, 1)]
+    rows = [(k, t) for k, t in enumerate(texts + ["x " + t for t in texts])]
+    out = jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r["doc_id"]: r["component_id"] for r in out.collect()} == {k: k for k, _ in rows}
