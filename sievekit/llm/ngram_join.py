@@ -191,11 +191,10 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     classes = sets.filter("cls is not null").groupBy("cls").agg(
         F.min("id").alias("rep"), F.max("n_shingles").alias("n"), F.count(F.lit(1)).alias("n_class"))
     total = classes.agg(F.sum("n")).first()[0] or 0
-    edges = _links(docs, text_col, classes.select("cls", "n"), n, num, den, int(total)) if total else None
+    labels = _linked(docs, text_col, classes.select("cls", "n"), n, num, den, int(total)) if total else None
     reached = classes
-    if edges is not None:
-        comp = connected_components(edges, "a", "b")
-        reached = classes.join(comp.withColumnRenamed("node", "cls"), "cls", "left")
+    if labels is not None:
+        reached = classes.join(labels, "cls", "left")
         reached = reached.withColumn("component", F.coalesce("component", "cls"))
     else:
         reached = reached.withColumn("component", F.col("cls"))
@@ -207,9 +206,24 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                       F.coalesce("n_class", F.lit(1)).alias("n_class"))
 
 
-def _links(docs: DataFrame, text_col: str, classes: DataFrame, n: int, num: int, den: int,
-           total: int) -> DataFrame | None:
-    """Edges ``a, b`` between classes; enough of them to connect every component."""
+def _joined(labels: DataFrame | None, edges: DataFrame) -> DataFrame:
+    """``cls, component`` after further edges: components so far are the nodes, so that later rounds stay small."""
+    if labels is None:
+        return connected_components(edges, "a", "b").withColumnRenamed("node", "cls")
+    at = lambda c: labels.select(F.col("cls").alias(c), F.col("component").alias(f"at_{c}"))
+    ends = edges.join(at("a"), "a", "left").join(at("b"), "b", "left").select(
+        F.coalesce("at_a", "a").alias("a"), F.coalesce("at_b", "b").alias("b")).filter("a <> b").distinct()
+    merged = stash(connected_components(ends, "a", "b").select("node", F.col("component").alias("into")), "merged")
+    moved = labels.join(merged, F.col("component") == F.col("node"), "left").select(
+        "cls", F.coalesce("into", "component").alias("component"))
+    fresh = merged.join(labels, F.col("node") == F.col("cls"), "left_anti").select(
+        F.col("node").alias("cls"), F.col("into").alias("component"))
+    return stash(moved.unionByName(fresh), "labels")
+
+
+def _linked(docs: DataFrame, text_col: str, classes: DataFrame, n: int, num: int, den: int,
+            total: int) -> DataFrame | None:
+    """``cls, component`` of the classes with a link (None: there is no link to look for)."""
     fragments = max(LEAST_FRAGMENTS, -(-total // FRAGMENT_TOKENS))
     shared = stash(shared_tokens(fragment_segments(docs, text_col, n, fragments)), "segments")
     # n - common: n-grams that only this class has; they come first in the order by frequency.
@@ -227,19 +241,20 @@ def _links(docs: DataFrame, text_col: str, classes: DataFrame, n: int, num: int,
         "cls", "n", "own", "take", "weight").agg(F.sort_array(F.flatten(F.collect_list("t"))).alias("t"))
     posts = ranked.select("cls", "n", "own", "weight", F.posexplode(F.expr("slice(t, 1, cast(take as int))"))).select(
         F.col("col.tokens").alias("token"), "cls", "n", "weight", (F.col("own") + F.col("pos")).alias("pos"))
-    lists = stash(posts, "postings")
+    posted = stash(posts, "postings")
     unstash(shared)
-    multi = lists.groupBy("token").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").drop("m")
-    lists = stash(lists.join(multi, "token"), "lists")
-    labels, edges, tested, before = None, None, None, 0
+    multi = posted.groupBy("token").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").drop("m")
+    lists = stash(posted.join(multi, "token"), "lists")
+    unstash(posted)
+    labels, tested, before = None, None, 0
 
     def check(pairs: DataFrame) -> None:
-        nonlocal labels, edges, tested
+        nonlocal labels, tested
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = stash(pairs, "pairs")
         found = stash(verified(pairs, parts, num, den).select("a", "b"), "links")
-        edges = found if edges is None else edges.unionByName(found)
+        labels = _joined(labels, found)
         done = pairs.select("a", "b")
         tested = done if tested is None else tested.unionByName(done)
 
@@ -277,5 +292,4 @@ def _links(docs: DataFrame, text_col: str, classes: DataFrame, n: int, num: int,
             F.col("c.comp").alias("ccomp"))
         met = open_lists.join(centre, "token").filter("comp != ccomp")
         check(_pairs(met.filter(_may_link(num, den))))
-        labels = connected_components(edges, "a", "b").withColumnRenamed("node", "cls")
-    return edges
+    return labels
