@@ -21,7 +21,8 @@ from sievekit.operators.sampling import sample_strata
 from sievekit.plans.global_order import rank_rows
 from sievekit.session import materialize
 
-TRAIN_ROWS_PER_PARTITION = 200_000
+#: Training rows of a partition at most, and those that are worth a partition of their own while cores are free.
+TRAIN_ROWS_PER_PARTITION, FEW_ROWS = 100_000, 2_000
 
 
 def spark_parallelism(df: DataFrame) -> int:
@@ -59,7 +60,9 @@ def priority_screening(data: DataFrame, strata: list[tuple[str, Column, int | No
         # unseen = every row not trained on (held-out ids included), taken
         # against the checkpoint so the sampling is not recomputed.
         unseen = anti_ids(data, train.select(key), key)
-        train = train.coalesce(max(1, min(spark_parallelism(train), math.ceil(n_train / TRAIN_ROWS_PER_PARTITION))))
+        parts = max(math.ceil(n_train / TRAIN_ROWS_PER_PARTITION),
+                    min(spark_parallelism(train), math.ceil(n_train / FEW_ROWS)))
+        train = materialize(train.repartition(max(1, parts)))
     lam_max = M.lambda_max(train, vec, label)
     model, lam = M.fit_priority(train, label=label, key=key, lam_max=lam_max * 1.0001 if lam_max > 0 else 1.0,
                                 n_lambda=n_lambda, folds=folds)

@@ -777,15 +777,20 @@ def _screening(spark, sf_dir, data):
     return strata, holdout, finals
 
 
-def _priority(spark, sf_dir):
-    """Rank every record that is not trained on."""
+def _priority_data(spark, sf_dir):
     from sievekit.operators.model import record_vectors
-    from sievekit.plans.priority import priority_screening
     from sievekit.sources.tables import table
 
     emb = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("eppi_id"), "embedding")
     data = record_vectors(records(spark, sf_dir).join(emb, "eppi_id", "left"), ["title", "abstract"])
-    data = data.drop("abstract", "embedding")
+    return data.drop("abstract", "embedding")
+
+
+def _priority(spark, sf_dir):
+    """Rank every record that is not trained on."""
+    from sievekit.plans.priority import priority_screening
+
+    data = _priority_data(spark, sf_dir)
     strata, holdout, finals = _screening(spark, sf_dir, data)
     return priority_screening(data, strata, 17, vec="record_vector", holdout_ids=holdout, final_ids=finals)[0]
 
@@ -795,12 +800,43 @@ def q_priority_list(spark, sf_dir):
     return tidy(_priority(spark, sf_dir).select("eppi_id", "position", "priority_score", "review_included"))
 
 
-@register("priority_ids", with_r(f"""
+_TRAIN_SQL = f"""
 HO AS (SELECT eppi_id FROM R ORDER BY {_hash_sql('eppi_id', "'17'")}, eppi_id LIMIT 50),
 P AS (SELECT * FROM R WHERE eppi_id NOT IN (SELECT eppi_id FROM HO)),
 TR AS (SELECT eppi_id FROM P WHERE decision_binary = 1
        UNION ALL (SELECT eppi_id FROM P WHERE decision_binary = 0
-                  ORDER BY {_hash_sql('eppi_id', "'17-1'")}, eppi_id LIMIT 100))
+                  ORDER BY {_hash_sql('eppi_id', "'17-1'")}, eppi_id LIMIT 100))"""
+
+
+@register("priority_fit_check", with_r(_TRAIN_SQL + f""",
+T AS (SELECT {_hash_sql('eppi_id', "'7'")} % 10 AS fold, decision_binary FROM R WHERE eppi_id IN (SELECT eppi_id FROM TR))
+SELECT f.fold, (SELECT count(*) FROM T WHERE T.fold <> f.fold) AS n_train,
+       (SELECT count(*) FROM T WHERE T.fold <> f.fold AND decision_binary = 1) AS n_included,
+       CAST(100 AS BIGINT) AS n_fits, CAST(100 AS BIGINT) AS n_optimal
+FROM (SELECT DISTINCT fold FROM T) f"""))
+def q_priority_fit_check(spark, sf_dir):
+    """Each fold's training rows, and how many of its fits meet the conditions of a lasso optimum."""
+    from sievekit.operators import model as M
+    from sievekit.plans.priority import screening_split
+    from sievekit.session import materialize
+
+    data = _priority_data(spark, sf_dir)
+    strata, holdout, _ = _screening(spark, sf_dir, data)
+    train = screening_split(data, strata, 17, holdout_ids=holdout)[0]
+    train = materialize(M.embedding_features(train, "record_vector").select("eppi_id", "decision_binary", "record_vector", "features"))
+    top = M.lambda_max(train, "record_vector", "decision_binary")
+    gaps = M.cross_validate(train, lam_max=top * 1.0001)[2]
+    fits = spark.createDataFrame([(k, len(g), int((g <= M.TOLERANCE).sum())) for k, g in enumerate(gaps)],
+                                 "fold int, n_fits long, n_optimal long")
+    rows = train.select(M.fold_column("eppi_id", len(gaps)).alias("own"), "decision_binary")
+    per = rows.groupBy("own").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("decision_binary") == 1).alias("inc"))
+    used = per.select(F.col("own").alias("fold"))
+    rest = used.join(F.broadcast(per), F.col("fold") != F.col("own"))  # one row per fold on either side
+    sums = rest.groupBy("fold").agg(F.sum("n").alias("n_train"), F.sum("inc").alias("n_included"))
+    return tidy(sums.join(fits, "fold").select("fold", "n_train", "n_included", "n_fits", "n_optimal"))
+
+
+@register("priority_ids", with_r(_TRAIN_SQL + """
 SELECT eppi_id, CAST(CASE WHEN coalesce(included_full = 1, false) THEN 1 ELSE 0 END AS BIGINT) AS review_included
 FROM R WHERE eppi_id NOT IN (SELECT eppi_id FROM TR)"""))
 def q_priority_ids(spark, sf_dir):
