@@ -111,9 +111,9 @@ def fold_column(key: str | Column, folds: int, seed: int = 7) -> Column:
     return F.pmod(hash_key(k, str(seed)), F.lit(folds)).cast("int")
 
 
-#: Penalties that are fitted side by side, those of them that share second derivatives, and partial sums that are
-#: added up in one task.
-GROUP, SHARED, FAN_IN = 20, 4, 32
+#: Penalties that are fitted side by side, the ratio (as a logarithm) over which they share second derivatives, and
+#: partial sums that are added up in one task.
+GROUP, ALIKE, FAN_IN = 20, 0.2, 32
 #: Optimality: the largest violation of the lasso conditions, as a share of the penalty.
 TOLERANCE = 1e-3
 
@@ -155,17 +155,18 @@ def _violation(grad: np.ndarray, w: np.ndarray, lam: np.ndarray) -> np.ndarray:
     return off.max(-1) / lam
 
 
-def _lasso_move(hess: np.ndarray, grad: np.ndarray, w: np.ndarray, lam: np.ndarray, sweeps: int = 4, solves: int = 3) -> np.ndarray:
+def _lasso_move(hess: np.ndarray, grad: np.ndarray, w: np.ndarray, lam: np.ndarray, shared: int, sweeps: int = 4,
+                solves: int = 3) -> np.ndarray:
     """Minimiser of the second-order model plus penalty for every (fold, penalty).
 
     Sweeps over the coordinates find which coefficients are used; those are
     solved for together, a coefficient that would change its sign becoming
-    zero, and the better of the two is kept. ``hess`` is (fold, run of ``SHARED`` penalties, coefficient, coefficient).
+    zero, and the better of the two is kept. ``hess`` is (fold, run of ``shared`` penalties, coefficient, coefficient).
     """
     folds, runs, d = hess.shape[:3]
-    more = -len(lam) % SHARED
-    pad, shape = ((0, 0), (0, more), (0, 0)), (folds, runs, SHARED, d)
-    cut = np.broadcast_to(np.pad(lam, (0, more), mode="edge").reshape(runs, SHARED), shape[:3])
+    more = -len(lam) % shared
+    pad, shape = ((0, 0), (0, more), (0, 0)), (folds, runs, shared, d)
+    cut = np.broadcast_to(np.pad(lam, (0, more), mode="edge").reshape(runs, shared), shape[:3])
     start = np.pad(w, pad, mode="edge").reshape(shape)
     first = np.pad(grad, pad, mode="edge").reshape(shape)
     at = start.copy()
@@ -204,7 +205,7 @@ def path_losses(data: DataFrame, width: int, lams: list[float], folds: int,
     ``data`` has ``x`` (array), ``label`` and ``fold``; penalties fall. All
     folds and ``GROUP`` neighbouring penalties go on together from the fits
     before them. A round is one pass over the rows: losses and gradients of
-    every fit and the second derivatives of every ``SHARED``-th one. A step that
+    every fit and the second derivatives of one in a few alike. A step that
     does not lower its objective is halved, and a group ends when every fit
     meets the conditions of an optimum within ``tol``; there is no bound on
     the rounds, a fit that cannot be moved any more raises
@@ -232,13 +233,15 @@ def path_losses(data: DataFrame, width: int, lams: list[float], folds: int,
     for f in range(folds):
         turn[f] = np.diag(scale[f])
         turn[f, 0] -= mean[f] * scale[f]
+    between = -np.diff(np.log(all_lams)) if len(all_lams) > 1 else np.ones(1)
+    shared = int(np.clip(ALIKE / max(between.max(), 1e-9), 1, GROUP))
     fits = np.zeros((folds, len(all_lams), d))
     gaps = np.full((folds, len(all_lams)), np.nan)
 
     def derivatives(to: np.ndarray, active: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Loss, gradient and (of one fit in ``SHARED``) second derivatives of every active fold at ``to``."""
+        """Loss, gradient and (of one fit in ``shared``) second derivatives of every active fold at ``to``."""
         k = to.shape[1]
-        of = np.minimum(np.arange(0, k, SHARED) + SHARED // 2, k - 1)
+        of = np.minimum(np.arange(0, k, shared) + shared // 2, k - 1)
         raw = turn[active] @ to.transpose(0, 2, 1)
 
         def work(x: np.ndarray, y: np.ndarray, fold: np.ndarray) -> np.ndarray:
@@ -271,7 +274,7 @@ def path_losses(data: DataFrame, width: int, lams: list[float], folds: int,
             value = loss + lam * np.abs(to[..., 1:]).sum(-1)
             better = value <= goal[active] + 1e-12
             gap = np.where(better, _violation(grad, to, lam), np.inf)
-            fresh = to + np.where(better[..., None], _lasso_move(hess, grad, to, lam) - to, 0)
+            fresh = to + np.where(better[..., None], _lasso_move(hess, grad, to, lam, shared) - to, 0)
             for i, f in enumerate(active):
                 ok = better[i]
                 w[f][ok], goal[f][ok], gaps[f, a:a + len(lam)][ok] = to[i][ok], value[i][ok], gap[i][ok]
