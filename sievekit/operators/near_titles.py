@@ -1,11 +1,16 @@
 """Titles that differ by a few characters (D7, and the evidence for D4).
 
 :func:`near_keys` finds all pairs of distinct title keys whose edit similarity
-``1 - distance / longer length`` is at least ``t``, without comparing all
-pairs. Every key is cut into character 3-grams. One edit touches at most three
-of them, so two keys within d edits share one of the rarest 3-grams that make
-up 3 d + 1 places of either key. Only those rarest ones are posted and met,
-keys of too different length are left out, and the edit distance decides.
+``1 - distance / longer length`` is at least ``t``. Long titles of one language
+share so many short grams that posting lists grow with the list and their pairs
+with its square, so none are made. Keys are dealt into blocks by length, and
+blocks whose lengths allow ``t`` meet in one task. There a key is a sketch of
+bits, the parities of its hashed 4-grams (a second occurrence counts as another gram): one edit flips 2 * 4 bits at most, so
+pairs that differ in more bits than their lengths allow are ruled out by bit
+operations (a folded sketch first, the full one for those that pass), without a
+row of their own; the edit distance decides the few others in the same task. A task holds two blocks, whatever the list; a key is shuffled once for
+each block that its block meets. The bit tests are all pairs of comparable
+lengths, so their number still grows with the square of the list.
 Titles are met as distinct keys: a title that a third of all records carry is
 one key, and :func:`title_link_near` reports its number of records in place of
 multiplying rows.
@@ -13,43 +18,145 @@ multiplying rows.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sievekit.session import materialize
 
-GRAM = 3
-#: Below this similarity short keys may have too few 3-grams to be found.
+#: Characters of a gram, bits of a sketch per character of the longest key, and words of the full sketch per word of the folded one.
+GRAM, BITS, FOLD = 4, 8, 4
+#: Below this similarity the sketches rule out too few pairs.
 LEAST_SIMILARITY = 0.85
+#: Characters and keys of a block (its keys are dealt by hash), keys that one key is tested against at once, and pairs of a batch.
+BLOCK_CHARS, BLOCK_KEYS, TILE, BATCH = 8 << 20, 1 << 15, 1 << 12, 1 << 11
 SLACK = 1e-9
 
 
-def edit_similarity(a: Column, b: Column, t: float) -> Column:
-    """``1 - distance / longer length`` if it is at least ``t``, else null.
-
-    The distance is bounded by the next power of four of what ``t`` allows, so
-    that long keys cost their length times that bound, not its square.
+def _meetings(named: DataFrame, t: float) -> DataFrame:
+    """The rows of ``named`` with ``meet, at``: every meeting of two blocks that their block takes part in, and its side."""
+    step = math.log(max(1 / t, 1.02)) * (1 + 1e-6)  # lengths that allow t are in one bin or in neighbouring ones
+    binned = named.withColumn("bin", F.floor(F.log(F.col("len")) / step).cast("int"))
+    most = F.least(F.lit(BLOCK_KEYS), F.greatest(F.lit(1), F.floor(F.lit(BLOCK_CHARS) / F.max("len"))))
+    sizes = materialize(binned.groupBy("bin", "l", "r").agg(F.ceil(F.count(F.lit(1)) / most).cast("long").alias("parts")))
+    name = F.concat_ws(" ", "bin", "l", "r", "part").alias("block")
+    blocks = sizes.select("bin", "l", "r", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    side = lambda s: blocks.select("bin", *[c.alias(f"{n}_{s}") for n, c in (("block", name), ("l", F.col("l")), ("r", F.col("r")))])
+    above = side("b").withColumn("own", F.lit(True)).unionByName(
+        side("b").withColumn("bin", F.col("bin") - 1).withColumn("own", F.lit(False)))
+    met = side("a").join(above, "bin").filter("(NOT own OR block_a <= block_b) AND (l_a AND r_b OR r_a AND l_b)").select(
+        "block_a", "block_b", F.concat_ws("/", "block_a", "block_b").alias("meet"))
+    part = lambda s, at: met.select(F.col(f"block_{s}").alias("block"), "meet", F.lit(at).alias("at"))
+    met = materialize(part("a", 0).unionByName(part("b", 1).join(met.filter("block_a = block_b").select("meet"), "meet", "left_anti")))
+    held = binned.join(F.broadcast(sizes), ["bin", "l", "r"]).withColumn("part", F.pmod("sid", "parts")).withColumn("block", name)
+    spark = named.sparkSession
+    most = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return held.join(F.broadcast(met), "block").select("meet", "at", "key", "l", "r").repartition(
+        max(1, min(met.count(), most)), "meet")
+
+
+def _sketches(keys: list[str], words: int) -> np.ndarray:
+    """``words`` x key: the parities of the hashed grams of each key, a gram's every occurrence being one of its own."""
+    lens = np.array([len(k) for k in keys])
+    chars = np.frombuffer("".join(keys).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    out = np.zeros((words, len(keys)), np.uint64)
+    if len(chars) >= GRAM:
+        hashed = np.zeros(len(chars) - GRAM + 1, np.uint64)
+        for i in range(GRAM):
+            hashed = (hashed + chars[i:len(chars) - GRAM + 1 + i] + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+            hashed ^= hashed >> np.uint64(29)
+        own = np.repeat(np.arange(len(keys)), lens)
+        whole = own[:len(hashed)] == own[GRAM - 1:]  # grams within one key
+        hashed, own = hashed[whole], own[:len(hashed)][whole]
+        by = np.lexsort((hashed, own))
+        hashed, own = hashed[by], own[by]
+        place = np.arange(len(own))
+        new = np.append(True, (hashed[1:] != hashed[:-1]) | (own[1:] != own[:-1]))[:len(own)]
+        nth = (place - np.maximum.accumulate(np.where(new, place, 0))).astype(np.uint64)
+        bit = (hashed + nth * np.uint64(0xC2B2AE3D27D4EB4F)) * np.uint64(0xD6E8FEB86659FD93)
+        bit = (bit ^ (bit >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(20) & np.uint64(64 * words - 1)
+        np.bitwise_xor.at(out, ((bit >> np.uint64(6)).astype(np.int64), own), np.uint64(1) << (bit & np.uint64(63)))
+    return out
+
+
+def _places(key: str) -> dict[str, int]:
+    """Where each character stands, as bits."""
+    out: dict[str, int] = {}
+    for i, c in enumerate(key):
+        out[c] = out.get(c, 0) | 1 << i
+    return out
+
+
+def _distance(places: dict[str, int], m: int, other: str, most: int) -> int | None:
+    """Edit distance of a key of ``m`` characters to ``other`` if it is at most ``most``.
+
+    Bits stand for a column of the table (Myers 1999); a column that leaves too few characters to come down ends it.
     """
-    longer = F.greatest(F.length(a), F.length(b))
-    allowed = F.floor(longer * (1 - t) + SLACK).cast("int")
-    distance = F.levenshtein(a, b)
-    for bound in (4096, 1024, 256, 64, 16, 4):
-        distance = F.when(allowed <= bound, F.levenshtein(a, b, bound)).otherwise(distance)
-    similarity = 1 - distance.cast("double") / longer
-    return F.when((distance >= 0) & (distance <= allowed), similarity)
-
-
-def _rare_grams(keys: DataFrame, t: float) -> DataFrame:
-    """``gram, sid, len``: the rarest 3-grams of each key that make up 3 d + 1 of its places."""
-    at = F.sequence(F.lit(1), F.col("len") - (GRAM - 1))
-    grams = keys.filter(F.col("len") >= GRAM).select(
-        "sid", "len", F.explode(F.transform(at, lambda i: F.xxhash64(F.substring("key", i, GRAM)))).alias("gram"))
-    held = grams.groupBy("sid", "len", "gram").agg(F.count(F.lit(1)).alias("places"))
-    seen = held.groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
-    order = Window.partitionBy("sid").orderBy("df", "gram").rowsBetween(Window.unboundedPreceding, -1)
-    reach = F.floor(F.col("len") * ((1 - t) / t) + SLACK) * GRAM
-    return held.join(seen, "gram").withColumn("before", F.coalesce(F.sum("places").over(order), F.lit(0))).filter(
-        F.col("before") <= reach).select("gram", "sid", "len")
+    mask, top = (1 << m) - 1, 1 << (m - 1)
+    up, down, score, spare = mask, 0, m, most + len(other)
+    for c in other:
+        eq = places.get(c, 0)
+        side = (((eq & up) + up) ^ up) | eq
+        more, less = down | ((side | up) & mask ^ mask), up & side
+        score += bool(more & top) - bool(less & top)
+        spare -= 1
+        if score > spare:
+            return None
+        more, less = more << 1 | 1, less << 1
+        eq |= down
+        up, down = (less | ((eq | more) & mask ^ mask)) & mask, more & eq & mask
+    return score
+
+
+def _near(rows: pa.Table, t: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Places (of side 0, of the other side) in ``rows`` and edit distances of the near pairs."""
+    keys, at = rows["key"].to_pylist(), rows["at"].to_numpy()
+    lens = np.array([len(k) for k in keys])
+    words = 1 << max(0, math.ceil(math.log2(lens.max() * BITS / 64)))
+    count = np.uint16 if words < 1 << 10 else np.uint32
+    alone = not at.any()
+    order = [np.flatnonzero(at == 0)] * 2 if alone else [np.flatnonzero(at == s) for s in (0, 1)]
+    order = [o[np.argsort(lens[o], kind="stable")] for o in order]
+    full_a, full_b = (_sketches([keys[i] for i in o], FOLD * words) for o in order)
+    a, b = (np.bitwise_xor.reduce(s.reshape(FOLD, words, -1)) for s in (full_a, full_b))
+    full_a, full_b = (np.ascontiguousarray(s.T) for s in (full_a, full_b))
+    len_a, len_b = (lens[o] for o in order)
+    first = np.searchsorted(len_b, len_a * t - 1)
+    last = np.searchsorted(len_b, (len_a + 1) / t, "right")
+    for i, n in enumerate(len_a.tolist()):
+        for lo in range(max(first[i], i + 1) if alone else first[i], last[i], TILE):
+            hi = min(lo + TILE, last[i])
+            longer = np.maximum(len_b[lo:hi], n)
+            allowed = np.floor(longer * (1 - t) + SLACK).astype(np.int64)
+            differ = np.zeros(hi - lo, count)
+            for w in range(words):
+                differ += np.bitwise_count(b[w, lo:hi] ^ a[w, i])
+            fit = np.flatnonzero((differ <= 2 * GRAM * allowed) & (np.minimum(len_b[lo:hi], n) >= longer * t - SLACK))
+            if len(fit):
+                differ = np.bitwise_count(full_b[lo + fit] ^ full_a[i]).sum(1, dtype=np.int64)
+                fit = fit[differ <= 2 * GRAM * allowed[fit]]
+            if len(fit):
+                own = _places(keys[order[0][i]])
+                found = [_distance(own, n, keys[order[1][lo + f]], int(allowed[f])) for f in fit]
+                fit = fit[[d is not None for d in found]]
+                yield np.full(len(fit), order[0][i]), order[1][lo + fit], np.array([d for d in found if d is not None], np.int64)
+
+
+def _batched(found: Iterator[tuple[np.ndarray, ...]]) -> Iterator[tuple[np.ndarray, ...]]:
+    """The same rows, about ``BATCH`` at a time."""
+    held: list[tuple[np.ndarray, ...]] = []
+    for some in found:
+        held.append(some)
+        if sum(len(x[0]) for x in held) >= BATCH:
+            yield tuple(np.concatenate(p) for p in zip(*held))
+            held = []
+    if held:
+        yield tuple(np.concatenate(p) for p in zip(*held))
 
 
 def near_keys(keys: DataFrame, t: float = 0.9, left: str = "in_left", right: str = "in_right") -> DataFrame:
@@ -60,16 +167,22 @@ def near_keys(keys: DataFrame, t: float = 0.9, left: str = "in_left", right: str
     """
     if t < LEAST_SIMILARITY:
         raise ValueError(f"t must be at least {LEAST_SIMILARITY}")
-    named = materialize(keys.select("key", F.col(left).alias("l"), F.col(right).alias("r"),
-                                    F.xxhash64("key").alias("sid"), F.length("key").alias("len")))
-    posts = materialize(_rare_grams(named, t).join(named.select("sid", "l", "r"), "sid"))
-    side = lambda flag, s: posts.filter(flag).select("gram", F.col("sid").alias(f"sid_{s}"), F.col("len").alias(f"len_{s}"))
-    near = (F.least("len_a", "len_b") >= F.greatest("len_a", "len_b") * t - SLACK) & (F.col("sid_a") != F.col("sid_b"))
-    met = side("l", "a").join(side("r", "b"), "gram").filter(near).select("sid_a", "sid_b").distinct()
-    full = lambda s: named.select(F.col("sid").alias(f"sid_{s}"), F.col("key").alias(f"key_{s}"))
-    scored = met.join(full("a"), "sid_a").join(full("b"), "sid_b").select(
-        "key_a", "key_b", edit_similarity(F.col("key_a"), F.col("key_b"), t).alias("similarity"))
-    return scored.filter(F.col("similarity").isNotNull())
+    named = materialize(keys.filter(F.length("key") > 0).select(
+        "key", F.col(left).alias("l"), F.col(right).alias("r"), F.xxhash64("key").alias("sid"), F.length("key").alias("len")))
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches(list(batches))
+        for x, y, distance in _batched(_near(rows, t)):
+            a, b = rows.take(x), rows.take(y)
+            yield pa.RecordBatch.from_arrays([c.combine_chunks() for c in (a["key"], b["key"], a["l"], a["r"], b["l"], b["r"])] + [
+                pa.array(distance)], ["x", "y", "lx", "rx", "ly", "ry", "distance"])
+
+    met = _meetings(named, t).groupBy("meet").applyInArrow(
+        pairs, "x string, y string, lx boolean, rx boolean, ly boolean, ry boolean, distance long")
+    scored = met.withColumn("similarity", 1 - F.col("distance").cast("double") / F.greatest(F.length("x"), F.length("y")))
+    both = F.array(F.when(F.col("lx") & F.col("ry"), F.struct(F.col("x").alias("key_a"), F.col("y").alias("key_b"))),
+                   F.when(F.col("rx") & F.col("ly"), F.struct(F.col("y").alias("key_a"), F.col("x").alias("key_b"))))
+    return scored.select("similarity", F.explode(F.array_compact(both)).alias("pair")).select("pair.key_a", "pair.key_b", "similarity")
 
 
 def title_link_near(records: DataFrame, listed: DataFrame, record_key: Column, list_key: Column, id_col: str = "eppi_id",

@@ -3,11 +3,12 @@
 import random
 from collections import defaultdict
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from sievekit.operators.citations import citation_clusters, citation_fields
-from sievekit.operators.near_titles import near_keys, title_link_near
+from sievekit.operators.near_titles import _near, near_keys, title_link_near
 
 
 def levenshtein(a, b):
@@ -60,6 +61,22 @@ def test_near_keys_lose_nothing(spark, t):
     assert got == want and (t > 0.95 or len(want) > 50)
 
 
+def test_long_titles_of_few_grams(spark):
+    """Long keys of common syllables share most grams: sketches leave near pairs only, whatever the other grams."""
+    rng = random.Random(3)
+    parts = ["th", "on", "an", "er", "ti", "re", "in", "ou", "st", "ed"]
+    keys = {"".join(rng.choice(parts) for _ in range(rng.randint(180, 220))) for _ in range(60)}
+    keys |= {mistyped(rng, k, rng.randint(1, 30)) for k in sorted(keys)[:20]}
+    keys = sorted(keys)
+    rows = pa.table({"key": keys, "at": [0] * len(keys)})
+    got = {tuple(sorted((keys[a], keys[b]))): d for x, y, ds in _near(rows, 0.9) for a, b, d in zip(x, y, ds)}
+    want = {(a, b): levenshtein(a, b) for i, a in enumerate(keys) for b in keys[i + 1:] if similarity(a, b, 0.9) is not None}
+    assert got == want and len(want) > 10
+    left = [F.lit(True).alias("in_left"), F.lit(True).alias("in_right")]
+    plan = near_keys(spark.createDataFrame([(k,) for k in keys], "key string").select("key", *left), 0.9)
+    assert plan.count() == 2 * len(want)
+
+
 def test_bad_threshold(spark):
     with pytest.raises(ValueError):
         near_keys(spark.createDataFrame([], "key string, in_left boolean, in_right boolean"), 0.5)
