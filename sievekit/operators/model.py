@@ -113,7 +113,7 @@ def fold_column(key: str | Column, folds: int, seed: int = 7) -> Column:
 
 #: Penalties that are fitted side by side, the ratio (as a logarithm) over which they share second derivatives, and
 #: partial sums that are added up in one task.
-GROUP, ALIKE, FAN_IN = 20, 0.2, 32
+GROUP, ALIKE, FAN_IN = 20, 0.2, 16
 #: Optimality: the largest violation of the lasso conditions, as a share of the penalty.
 TOLERANCE = 1e-3
 
@@ -141,7 +141,7 @@ def _sums(data: DataFrame, work: Callable[[np.ndarray, np.ndarray, np.ndarray],
 
     kind, n = "part long, total binary", data.rdd.getNumPartitions()
     sums = data.mapInArrow(rows, kind)
-    while n > FAN_IN:
+    while n > 1:  # the driver gets one sum, whatever the number of partitions
         n = -(-n // FAN_IN)
         sums = sums.groupBy(F.pmod("part", F.lit(n)).alias("to")).applyInArrow(added, kind)
     return sum((np.frombuffer(r["total"]) for r in sums.collect()), np.zeros(1))
@@ -237,6 +237,7 @@ def path_losses(data: DataFrame, width: int, lams: list[float], folds: int,
     shared = int(np.clip(ALIKE / max(between.max(), 1e-9), 1, GROUP))
     fits = np.zeros((folds, len(all_lams), d))
     gaps = np.full((folds, len(all_lams)), np.nan)
+    half = np.triu_indices(d)  # second derivatives are symmetric
 
     def derivatives(to: np.ndarray, active: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Loss, gradient and (of one fit in ``shared``) second derivatives of every active fold at ``to``."""
@@ -245,7 +246,7 @@ def path_losses(data: DataFrame, width: int, lams: list[float], folds: int,
         raw = turn[active] @ to.transpose(0, 2, 1)
 
         def work(x: np.ndarray, y: np.ndarray, fold: np.ndarray) -> np.ndarray:
-            out = np.zeros((len(active), k + k * d + len(of) * d * d))
+            out = np.zeros((len(active), k + k * d + len(of) * len(half[0])))
             for i, f in enumerate(active):
                 kept = fold != f
                 xs, ys = x[kept], y[kept]
@@ -253,13 +254,15 @@ def path_losses(data: DataFrame, width: int, lams: list[float], folds: int,
                 p = 1 / (1 + np.exp(-np.clip(m, -500, 500)))
                 curve = np.maximum(p[:, of] * (1 - p[:, of]), 1e-9)
                 out[i] = np.concatenate([(np.logaddexp(0, m) - ys[:, None] * m).sum(0), ((p - ys[:, None]).T @ xs).ravel(),
-                                         *[((xs * c[:, None]).T @ xs).ravel() for c in curve.T]])
+                                         *[((xs * c[:, None]).T @ xs)[half] for c in curve.T]])
             return out
 
         got = _sums(data, work).reshape(len(active), -1) / rows[active, None]
         grad = got[:, k:k + k * d].reshape(-1, k, d) @ turn[active]
         sides = turn[active][:, None]
-        hess = sides.transpose(0, 1, 3, 2) @ got[:, k + k * d:].reshape(len(active), -1, d, d) @ sides
+        full = np.zeros((len(active), len(of), d, d))
+        full[..., half[0], half[1]] = full[..., half[1], half[0]] = got[:, k + k * d:].reshape(len(active), len(of), -1)
+        hess = sides.transpose(0, 1, 3, 2) @ full @ sides
         return got[:, :k], grad, hess + 1e-8 * np.eye(d)
 
     for a in range(0, len(all_lams), GROUP):

@@ -29,6 +29,13 @@ def spark_parallelism(df: DataFrame) -> int:
     return df.sparkSession.sparkContext.defaultParallelism
 
 
+def deal_training(train: DataFrame) -> DataFrame:
+    """The checkpointed training set in as few partitions as its size needs: every pass of the path sends one sum for each."""
+    n_train = train.count()
+    parts = max(math.ceil(n_train / TRAIN_ROWS_PER_PARTITION), min(spark_parallelism(train), math.ceil(n_train / FEW_ROWS)))
+    return materialize(train.repartition(max(1, parts)))
+
+
 def screening_split(data: DataFrame, strata: list[tuple[str, Column, int | None]], seed: int | str,
                     key: str = "eppi_id", holdout_ids: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """``(train, unseen)``: the stratified training sample and every other row, held-out ids included; no model."""
@@ -56,13 +63,10 @@ def priority_screening(data: DataFrame, strata: list[tuple[str, Column, int | No
         # read a checkpointed training set in as few partitions as its size
         # needs, not the sampling lineage in many small tasks.
         train = materialize(train)
-        n_train = train.count()
         # unseen = every row not trained on (held-out ids included), taken
         # against the checkpoint so the sampling is not recomputed.
         unseen = anti_ids(data, train.select(key), key)
-        parts = max(math.ceil(n_train / TRAIN_ROWS_PER_PARTITION),
-                    min(spark_parallelism(train), math.ceil(n_train / FEW_ROWS)))
-        train = materialize(train.repartition(max(1, parts)))
+        train = deal_training(train)
     lam_max = M.lambda_max(train, vec, label)
     model, lam = M.fit_priority(train, label=label, key=key, lam_max=lam_max * 1.0001 if lam_max > 0 else 1.0,
                                 n_lambda=n_lambda, folds=folds)

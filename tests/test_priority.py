@@ -88,3 +88,12 @@ def test_every_fit_of_a_separable_table_is_optimal(spark):
     loss, gaps = M.path_losses(df, 30, lams, 4)
     assert np.isnan(loss[3]).all() and np.isnan(gaps[3]).all()
     assert gaps[:3].max() <= M.TOLERANCE and np.isfinite(loss[:3]).all()
+
+
+def test_driver_gets_one_sum_of_many_partitions(spark, monkeypatch):
+    data = spark.range(400).select(F.array(F.col("id").cast("double")).alias("x"), F.lit(1.0).alias("label"),
+                                   F.lit(0).alias("fold")).repartition(40)
+    sent, collect = [], type(data).collect
+    monkeypatch.setattr(type(data), "collect", lambda self: sent.append(collect(self)) or sent[-1])
+    total = M._sums(data, lambda x, y, fold: x.sum(0))
+    assert total.tolist() == [400, 79800] and [len(rows) for rows in sent] == [1]
