@@ -10,7 +10,8 @@ pairs that differ in more bits than their lengths allow are ruled out by bit
 operations (a folded sketch first, the full one for those that pass), without a
 row of their own; the edit distance decides the few others in the same task. A task holds two blocks, whatever the list; a key is shuffled once for
 each block that its block meets. The bit tests are all pairs of comparable
-lengths, so their number still grows with the square of the list.
+lengths, so their number still grows with the square of the list. Where the evidence of fields decides too (``fields`` of
+:func:`near_keys`), their codes are compared first and the sketches only of keys that their fields allow to meet.
 Titles are met as distinct keys: a title that a third of all records carry is
 one key, and :func:`title_link_near` reports its number of records in place of
 multiplying rows.
@@ -19,7 +20,7 @@ multiplying rows.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -56,7 +57,8 @@ def _meetings(named: DataFrame, t: float) -> DataFrame:
     held = binned.join(F.broadcast(sizes), ["bin", "l", "r"]).withColumn("part", F.pmod("sid", "parts")).withColumn("block", name)
     spark = named.sparkSession
     most = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return held.join(F.broadcast(met), "block").select("meet", "at", "key", "l", "r").repartition(
+    rest = [c for c in named.columns if c not in ("sid", "len")]
+    return held.join(F.broadcast(met), "block").select("meet", "at", *rest).repartition(
         max(1, min(met.count(), most)), "meet")
 
 
@@ -73,10 +75,11 @@ def _sketches(keys: list[str], words: int) -> np.ndarray:
         own = np.repeat(np.arange(len(keys)), lens)
         whole = own[:len(hashed)] == own[GRAM - 1:]  # grams within one key
         hashed, own = hashed[whole], own[:len(hashed)][whole]
-        by = np.lexsort((hashed, own))
-        hashed, own = hashed[by], own[by]
+        # Key and the first 40 bits of the gram's hash in one number (a task holds fewer than 2^24 keys).
+        hashed = np.sort(own.astype(np.uint64) << np.uint64(40) | hashed >> np.uint64(24))
         place = np.arange(len(own))
-        new = np.append(True, (hashed[1:] != hashed[:-1]) | (own[1:] != own[:-1]))[:len(own)]
+        new = np.append(True, hashed[1:] != hashed[:-1])[:len(own)]
+        own, hashed = (hashed >> np.uint64(40)).astype(np.int64), hashed & np.uint64((1 << 40) - 1)
         nth = (place - np.maximum.accumulate(np.where(new, place, 0))).astype(np.uint64)
         bit = (hashed + nth * np.uint64(0xC2B2AE3D27D4EB4F)) * np.uint64(0xD6E8FEB86659FD93)
         bit = (bit ^ (bit >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(20) & np.uint64(64 * words - 1)
@@ -113,36 +116,107 @@ def _distance(places: dict[str, int], m: int, other: str, most: int) -> int | No
     return score
 
 
-def _near(rows: pa.Table, t: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Places (of side 0, of the other side) in ``rows`` and edit distances of the near pairs."""
+class _Allowed:
+    """Which keys of side b do not differ in more than ``most`` known fields from a key of side a."""
+
+    def __init__(self, rows: pa.Table, fields: Sequence[str], most: int, first: np.ndarray, order: list[np.ndarray]) -> None:
+        """``first``: the first row with the key of each row; ``order``: the first rows of both sides' keys, in their order."""
+        self.most = most
+        codes = np.stack([rows[f].fill_null(0).to_numpy() for f in fields], 1)
+        known = np.stack([rows[f].is_valid().to_numpy() for f in fields], 1)
+        (rows_a, owner_a), (rows_b, owner_b) = (self._held(first, o) for o in order)
+        by = sorted(range(len(fields)), key=lambda f: self._equal(codes[rows_b, f], known[rows_b, f]))
+        self.codes_a, self.known_a = codes[rows_a][:, by], known[rows_a][:, by]
+        self.codes_b, self.known_b = np.ascontiguousarray(codes[rows_b][:, by].T), np.ascontiguousarray(known[rows_b][:, by].T)
+        self.from_a, self.from_b = (np.searchsorted(o, np.arange(len(k) + 1)) for o, k in zip((owner_a, owner_b), order))
+        self.owner_b, self.single = owner_b, len(owner_b) == len(order[1])
+
+    @staticmethod
+    def _equal(codes: np.ndarray, known: np.ndarray) -> float:
+        """The share of pairs that a field says nothing against."""
+        counts = np.unique(codes[known], return_counts=True)[1]
+        share = known.mean() if len(known) else 0.0
+        return 1 - share ** 2 * (1 - ((counts / max(1, counts.sum())) ** 2).sum())
+
+    @staticmethod
+    def _held(first: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The rows of the keys in ``order`` and each row's place there."""
+        rank = np.full(len(first), -1)
+        rank[order] = np.arange(len(order))
+        rank = rank[first]
+        rows = np.argsort(rank, kind="stable")[np.count_nonzero(rank < 0):]
+        return rows, rank[rows]
+
+    def places(self, i: int, lo: int, hi: int) -> np.ndarray:
+        """Places after ``lo`` of the keys of side b from ``lo`` to ``hi`` that key ``i`` of side a may be near to."""
+        start, end = self.from_b[lo], self.from_b[hi]
+        rows: list[np.ndarray] = []
+        for row in range(self.from_a[i], self.from_a[i + 1]):
+            fields = np.flatnonzero(self.known_a[row])
+            differ = np.zeros(end - start, np.uint8)
+            for f in fields[:self.most + 1]:
+                differ += self._differs(row, f, slice(start, end))
+            hits = np.flatnonzero(differ <= self.most)
+            differ, hits = differ[hits], hits + start
+            for f in fields[self.most + 1:]:
+                keep = np.flatnonzero((differ := differ + self._differs(row, f, hits)) <= self.most)
+                differ, hits = differ[keep], hits[keep]
+            rows.append(hits)
+        hits = rows[0] if len(rows) == 1 else np.unique(np.concatenate(rows))
+        places = self.owner_b[hits] - lo
+        return places if self.single else places[np.append(True, places[1:] != places[:-1])[:len(places)]]
+
+    def _differs(self, row: int, f: int, at: slice | np.ndarray) -> np.ndarray:
+        return ((self.codes_b[f, at] != self.codes_a[row, f]) & self.known_b[f, at]).view(np.uint8)
+
+
+def _near(rows: pa.Table, t: float, fields: Sequence[str] = (), most: int = 0) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Places (of side 0, of the other side) in ``rows`` and edit distances of the near pairs.
+
+    With ``fields`` a key may have several rows; its first one stands for it.
+    """
     keys, at = rows["key"].to_pylist(), rows["at"].to_numpy()
+    seen: dict[str, int] = {}
+    first_row = np.array([seen.setdefault(k, i) for i, k in enumerate(keys)])
+    own_row = first_row == np.arange(len(keys))
     lens = np.array([len(k) for k in keys])
     words = 1 << max(0, math.ceil(math.log2(lens.max() * BITS / 64)))
     count = np.uint16 if words < 1 << 10 else np.uint32
     alone = not at.any()
-    order = [np.flatnonzero(at == 0)] * 2 if alone else [np.flatnonzero(at == s) for s in (0, 1)]
+    order = [np.flatnonzero(own_row & (at == 0))] * 2 if alone else [np.flatnonzero(own_row & (at == s)) for s in (0, 1)]
     order = [o[np.argsort(lens[o], kind="stable")] for o in order]
-    full_a, full_b = (_sketches([keys[i] for i in o], FOLD * words) for o in order)
+    full_a = _sketches([keys[i] for i in order[0]], FOLD * words)
+    full_b = full_a if alone else _sketches([keys[i] for i in order[1]], FOLD * words)
     a, b = (np.bitwise_xor.reduce(s.reshape(FOLD, words, -1)) for s in (full_a, full_b))
     full_a, full_b = (np.ascontiguousarray(s.T) for s in (full_a, full_b))
     len_a, len_b = (lens[o] for o in order)
     first = np.searchsorted(len_b, len_a * t - 1)
     last = np.searchsorted(len_b, (len_a + 1) / t, "right")
+    fielded = _Allowed(rows, fields, most, first_row, order) if fields else None
+    tile = TILE * FOLD if fields else TILE
+    some_a, some_b = (np.ascontiguousarray(s.T) for s in (a, b)) if fields else (None, None)
     for i, n in enumerate(len_a.tolist()):
-        for lo in range(max(first[i], i + 1) if alone else first[i], last[i], TILE):
-            hi = min(lo + TILE, last[i])
-            longer = np.maximum(len_b[lo:hi], n)
+        for lo in range(max(first[i], i + 1) if alone else first[i], last[i], tile):
+            hi = min(lo + tile, last[i])
+            fit = fielded.places(i, lo, hi) if fields else np.arange(hi - lo)
+            if len(fit) * FOLD < hi - lo:  # few are left: each by itself
+                differ = np.bitwise_count(some_b[lo + fit] ^ some_a[i]).sum(1, dtype=np.int64)
+            else:
+                differ = np.zeros(hi - lo, count)
+                for w in range(words):
+                    differ += np.bitwise_count(b[w, lo:hi] ^ a[w, i])
+                differ = differ[fit]
+            longer = np.maximum(len_b[lo + fit], n)
             allowed = np.floor(longer * (1 - t) + SLACK).astype(np.int64)
-            differ = np.zeros(hi - lo, count)
-            for w in range(words):
-                differ += np.bitwise_count(b[w, lo:hi] ^ a[w, i])
-            fit = np.flatnonzero((differ <= 2 * GRAM * allowed) & (np.minimum(len_b[lo:hi], n) >= longer * t - SLACK))
+            keep = (differ <= 2 * GRAM * allowed) & (np.minimum(len_b[lo + fit], n) >= longer * t - SLACK)
+            fit, allowed = fit[keep], allowed[keep]
             if len(fit):
                 differ = np.bitwise_count(full_b[lo + fit] ^ full_a[i]).sum(1, dtype=np.int64)
-                fit = fit[differ <= 2 * GRAM * allowed[fit]]
+                keep = differ <= 2 * GRAM * allowed
+                fit, allowed = fit[keep], allowed[keep]
             if len(fit):
                 own = _places(keys[order[0][i]])
-                found = [_distance(own, n, keys[order[1][lo + f]], int(allowed[f])) for f in fit]
+                found = [_distance(own, n, keys[order[1][lo + f]], int(k)) for f, k in zip(fit, allowed)]
                 fit = fit[[d is not None for d in found]]
                 yield np.full(len(fit), order[0][i]), order[1][lo + fit], np.array([d for d in found if d is not None], np.int64)
 
@@ -159,20 +233,25 @@ def _batched(found: Iterator[tuple[np.ndarray, ...]]) -> Iterator[tuple[np.ndarr
         yield tuple(np.concatenate(p) for p in zip(*held))
 
 
-def near_keys(keys: DataFrame, t: float = 0.9, left: str = "in_left", right: str = "in_right") -> DataFrame:
+def near_keys(keys: DataFrame, t: float = 0.9, left: str = "in_left", right: str = "in_right", fields: Sequence[str] = (),
+              max_differ: int = 0) -> DataFrame:
     """``key_a, key_b, similarity`` of all keys of the left side and different keys of the right side.
 
     ``keys`` holds ``key`` (distinct, not null) and two flags that say on which sides a key
     stands. With both sides the same table each pair comes in both orders.
+    With ``fields`` a key may have several rows, one for each set of values that it stands with, and pairs are left out if
+    all their rows differ in more than ``max_differ`` fields (a null differs from nothing).
     """
     if t < LEAST_SIMILARITY:
         raise ValueError(f"t must be at least {LEAST_SIMILARITY}")
     named = materialize(keys.filter(F.length("key") > 0).select(
-        "key", F.col(left).alias("l"), F.col(right).alias("r"), F.xxhash64("key").alias("sid"), F.length("key").alias("len")))
+        "key", F.col(left).alias("l"), F.col(right).alias("r"), F.xxhash64("key").alias("sid"), F.length("key").alias("len"),
+        *[F.when(F.col(c).isNotNull(), F.hash(c)).alias(f"f{i}") for i, c in enumerate(fields)]))
+    codes = [f"f{i}" for i in range(len(fields))]  # equal hashes of different values only rule out less
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = pa.Table.from_batches(list(batches))
-        for x, y, distance in _batched(_near(rows, t)):
+        for x, y, distance in _batched(_near(rows, t, codes, max_differ)):
             a, b = rows.take(x), rows.take(y)
             yield pa.RecordBatch.from_arrays([c.combine_chunks() for c in (a["key"], b["key"], a["l"], a["r"], b["l"], b["r"])] + [
                 pa.array(distance)], ["x", "y", "lx", "rx", "ly", "ry", "distance"])
